@@ -30,7 +30,8 @@ def assist_events(d: EventData, p: Params) -> DataFrame:
 
 def marked_passes(d: EventData, p: Params) -> DataFrame:
     """League passes with ``is_assist`` (event id among the shot-assist events)."""
-    return flag_in(league_passes(d, p), assist_events(d, p), ["EVENT_WYID"], "is_assist")
+    return d.derived(("marked_passes", p), lambda: flag_in(
+        league_passes(d, p), assist_events(d, p), ["EVENT_WYID"], "is_assist"))
 
 
 def shot_assists(d: EventData, p: Params) -> DataFrame:

@@ -83,9 +83,30 @@ def round_doubles(df: DataFrame, scale: int = 6) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
+_DATA: dict[tuple, EventData] = {}
+
+
+def event_data(spark: SparkSession, root: str) -> EventData:
+    """The test tables of ``root`` as domain tables; one instance per Spark context and
+    directory, so derived tables materialized by one analytic serve the others."""
+    key = (id(spark.sparkContext), spark.sparkContext.applicationId, root)
+    if key not in _DATA:
+        _DATA[key] = testdata.load(spark, root)
+    return _DATA[key]
+
+
 def run(name: str, spark: SparkSession, root: str, params: Params = TEST_PARAMS) -> DataFrame:
     """Analytic ``name`` over the test tables in ``root``."""
-    return round_doubles(ANALYTICS[name](testdata.load(spark, root), params))
+    return round_doubles(ANALYTICS[name](event_data(spark, root), params))
+
+
+def prepare(spark: SparkSession, root: str, params: Params = TEST_PARAMS) -> None:
+    """Build the derived tables the analytics share (enriched and flagged passes,
+    assist-marked passes, shot extracts and geometry, match results)."""
+    d = event_data(spark, root)
+    assists.marked_passes(d, params)
+    shots.shots_geo(d, params)
+    standings.match_goals(d, params)
 
 
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:

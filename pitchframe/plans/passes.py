@@ -38,11 +38,12 @@ def first_event_rows(d: EventData) -> DataFrame:
 def pass_enrichment(d: EventData, p: Params) -> DataFrame:
     """Q02: in-scope matches, their passes, and the first common row of each pass event.
 
-    Both joins are left joins, as in the original; every analytic below filters on a
-    column of the event row, which lets the optimizer turn them into inner joins."""
-    return (match_scope(d, p)
-            .join(d.passes, "MATCH_WYID", "left")
-            .join(first_event_rows(d), "EVENT_WYID", "left"))
+    Both joins are left joins, as in the original. The result feeds every pass
+    analytic (and is read twice inside ``scoped_passes``), so it is materialized once."""
+    return d.derived(("pass_enrichment", p), lambda: (
+        match_scope(d, p)
+        .join(d.passes, "MATCH_WYID", "left")
+        .join(first_event_rows(d), "EVENT_WYID", "left")))
 
 
 def _passers(pe: DataFrame) -> DataFrame:
@@ -81,13 +82,19 @@ def scoped_passes(d: EventData, p: Params) -> DataFrame:
     in_club      the club pass set (team is the club; type filter per ``club_pass_types``)
     success_row  this row is a successful pass (recipient passed for the same team)
     success      the row's event id is among the successful passes' event ids
+
+    The success flags need two passes over the enriched passes (the passer set, then
+    the rows), which are materialized; so is the result, which most analytics share.
     """
-    pe = pass_enrichment(d, p)
-    rows = pe.filter(_valid(p) & F.col("TEAM_WYID").isNotNull())
-    rows = flag_in(rows, _passers(pe), [("TEAM_WYID", "_team"), ("RECIPIENT_WYID", "_passer")], "_hit")
-    rows = rows.withColumn("success_row", F.col("_hit") & _is_pass()).drop("_hit")
-    rows = flag_in(rows, rows.filter("success_row"), ["EVENT_WYID"], "success")
-    return rows.withColumn("in_league", _is_pass()).withColumn("in_club", club_condition(p))
+    def build() -> DataFrame:
+        pe = pass_enrichment(d, p)
+        rows = pe.filter(_valid(p) & F.col("TEAM_WYID").isNotNull())
+        rows = flag_in(rows, _passers(pe), [("TEAM_WYID", "_team"), ("RECIPIENT_WYID", "_passer")], "_hit")
+        rows = rows.withColumn("success_row", F.col("_hit") & _is_pass()).drop("_hit")
+        rows = flag_in(rows, rows.filter("success_row"), ["EVENT_WYID"], "success")
+        return rows.withColumn("in_league", _is_pass()).withColumn("in_club", club_condition(p))
+
+    return d.derived(("scoped_passes", p), build)
 
 
 def league_passes(d: EventData, p: Params) -> DataFrame:

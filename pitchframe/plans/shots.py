@@ -21,11 +21,14 @@ def shots_by_season(d: EventData, p: Params) -> DataFrame:
     m = (d.matches.filter((F.col("COMPETITION_WYID") == p.shot_competition)
                           & in_set("SEASON_WYID", p.shot_seasons))
          .select("MATCH_WYID", "SEASON_WYID", "COMPETITION_WYID"))
-    s = d.shots.join(m, "MATCH_WYID")
-    types = d.shot_types.select(F.col("EVENT_WYID").alias("_ev"), "PRIMARYTYPE")
-    typed = s.join(types, (F.col("EVENT_WYID") == F.col("_ev"))
-                   & (F.col("SEASON_WYID") == F.lit(p.shot_seasons[-1])), "left").drop("_ev")
-    return first_by_key(typed, ["SEASON_WYID", "EVENT_WYID"])
+    def build() -> DataFrame:
+        s = d.shots.join(m, "MATCH_WYID")
+        types = d.shot_types.select(F.col("EVENT_WYID").alias("_ev"), "PRIMARYTYPE")
+        typed = s.join(types, (F.col("EVENT_WYID") == F.col("_ev"))
+                       & (F.col("SEASON_WYID") == F.lit(p.shot_seasons[-1])), "left").drop("_ev")
+        return first_by_key(typed, ["SEASON_WYID", "EVENT_WYID"])
+
+    return d.derived(("shots_by_season", p), build)
 
 
 def shot_exclusion_audit(d: EventData, p: Params) -> DataFrame:
@@ -73,12 +76,16 @@ def shot_minutes(d: EventData, p: Params) -> DataFrame:
 
 
 def shots_geo(d: EventData, p: Params) -> DataFrame:
-    """Open-play shots with coordinates in metres and distance to goal."""
-    s = goal_flag(d, p).join(shot_coordinates(d, p), "EVENT_WYID", "left") \
-        .filter(F.col("LOCATIONX").isNotNull() & F.col("LOCATIONY").isNotNull())
-    s = s.withColumn("x_m", x_metres("LOCATIONX")).withColumn("y_m", y_metres("LOCATIONY"))
-    return (s.withColumn("distance_m", distance_to_goal(F.col("x_m"), F.col("y_m")))
-            .withColumn("angle_deg_m", goal_angle_deg(F.col("x_m"), F.col("y_m"))))
+    """Open-play shots with coordinates in metres, distance and angle to goal (shared
+    by the distance, angle and shot-map analytics, so materialized once)."""
+    def build() -> DataFrame:
+        s = goal_flag(d, p).join(shot_coordinates(d, p), "EVENT_WYID", "left") \
+            .filter(F.col("LOCATIONX").isNotNull() & F.col("LOCATIONY").isNotNull())
+        s = s.withColumn("x_m", x_metres("LOCATIONX")).withColumn("y_m", y_metres("LOCATIONY"))
+        return (s.withColumn("distance_m", distance_to_goal(F.col("x_m"), F.col("y_m")))
+                .withColumn("angle_deg_m", goal_angle_deg(F.col("x_m"), F.col("y_m"))))
+
+    return d.derived(("shots_geo", p), build)
 
 
 def _in_angle_range() -> Column:

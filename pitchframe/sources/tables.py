@@ -8,11 +8,23 @@ column pruning and filter pushdown reach the scan.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Callable
+from typing import Any, Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a shared intermediate table once and cut its lineage.
+
+    With ``spark.checkpoint.dir`` set (a shared, reliable folder on a cluster) the table
+    is checkpointed there; otherwise it is persisted in memory and on local disk, and a
+    lost executor's blocks are recomputed from lineage."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def read_parquet(spark: SparkSession, root: str, name: str) -> DataFrame:
     """``<root>/<name>.parquet`` (a file or a directory of parts)."""
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
@@ -75,9 +87,22 @@ class EventData:
 
     builders: dict[str, Callable[[], DataFrame]]
     _cache: dict[str, DataFrame] = field(default_factory=dict)
+    _derived: dict[Any, DataFrame] = field(default_factory=dict)
+
+    def derived(self, key: Any, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table shared by several analytics, built and materialized once."""
+        if key not in self._derived:
+            self._derived[key] = materialize(build())
+        return self._derived[key]
+
+    def release(self) -> None:
+        """Drop the materialized derived tables."""
+        for df in self._derived.values():
+            df.unpersist()
+        self._derived.clear()
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name == "builders":
+        if name.startswith("_") or name in ("builders", "derived", "release"):
             raise AttributeError(name)
         if name not in self._cache:
             if name not in self.builders:
