@@ -39,28 +39,35 @@ def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
 
+def _key_condition(pairs, null_safe: bool) -> Column:
+    eq = [(F.col(left).eqNullSafe(F.col(f"_k{i}")) if null_safe else F.col(left) == F.col(f"_k{i}"))
+          for i, (left, _) in enumerate(pairs)]
+    return reduce(lambda a, b: a & b, eq)
+
+
 def flag_in(df: DataFrame, lookup: DataFrame, on: Sequence[tuple[str, str]] | Sequence[str],
-            flag: str) -> DataFrame:
+            flag: str, null_safe: bool = False) -> DataFrame:
     """``x %in% lookup$y`` as a boolean column (never null).
 
     ``lookup`` is reduced to its distinct keys first, so the left join cannot fan out.
     ``on`` holds column names shared by both sides, or (left, right) name pairs.
+    ``null_safe`` lets a null key match a null key (R's ``%in%`` and dplyr joins do);
+    it is still planned as a hash join on (is-null, value) keys.
     """
     pairs = [(c, c) if isinstance(c, str) else c for c in on]
     keys = lookup.select(*[F.col(r).alias(f"_k{i}") for i, (_, r) in enumerate(pairs)]).distinct() \
         .withColumn(flag, F.lit(True))
-    cond = [F.col(left) == F.col(f"_k{i}") for i, (left, _) in enumerate(pairs)]
-    joined = df.join(keys, on=reduce(lambda a, b: a & b, cond), how="left")
+    joined = df.join(keys, on=_key_condition(pairs, null_safe), how="left")
     return joined.drop(*[f"_k{i}" for i in range(len(pairs))]) \
         .withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
-def semi_join(df: DataFrame, lookup: DataFrame, on: Sequence[tuple[str, str]] | Sequence[str]) -> DataFrame:
+def semi_join(df: DataFrame, lookup: DataFrame, on: Sequence[tuple[str, str]] | Sequence[str],
+              null_safe: bool = False) -> DataFrame:
     """Rows of ``df`` whose key appears in ``lookup`` (``filter(x %in% lookup$y)``)."""
     pairs = [(c, c) if isinstance(c, str) else c for c in on]
     keys = lookup.select(*[F.col(r).alias(f"_k{i}") for i, (_, r) in enumerate(pairs)])
-    cond = [F.col(left) == F.col(f"_k{i}") for i, (left, _) in enumerate(pairs)]
-    return df.join(keys, on=reduce(lambda a, b: a & b, cond), how="left_semi")
+    return df.join(keys, on=_key_condition(pairs, null_safe), how="left_semi")
 
 
 def top_k(df: DataFrame, k: int, order: Sequence[Column], tiebreak: Sequence[str] = ()) -> DataFrame:
