@@ -1,14 +1,58 @@
-"""Exact median per group (``median(x, na.rm = TRUE)``: mean of the two middle values
-for an even count, null for an empty group)."""
+"""Exact median per group without gathering a group in one task.
+
+``median(x, na.rm = TRUE)`` is the mean of the values at 0-based ranks
+``(n - 1) div 2`` and ``n div 2`` of the sorted group (null for an empty group). A
+built-in percentile keeps every distinct value of a group in one buffer on one task,
+which does not survive a group holding a large share of the rows. Here:
+
+1. count rows per (group, value): a partial aggregate, so repeated values collapse
+   before any shuffle;
+2. range-partition those counts on (group, value), so a large group is split into
+   value ranges spread over many partitions;
+3. take running counts inside each (group, range partition) slice, and add the
+   counts of the group's earlier slices (one row per group and partition);
+4. keep the rows whose running count spans a target rank.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_median(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
-    """One row per group with the exact median of ``value`` in column ``out``."""
-    return df.groupBy(*group).agg(F.median(F.col(value)).alias(out))
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in keys],
+                           *[c for c in right.columns if c not in keys])
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys])
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in keys])
+
+
+def exact_median(df: DataFrame, group: Sequence[str], value: str, out: str,
+                 num_partitions: int | None = None) -> DataFrame:
+    """One row per group having at least one non-null value, with its exact median."""
+    g = list(group)
+    n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = F.col("_v")
+    vals = df.select(*g, F.col(value).cast("double").alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
+    counts = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    targets = (counts.groupBy(*g).agg(F.sum("_c").alias("_n"))
+               .select(*g, F.floor((F.col("_n") - 1) / 2).alias("_k_lo"), F.floor(F.col("_n") / 2).alias("_k_hi")))
+
+    ranged = counts.repartitionByRange(n_parts, *[F.col(c).asc_nulls_last() for c in g], v.asc()) \
+        .withColumn("_pid", F.spark_partition_id())
+    running = ranged.withColumn("_cum", F.sum("_c").over(
+        Window.partitionBy(*g, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    slices = ranged.groupBy(*g, "_pid").agg(F.sum("_c").alias("_t"))
+    offsets = slices.select(*g, "_pid", F.coalesce(F.sum("_t").over(
+        Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+
+    cum = _join_null_safe(running, offsets, [*g, "_pid"]).withColumn("_hi_rank", F.col("_cum") + F.col("_off"))
+    lo_rank = F.col("_hi_rank") - F.col("_c")  # ranks [lo_rank, hi_rank) hold this value
+    hits = _join_null_safe(cum, targets, g)
+    at = lambda k: F.when((lo_rank <= F.col(k)) & (F.col(k) < F.col("_hi_rank")), v)
+    picked = hits.filter(at("_k_lo").isNotNull() | at("_k_hi").isNotNull()) \
+        .groupBy(*g).agg(F.max(at("_k_lo")).alias("_lo"), F.max(at("_k_hi")).alias("_hi"))
+    return picked.select(*g, ((F.col("_lo") + F.col("_hi")) / 2).alias(out))

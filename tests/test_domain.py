@@ -96,3 +96,22 @@ def test_next_event_equals_global_window(spark, n_parts, seed):
     got = sorted(got.select(*order, F.col("next_TEAM_WYID").alias("nt"), F.col("next_PRIMARYTYPE").alias("np"))
                  .collect(), key=str)
     assert got == expected
+
+
+@pytest.mark.parametrize("n_parts,seed", [(1, 5), (4, 6), (13, 7)])
+def test_exact_median_matches_builtin(spark, n_parts, seed):
+    from pitchframe.operators.quantile import exact_median
+
+    rnd = random.Random(seed)
+    rows = []
+    for _ in range(700):
+        grp = rnd.choice([None, "a", "b", "b", "b", "c"])  # "b" is the hot group
+        rows.append((grp, rnd.choice([None, float(rnd.randrange(40)), rnd.random() * 10])))
+    rows.append(("only_null", None))
+    rows.append(("one", 3.5))
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r.m for r in exact_median(df, ["g"], "x", "m", num_partitions=n_parts).collect()}
+    want = {r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect() if r.m is not None}
+    assert set(got) == set(want)
+    for k in want:
+        assert abs(got[k] - want[k]) < 1e-9, k
