@@ -11,23 +11,26 @@ from ..functions.semantics import asc_last, count_true, desc_last, in_set, paste
 from ..operators.relational import (first_by_key, flag_in, share_of_group, stack_rows, top_k,
                                     top_k_per_group)
 from ..operators.sequence import next_event
-from ..sources.tables import EventData
+from ..sources.tables import EventData, in_list_params, sql_query
 from .params import Params
 
 EVENT_COLUMNS = ["EVENT_WYID", "TEAM_WYID", "PRIMARYTYPE", "LOCATIONX", "LOCATIONY", "MINUTE"]
 
 
-def _date(value: str | None) -> Column:
-    return F.current_date() if value is None else F.lit(value).cast("date")
-
-
 def match_scope(d: EventData, p: Params) -> DataFrame:
-    """Q01: matches of the chosen competitions played between ``date_from`` and ``as_of``."""
-    m = d.matches
-    when = m["DATE"].cast("date")
-    return (m.filter(in_set("COMPETITION_WYID", p.competitions)
-                     & when.between(_date(p.date_from), _date(p.as_of)))
-            .select("MATCH_WYID", "SEASON_WYID"))
+    """Q01: matches of the chosen competitions played between ``date_from`` and ``as_of``
+    (today when not given). Written as parameterised SQL text, as the original sends it."""
+    comps, args = in_list_params("comp", list(p.competitions))
+    args["date_from"] = p.date_from
+    upper = "CURRENT_DATE()" if p.as_of is None else "CAST(:as_of AS DATE)"
+    if p.as_of is not None:
+        args["as_of"] = p.as_of
+    return sql_query(d.matches.sparkSession, f"""
+        SELECT MATCH_WYID, SEASON_WYID
+        FROM {{matches}}
+        WHERE COMPETITION_WYID IN {comps}
+          AND CAST(`DATE` AS DATE) BETWEEN CAST(:date_from AS DATE) AND {upper}""",
+                     {"matches": d.matches}, args)
 
 
 def first_event_rows(d: EventData) -> DataFrame:

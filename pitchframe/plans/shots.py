@@ -11,7 +11,7 @@ from ..functions.binning import cut, seq_breaks, upper_bound_bins
 from ..functions.geometry import distance_to_goal, goal_angle_deg, is_finite, x_metres, y_metres
 from ..functions.semantics import count_true, if_else, in_set, lenient_sum, not_in_set, pct
 from ..operators.relational import first_by_key, share_of_total, stack_rows
-from ..sources.tables import EventData
+from ..sources.tables import EventData, in_list_params, sql_query
 from .params import Params
 
 
@@ -62,10 +62,15 @@ def goal_share(d: EventData, p: Params) -> DataFrame:
 
 
 def shot_coordinates(d: EventData, p: Params) -> DataFrame:
-    """Q19: located shot events in the chosen seasons, first row per event."""
-    c = (d.shot_common.filter(in_set("SEASON_WYID", p.seasons) & (F.col("PRIMARYTYPE") == K.SHOT_TYPE))
-         .select("EVENT_WYID", "LOCATIONX", "LOCATIONY")
-         .filter(F.col("LOCATIONX").isNotNull() & F.col("LOCATIONY").isNotNull()))
+    """Q19: located shot events in the chosen seasons, first row per event. The season
+    list is bound as parameters of the SQL text."""
+    seasons, args = in_list_params("season", list(p.seasons))
+    args["shot_type"] = K.SHOT_TYPE
+    c = sql_query(d.shot_common.sparkSession, f"""
+        SELECT EVENT_WYID, LOCATIONX, LOCATIONY
+        FROM {{common}}
+        WHERE SEASON_WYID IN {seasons} AND PRIMARYTYPE = :shot_type
+          AND LOCATIONX IS NOT NULL AND LOCATIONY IS NOT NULL""", {"common": d.shot_common}, args)
     return first_by_key(c, ["EVENT_WYID"])
 
 

@@ -46,13 +46,18 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None
     return reader.load()
 
 
-def sql_query(spark: SparkSession, text: str, views: dict[str, DataFrame],
+def sql_query(spark: SparkSession, text: str, tables: dict[str, DataFrame],
               args: dict | None = None) -> DataFrame:
-    """Run SQL text over named DataFrames, with named parameters (``:season``) bound
-    as literals rather than spliced into the text."""
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text, args=args or {})
+    """SQL text over DataFrames: ``{name}`` placeholders refer to ``tables`` (no global
+    views are registered) and ``:param`` markers are bound from ``args`` as literals,
+    never spliced into the text. Catalyst plans it exactly like the DataFrame form."""
+    return spark.sql(text, args=args or {}, **tables)
+
+
+def in_list_params(prefix: str, values) -> tuple[str, dict]:
+    """``(:p0, :p1, ...)`` text and its bindings, for an IN list of any length."""
+    names = [f"{prefix}{i}" for i in range(len(values))]
+    return "(" + ", ".join(":" + n for n in names) + ")", dict(zip(names, values))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,

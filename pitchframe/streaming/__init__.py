@@ -1,0 +1 @@
+"""Structured Streaming counterparts of the additive pass counters (see ``live``)."""
