@@ -15,7 +15,7 @@ from ..operators.relational import first_by_key, semi_join, share_of_group, top_
 from ..sources.tables import EventData
 from .assists import marked_passes
 from .params import Params
-from .shots import goal_flag, shot_coordinates
+from .shots import goal_flag, shots_geo
 from .standings import match_goals
 
 
@@ -57,8 +57,7 @@ def match_pass_outcomes(d: EventData, p: Params) -> DataFrame:
 
 def shots_plotdata(d: EventData, p: Params) -> DataFrame:
     """Located open-play shots with team name and goal label (the shot-map input)."""
-    s = goal_flag(d, p).join(shot_coordinates(d, p), "EVENT_WYID")
-    s = s.join(first_by_key(d.teams, ["TEAM_WYID"]), "TEAM_WYID", "left")
+    s = shots_geo(d, p).join(first_by_key(d.teams, ["TEAM_WYID"]), "TEAM_WYID", "left")
     return s.select("MATCH_WYID", "EVENT_WYID", "TEAM_WYID", "TEAMNAME",
                     F.col("LOCATIONX").alias("x"), F.col("LOCATIONY").alias("y"),
                     if_else(F.col("total_goal") == 1, K.GOAL_LABEL, K.NO_GOAL_LABEL).alias("is_goal"))
@@ -67,7 +66,7 @@ def shots_plotdata(d: EventData, p: Params) -> DataFrame:
 def match_list_with_goals(d: EventData, p: Params) -> DataFrame:
     """Q46: matches of the chosen seasons with goals counted from the shot map (0 if
     none) and a "label (season)" text."""
-    goals = shots_plotdata(d, p).filter(F.col("is_goal") == K.GOAL_LABEL) \
+    goals = shots_geo(d, p).filter(F.col("total_goal") == 1) \
         .groupBy("MATCH_WYID").agg(F.count(F.lit(1)).alias("_goals"))
     m = d.matches.filter(in_set("SEASON_WYID", p.seasons)).join(goals, "MATCH_WYID", "left")
     return (m.withColumn("goals_in_shots", F.coalesce(F.col("_goals"), F.lit(0).cast("bigint")))

@@ -10,7 +10,7 @@ from .. import constants as K
 from ..functions.binning import cut, seq_breaks, upper_bound_bins
 from ..functions.geometry import distance_to_goal, goal_angle_deg, is_finite, x_metres, y_metres
 from ..functions.semantics import count_true, if_else, in_set, lenient_sum, not_in_set, pct
-from ..operators.relational import first_by_key, share_of_total, stack_rows
+from ..operators.relational import first_by_key, share_of_total
 from ..sources.tables import EventData, in_list_params, sql_query
 from .params import Params
 
@@ -153,9 +153,7 @@ def conversion_by_minute(d: EventData, p: Params) -> DataFrame:
 def shot_precision(d: EventData, p: Params) -> DataFrame:
     """Q27: shots on / off target as counts and share of the two (long form)."""
     agg = goal_flag(d, p).agg(F.count(F.lit(1)).alias("total_shots"),
-                              count_true(F.col("SHOTONTARGET") == 1).alias("on_target"),
-                              count_true(F.col("SHOTONTARGET") == 0).alias("off_target"))
-    long = stack_rows(agg, [(F.col("total_shots"), F.lit(K.ON_TARGET_LABEL), F.col("on_target")),
-                            (F.col("total_shots"), F.lit(K.OFF_TARGET_LABEL), F.col("off_target"))],
-                      ["total_shots", "outcome", "count"])
+                              count_true(F.col("SHOTONTARGET") == 1).alias(K.ON_TARGET_LABEL),
+                              count_true(F.col("SHOTONTARGET") == 0).alias(K.OFF_TARGET_LABEL))
+    long = agg.unpivot(["total_shots"], [K.ON_TARGET_LABEL, K.OFF_TARGET_LABEL], "outcome", "count")
     return long.withColumn("pct", share_of_total("count"))
