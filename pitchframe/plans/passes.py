@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.binning import zone
-from ..functions.semantics import asc_last, count_true, desc_last, in_set, paste0, pct, ratio
+from ..functions.semantics import asc_last, count_true, desc_last, in_set, paste0, pct
 from ..operators.relational import (first_by_key, flag_in, share_of_group, stack_rows, top_k,
                                     top_k_per_group)
 from ..operators.sequence import next_event

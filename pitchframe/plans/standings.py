@@ -11,7 +11,7 @@ from ..functions.semantics import (asc_last, count_true, desc_last, if_else, in_
 from ..operators.relational import first_by_key, share_of_group, split_typed
 from ..sources.tables import EventData
 from .params import Params
-from .passes import first_event_rows, league_passes
+from .passes import league_passes
 
 
 def match_overview(d: EventData, p: Params) -> DataFrame:
