@@ -1 +1 @@
-"""Structured Streaming counterparts of the additive pass counters (see ``live``)."""
+"""Structured Streaming form of the additive pass counter (see ``live``)."""

@@ -1,15 +1,13 @@
-"""Live versions of the per-team and per-match pass counters.
+"""Live version of the per-team accuracy counter (``accuracy_flag_success``).
 
-The dashboards of the original re-run per-team and per-match pass summaries on
-demand. When enriched pass rows (the ``pass_enrichment`` table) arrive continuously,
+The original re-runs its pass summaries on demand. When enriched pass rows (the ``pass_enrichment`` table) arrive continuously,
 for example one parquet file per finished match, the same counters are kept up to date
 by Structured Streaming: the aggregation state lives in the checkpoint of the query,
 so a restarted or failed driver resumes where it stopped.
 
-Only counters that are additive over new rows are offered here. The success flag of
-the batch analytics depends on the passer set of the whole scope (a late pass can
-make an earlier one successful), so it stays a batch computation; the live counters
-use the per-row ACCURATE flag instead.
+Only analytics that are additive over new rows can be kept live this way. The success
+flag of the other pass analytics depends on the passer set of the whole scope (a late
+pass can make an earlier one successful), so they stay batch computations.
 """
 
 from __future__ import annotations
@@ -44,12 +42,6 @@ def live_team_accuracy(rows: DataFrame, p: Params) -> DataFrame:
             .withColumn("success_rate", pct(F.col("success"), F.col("total"))))
 
 
-def live_match_team_passes(rows: DataFrame, p: Params) -> DataFrame:
-    """Running passes and accurate passes per match and team."""
-    return (_league(rows, p).groupBy("MATCH_WYID", "TEAM_WYID")
-            .agg(F.count(F.lit(1)).alias("passes"), count_true(F.col("ACCURATE") == 1).alias("accurate")))
-
-
 def start(agg: DataFrame, name: str, checkpoint: str | None = None, sink: str = "memory",
           path: str | None = None, available_now: bool = False) -> StreamingQuery:
     """Run a live counter. ``checkpoint`` defaults to ``<spark.checkpoint.dir>/<name>``;
