@@ -1,9 +1,10 @@
 """Live version of the per-team accuracy counter (``accuracy_flag_success``).
 
-The original re-runs its pass summaries on demand. When enriched pass rows (the ``pass_enrichment`` table) arrive continuously,
-for example one parquet file per finished match, the same counters are kept up to date
-by Structured Streaming: the aggregation state lives in the checkpoint of the query,
-so a restarted or failed driver resumes where it stopped.
+The original re-runs its pass summaries on demand. When enriched pass rows (the
+``pass_enrichment`` table) arrive continuously, for example one parquet file per
+finished match, the counter is kept up to date by Structured Streaming: the
+aggregation state lives in the checkpoint of the query, so a restarted or failed
+driver resumes where it stopped.
 
 Only analytics that are additive over new rows can be kept live this way. The success
 flag of the other pass analytics depends on the passer set of the whole scope (a late
