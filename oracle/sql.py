@@ -513,6 +513,22 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+def _bigint_counts(sql: str) -> str:
+    """DuckDB's count_if returns HUGEINT; every count is BIGINT on both sides."""
+    out, i, token = [], 0, "count_if("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(token)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k] + " AS BIGINT)")
+        i = k
+
+
 def _wrap(select: str, doubles: tuple[str, ...]) -> str:
     body = f"WITH {BASE},{DERIVED}\n"
     if not doubles:
@@ -523,4 +539,4 @@ def _wrap(select: str, doubles: tuple[str, ...]) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _wrap(sel, dbl) for name, (sel, dbl) in QUERIES.items()}
+    return {name: _bigint_counts(_wrap(sel, dbl)) for name, (sel, dbl) in QUERIES.items()}
