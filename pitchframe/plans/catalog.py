@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..sources import testdata
-from ..sources.tables import EventData
+from ..sources.tables import EventData, session_key
 from . import assists, match_views, passes, shots, standings
 from .params import Params
 
@@ -89,7 +89,7 @@ _DATA: dict[tuple, EventData] = {}
 def event_data(spark: SparkSession, root: str) -> EventData:
     """The test tables of ``root`` as domain tables; one instance per Spark context and
     directory, so derived tables materialized by one analytic serve the others."""
-    key = (id(spark.sparkContext), spark.sparkContext.applicationId, root)
+    key = (*session_key(spark), root)
     if key not in _DATA:
         _DATA[key] = testdata.load(spark, root)
     return _DATA[key]

@@ -14,13 +14,30 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The session's checkpoint folder, if one is set."""
+    try:
+        return spark.sparkContext.getCheckpointDir()
+    except Exception:  # sessions without a SparkContext handle (Spark Connect)
+        return spark.conf.get("spark.checkpoint.dir", None) or None
+
+
+def session_key(spark: SparkSession) -> tuple:
+    """Identifies one live session (used to key per-session caches)."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:
+        app = spark.conf.get("spark.app.id", "")
+    return (app, id(spark))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a shared intermediate table once and cut its lineage.
 
     With ``spark.checkpoint.dir`` set (a shared, reliable folder on a cluster) the table
     is checkpointed there; otherwise it is persisted in memory and on local disk, and a
     lost executor's blocks are recomputed from lineage."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
+    if checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 

@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.semantics import count_true, in_set, pct
 from ..plans.params import Params
+from ..sources.tables import checkpoint_dir
 
 
 def read_pass_stream(spark: SparkSession, path: str, schema: StructType,
@@ -50,7 +51,7 @@ def start(agg: DataFrame, name: str, checkpoint: str | None = None, sink: str =
     format writes the full current table on each trigger via ``foreachBatch``."""
     spark = agg.sparkSession
     if checkpoint is None:
-        base = spark.sparkContext.getCheckpointDir()
+        base = checkpoint_dir(spark)
         if not base:
             raise ValueError("set spark.checkpoint.dir or pass checkpoint=")
         checkpoint = f"{base.rstrip('/')}/{name}"
