@@ -29,3 +29,10 @@ class Params:
     min_bin_shots: int = 1
     top_n: int = 10
     match_id: int | None = None
+
+    def __post_init__(self) -> None:
+        # parameters key the shared derived tables, so list arguments become tuples
+        for name in ("seasons", "competitions", "shot_seasons", "club_pass_types"):
+            value = getattr(self, name)
+            if isinstance(value, (list, set)):
+                object.__setattr__(self, name, tuple(value))
