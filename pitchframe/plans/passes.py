@@ -33,9 +33,16 @@ def match_scope(d: EventData, p: Params) -> DataFrame:
                      {"matches": d.matches}, args)
 
 
-def first_event_rows(d: EventData) -> DataFrame:
-    """One common-table row per event: the first in (every other column ascending, nulls last)."""
-    return first_by_key(d.common, ["EVENT_WYID"]).select(*EVENT_COLUMNS)
+def first_event_rows(d: EventData, matches: DataFrame | None = None) -> DataFrame:
+    """One common-table row per event: the first in (every other column ascending, nulls last).
+
+    With ``matches`` given, only events of those matches are considered, so the shuffle
+    and sort behind first-row-per-event cover the matches in scope rather than the whole
+    event table (an event id belongs to one match)."""
+    c = d.common
+    if matches is not None:
+        c = c.join(matches.select("MATCH_WYID"), "MATCH_WYID", "left_semi")
+    return first_by_key(c, ["EVENT_WYID"]).select(*EVENT_COLUMNS)
 
 
 def pass_enrichment(d: EventData, p: Params) -> DataFrame:
@@ -43,10 +50,12 @@ def pass_enrichment(d: EventData, p: Params) -> DataFrame:
 
     Both joins are left joins, as in the original. The result feeds every pass
     analytic (and is read twice inside ``scoped_passes``), so it is materialized once."""
-    return d.derived(("pass_enrichment", p), lambda: (
-        match_scope(d, p)
-        .join(d.passes, "MATCH_WYID", "left")
-        .join(first_event_rows(d), "EVENT_WYID", "left")))
+    def build() -> DataFrame:
+        scope = match_scope(d, p)
+        return (scope.join(d.passes, "MATCH_WYID", "left")
+                .join(first_event_rows(d, scope), "EVENT_WYID", "left"))
+
+    return d.derived(("pass_enrichment", p), build)
 
 
 def _passers(pe: DataFrame) -> DataFrame:
