@@ -87,7 +87,11 @@ d_shot_types AS (
          CASE event_type WHEN 'click' THEN 'corn' WHEN 'view' THEN 'free' WHEN 'error' THEN NULL ELSE 'shot' END AS PRIMARYTYPE
   FROM events
   UNION ALL
-  SELECT event_id, user_id, 'pena' FROM events WHERE event_id % 29 = 0),
+  SELECT event_id, user_id,
+         CASE WHEN event_id % 29 = 0 THEN 'pena'
+              ELSE CASE event_type WHEN 'click' THEN 'corn' WHEN 'view' THEN 'free' WHEN 'error' THEN NULL ELSE 'shot' END
+         END
+  FROM events),
 d_shot_common AS (
   SELECT event_id AS EVENT_WYID, user_id AS MATCH_WYID,
          CAST(CASE WHEN event_id % 3 = 0 THEN 191611 ELSE 189918 END AS BIGINT) AS SEASON_WYID,

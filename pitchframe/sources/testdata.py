@@ -130,17 +130,15 @@ def shots(events: DataFrame) -> DataFrame:
 
 def shot_types(events: DataFrame) -> DataFrame:
     et = _c("event_type")
-    base = events.select(
-        _c("event_id").alias("EVENT_WYID"),
-        _c("user_id").alias("MATCH_WYID"),
-        F.when(et == "click", "corn").when(et == "view", "free").when(et == "error", F.lit(None))
-        .otherwise("shot").cast("string").alias("PRIMARYTYPE"),
-    )
-    # a second tag row for some events, so that first-row-per-event has work to do
-    extra = events.filter(_c("event_id") % 29 == 0).select(
-        _c("event_id").alias("EVENT_WYID"), _c("user_id").alias("MATCH_WYID"),
-        F.lit("pena").alias("PRIMARYTYPE"))
-    return base.unionByName(extra)
+    kind = (F.when(et == "click", "corn").when(et == "view", "free").when(et == "error", F.lit(None))
+            .otherwise("shot").cast("string"))
+    base = events.select(_c("event_id").alias("EVENT_WYID"), _c("user_id").alias("MATCH_WYID"),
+                         kind.alias("PRIMARYTYPE"))
+    # every event has a second tag row: a copy, or a penalty tag for some events, so that
+    # first-row-per-event sees both identical and conflicting duplicates
+    second = events.select(_c("event_id").alias("EVENT_WYID"), _c("user_id").alias("MATCH_WYID"),
+                           F.when(_c("event_id") % 29 == 0, F.lit("pena")).otherwise(kind).alias("PRIMARYTYPE"))
+    return base.unionByName(second)
 
 
 def shot_common(events: DataFrame) -> DataFrame:
