@@ -51,7 +51,7 @@ def flag_in(df: DataFrame, lookup: DataFrame, on: Sequence[tuple[str, str]] | Se
 
     ``lookup`` is reduced to its distinct keys first, so the left join cannot fan out.
     ``on`` holds column names shared by both sides, or (left, right) name pairs.
-    ``null_safe`` lets a null key match a null key (R's ``%in%`` and dplyr joins do);
+    ``null_safe`` lets a null key match a null key (as the original's membership tests and joins do);
     it is still planned as a hash join on (is-null, value) keys.
     """
     pairs = [(c, c) if isinstance(c, str) else c for c in on]
