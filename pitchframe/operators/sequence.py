@@ -61,6 +61,12 @@ def _successor_within_partition(carry: Sequence[str], out_names: Sequence[str]):
     return run
 
 
+def range_slices(log: DataFrame, sort_cols: Sequence[str], n: int) -> DataFrame:
+    """The log range-partitioned on the full sort key (nulls last): a match holding many
+    rows is cut into several partitions, because the later sort columns split it."""
+    return log.repartitionByRange(n, *[F.col(c).asc_nulls_last() for c in sort_cols])
+
+
 def next_event(log: DataFrame, order: Sequence[str], carry: Sequence[str], *,
                scope: str = "global", match_col: str = "MATCH_WYID",
                num_partitions: int | None = None, prefix: str = "next_") -> DataFrame:
@@ -80,7 +86,7 @@ def next_event(log: DataFrame, order: Sequence[str], carry: Sequence[str], *,
     sort_cols = list(order) + [c for c in carry if c not in order]
     sort_exprs = [F.col(c).asc_nulls_last() for c in sort_cols]
 
-    ranged = log.repartitionByRange(n, *sort_exprs)
+    ranged = range_slices(log, sort_cols, n)
     next_names = [prefix + c for c in carry]
     out_schema = StructType(
         list(log.schema.fields)
