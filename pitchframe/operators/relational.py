@@ -77,6 +77,12 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], tiebreak: Sequence[str
     return df.orderBy(*order, *[asc_last(c) for c in tiebreak]).limit(k)
 
 
+def in_rank_order(top: DataFrame, order: Sequence[Column], tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Put a top-k result (at most k rows, e.g. after joining names to it) back in rank
+    order; one partition of k rows is sorted, no exchange is added."""
+    return top.coalesce(1).sortWithinPartitions(*order, *[asc_last(c) for c in tiebreak])
+
+
 def top_k_per_group(df: DataFrame, group: Sequence[str], k: int, order: Sequence[Column],
                     tiebreak: Sequence[str] = (), rank_col: str = "rank") -> DataFrame:
     """Top-k inside each group, numbered 1..k in ``rank_col``."""

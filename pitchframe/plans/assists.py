@@ -9,7 +9,7 @@ from .. import constants as K
 from ..functions.semantics import asc_last, count_true, desc_last, in_set, lenient_sum, ratio
 from ..operators.quantile import exact_median
 from ..operators.relational import (any_column_matches, first_by_key, flag_in, semi_join,
-                                    fraction_of_total, stack_rows, top_k)
+                                    fraction_of_total, in_rank_order, stack_rows, top_k)
 from ..sources.tables import EventData
 from .params import Params
 from .passes import league_passes, match_scope
@@ -136,5 +136,6 @@ def top_assist_players(d: EventData, p: Params, k: int = 10) -> DataFrame:
     best = top_k(totals, k, [desc_last("assists")], ["PLAYER_WYID", "TEAM_WYID"])
     players = first_by_key(d.players, ["PLAYER_WYID"]).select("PLAYER_WYID", "SHORTNAME")
     teams = first_by_key(d.teams, ["TEAM_WYID"]).select("TEAM_WYID", F.col("TEAMNAME").alias("team"))
-    return (best.join(players, "PLAYER_WYID", "left").join(teams, "TEAM_WYID", "left")
-            .select("PLAYER_WYID", "TEAM_WYID", "SHORTNAME", "team", "assists"))
+    named = (best.join(players, "PLAYER_WYID", "left").join(teams, "TEAM_WYID", "left")
+             .select("PLAYER_WYID", "TEAM_WYID", "SHORTNAME", "team", "assists"))
+    return in_rank_order(named, [desc_last("assists")], ["PLAYER_WYID", "TEAM_WYID"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.semantics import desc_last, if_else, in_set, lenient_sum, paste0
-from ..operators.relational import first_by_key, semi_join, share_of_group, top_k
+from ..operators.relational import first_by_key, in_rank_order, semi_join, share_of_group, top_k
 from ..sources.tables import EventData
 from .assists import marked_passes
 from .params import Params
@@ -29,7 +29,8 @@ def top_scorers_xg(d: EventData, p: Params) -> DataFrame:
                                                          lenient_sum("SHOTXG").alias("xg"))
     best = top_k(totals, p.top_n, [desc_last("goals")], ["PLAYER_WYID"])
     names = first_by_key(d.players, ["PLAYER_WYID"]).select("PLAYER_WYID", F.col("SHORTNAME").alias("player_name"))
-    return best.join(names, "PLAYER_WYID", "left").select("PLAYER_WYID", "player_name", "goals", "xg")
+    named = best.join(names, "PLAYER_WYID", "left").select("PLAYER_WYID", "player_name", "goals", "xg")
+    return in_rank_order(named, [desc_last("goals")], ["PLAYER_WYID"])
 
 
 def _club_match_ids(d: EventData, p: Params) -> DataFrame:
