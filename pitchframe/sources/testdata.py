@@ -157,18 +157,20 @@ def shot_common(events: DataFrame) -> DataFrame:
 
 
 def match_teams(orders: DataFrame) -> DataFrame:
+    """Two team rows per order (one scan: both sides exploded from one row)."""
     k = _c("o_orderkey")
 
-    def side(team: Column) -> DataFrame:
+    def side(team: Column) -> Column:
         goals = (k * (team + 3) % 4).cast("string")
         score = (F.when(k % 50 == 0, F.lit(None).cast("string"))
                  .when(k % 50 == 1, F.lit(""))
                  .when(k % 50 == 2, goals)
                  .otherwise(F.concat(goals, F.lit("-0"))))
-        return orders.select(k.alias("MATCH_WYID"), team.alias("TEAM_WYID"), score.alias("SCORE"))
+        return F.struct(team.alias("TEAM_WYID"), score.alias("SCORE"))
 
-    return side(k % TEAMS_IN_SCORES).unionByName(
-        side((k + 1 + _c("o_custkey") % 11) % TEAMS_IN_SCORES))
+    sides = F.array(side(k % TEAMS_IN_SCORES), side((k + 1 + _c("o_custkey") % 11) % TEAMS_IN_SCORES))
+    return orders.select(k.alias("MATCH_WYID"), F.explode(sides).alias("_s")) \
+        .select("MATCH_WYID", "_s.TEAM_WYID", "_s.SCORE")
 
 
 def players(part: DataFrame) -> DataFrame:
