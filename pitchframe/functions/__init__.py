@@ -1,0 +1 @@
+"""Column-level helpers: null/tie/rounding rules, bins, pitch geometry."""

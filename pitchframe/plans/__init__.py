@@ -1,0 +1 @@
+"""The named analytics (passes, shots, standings, assists, match views) and their registry."""

@@ -1,0 +1 @@
+"""Readers, shared-table materialisation and the test-data mapping."""
