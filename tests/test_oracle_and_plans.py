@@ -94,3 +94,38 @@ def test_filters_reach_the_scan(spark):
 def test_sequence_operator_range_partitions(spark):
     plan = _plan(E.queries()["passes_leading_to_shot"](spark, SMALL))
     assert "rangepartitioning(MATCH_WYID" in plan and "MapInArrow" in plan
+
+
+def _unpartitioned_windows_read_aggregates(plan: str) -> bool:
+    """Every window without a partition key must read an aggregate through its
+    single-partition exchange, never row-level data."""
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Window [" not in line or "windowspecdefinition(" not in line:
+            continue
+        spec = line.split("windowspecdefinition(", 1)[1]
+        first = spec.split(",", 1)[0]
+        if not (first.startswith("specifiedwindowframe") or " ASC " in first + " " or " DESC " in first + " "):
+            continue  # partitioned window
+        depth = len(line) - len(line.lstrip(" :|+-"))
+        below = []
+        for nxt in lines[i + 1:]:
+            if len(nxt) - len(nxt.lstrip(" :|+-")) <= depth:
+                break
+            below.append(nxt)
+        seen_exchange = False
+        for op in below:
+            if "Exchange SinglePartition" in op:
+                seen_exchange = True
+            elif seen_exchange and ("Aggregate" in op):
+                break
+            elif seen_exchange and ("Scan" in op or "Exchange" in op):
+                return False
+        else:
+            return False
+    return True
+
+
+def test_no_unpartitioned_window_over_rows(spark):
+    for name, q in E.queries().items():
+        assert _unpartitioned_windows_read_aggregates(_plan(q(spark, SMALL))), name
