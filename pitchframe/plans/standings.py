@@ -31,14 +31,14 @@ def match_goals(d: EventData, p: Params) -> DataFrame:
 
 
 def _match_goals(d: EventData, p: Params) -> DataFrame:
-    m = d.matches.select("MATCH_WYID", "SEASON_WYID", "COMPETITION_WYID")
-    md = (d.match_teams.join(m, "MATCH_WYID", "left")
-          .filter(in_set("COMPETITION_WYID", p.competitions) & in_set("SEASON_WYID", p.seasons)))
-    clean = md.filter(F.col("SCORE").isNotNull() & (F.col("SCORE") != "")) \
-        .select("MATCH_WYID", "TEAM_WYID", "SEASON_WYID",
-                *split_typed("SCORE", "-", ["goals_for", "goals_against"]))
-    side = first_by_key(clean.select("MATCH_WYID", "TEAM_WYID", "goals_for", "SEASON_WYID"),
-                        ["MATCH_WYID", "TEAM_WYID"])
+    clean = d.match_teams.filter(F.col("SCORE").isNotNull() & (F.col("SCORE") != "")) \
+        .select("MATCH_WYID", "TEAM_WYID", *split_typed("SCORE", "-", ["goals_for", "goals_against"]))
+    # one row per (match, team) before anything is keyed on the match alone; the limit
+    # runs on both sides of this shuffle, so repeated rows of a key never pile up
+    side = first_by_key(clean.select("MATCH_WYID", "TEAM_WYID", "goals_for"), ["MATCH_WYID", "TEAM_WYID"])
+    m = d.matches.filter(in_set("COMPETITION_WYID", p.competitions) & in_set("SEASON_WYID", p.seasons)) \
+        .select("MATCH_WYID", "SEASON_WYID")
+    side = side.join(m, "MATCH_WYID")
     opp = side.select("MATCH_WYID", F.col("TEAM_WYID").alias("_opp"), F.col("goals_for").alias("goals_against"))
     return (side.join(opp, "MATCH_WYID")
             .filter(F.col("TEAM_WYID") != F.col("_opp"))
