@@ -55,12 +55,16 @@ def main(names):
     from pitchframe.plans.catalog import TEST_PARAMS as P
 
     d = testdata.load(spark, "/root/testdata/sf0.001")
+    from pitchframe.operators.sequence import next_event
+
     builds = {
         "scoped_passes": lambda: passes.scoped_passes(d, P),
-        "passes_leading_to_shot": lambda: passes.passes_leading_to_shot(d, P),
-        "exact_median": lambda: exact_median(assists.marked_passes(d, P), ["is_assist"], "LENGTH", "m"),
+        "next_event": lambda: next_event(d.event_log.select("MATCH_WYID", "EVENT_WYID", "TEAM_WYID", "PRIMARYTYPE"),
+                                         ["MATCH_WYID", "EVENT_WYID"], ["TEAM_WYID", "PRIMARYTYPE"]),
+        "exact_median": lambda: exact_median(d.passes, ["ACCURATE"], "LENGTH", "m"),
         "match_goals": lambda: standings.match_goals(d, P),
-        "team_pass_success": lambda: passes.team_pass_success(d, P),
+        "passes_leading_to_shot": lambda: passes.passes_leading_to_shot(d, P),
+        "assist_vs_other_length": lambda: assists.assist_vs_other_length(d, P),
     }
     for name in names or builds:
         print(f"### {name}\n\n```\n{tree(builds[name]())}\n```\n")
