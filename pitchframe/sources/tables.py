@@ -32,14 +32,16 @@ def session_key(spark: SparkSession) -> tuple:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute a shared intermediate table once and cut its lineage.
+    """Compute a shared intermediate table once, now, and cut its lineage.
 
     With ``spark.checkpoint.dir`` set (a shared, reliable folder on a cluster) the table
-    is checkpointed there; otherwise it is persisted in memory and on local disk, and a
-    lost executor's blocks are recomputed from lineage."""
+    is checkpointed there; otherwise it is persisted in memory and on local disk (a lost
+    executor's blocks are recomputed from lineage)."""
     if checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
 
 
 def read_parquet(spark: SparkSession, root: str, name: str) -> DataFrame:
