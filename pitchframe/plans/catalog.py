@@ -78,9 +78,14 @@ ANALYTICS: dict[str, Callable[[EventData, Params], DataFrame]] = {
 
 
 def round_doubles(df: DataFrame, scale: int = 6) -> DataFrame:
-    """Round every double column (float sums differ in the last bits between engines)."""
-    return df.select(*[F.round(F.col(f.name), scale).alias(f.name) if isinstance(f.dataType, DoubleType)
-                       else F.col(f.name) for f in df.schema.fields])
+    """Round every double column (float sums differ in the last bits between engines).
+
+    Computed as ``round(x * 10^scale) / 10^scale`` (half away from zero on the scaled
+    double), the same steps DuckDB's ``round(x, scale)`` takes, so equal inputs round
+    equally even when the exact value sits on a rounding boundary."""
+    m = float(10 ** scale)
+    return df.select(*[(F.round(F.col(f.name) * F.lit(m), 0) / F.lit(m)).alias(f.name)
+                       if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
 _DATA: dict[tuple, EventData] = {}
