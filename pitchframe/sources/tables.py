@@ -111,6 +111,24 @@ class EventData:
 
     builders: dict[str, Callable[[], DataFrame]]
     _cache: dict[str, DataFrame] = field(default_factory=dict)
+
+    TABLES = ("matches", "passes", "common", "secondary", "event_log", "shots", "shot_types",
+              "shot_common", "match_teams", "player_stats", "players", "teams")
+
+    @classmethod
+    def from_parquet(cls, spark: SparkSession, root: str, names: dict[str, str] | None = None) -> "EventData":
+        """Domain tables stored as ``<root>/<file>.parquet``; ``names`` maps a domain table
+        to its file name where they differ (by default the file is named like the table)."""
+        names = names or {}
+        return cls(builders={t: (lambda t=t: read_parquet(spark, root, names.get(t, t))) for t in cls.TABLES})
+
+    @classmethod
+    def from_jdbc(cls, spark: SparkSession, url: str, tables: dict[str, str],
+                  properties: dict | None = None) -> "EventData":
+        """Domain tables read from a database: ``tables`` maps a domain table to a database
+        table (or a parenthesised query); credentials come from ``properties``."""
+        return cls(builders={t: (lambda src=src: read_jdbc(spark, url, src, properties))
+                             for t, src in tables.items()})
     _derived: dict[Any, DataFrame] = field(default_factory=dict)
 
     def derived(self, key: Any, build: Callable[[], DataFrame]) -> DataFrame:
@@ -126,7 +144,7 @@ class EventData:
         self._derived.clear()
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name in ("builders", "derived", "release"):
+        if name.startswith("_") or name in ("builders", "derived", "release", "TABLES"):
             raise AttributeError(name)
         if name not in self._cache:
             if name not in self.builders:

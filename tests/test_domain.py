@@ -115,3 +115,14 @@ def test_exact_median_matches_builtin(spark, n_parts, seed):
     assert set(got) == set(want)
     for k in want:
         assert abs(got[k] - want[k]) < 1e-9, k
+
+
+def test_event_data_from_parquet(spark, tmp_path):
+    from pitchframe.plans.catalog import TEST_PARAMS, event_data
+
+    src = event_data(spark, "/root/testdata/sf0.001")
+    for t in ("matches", "teams"):
+        getattr(src, t).write.parquet(str(tmp_path / f"{t}.parquet"))
+    d = EventData.from_parquet(spark, str(tmp_path))
+    assert d.matches.count() == src.matches.count()
+    assert passes.match_scope(d, TEST_PARAMS).count() == passes.match_scope(src, TEST_PARAMS).count()
