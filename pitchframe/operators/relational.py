@@ -34,11 +34,6 @@ def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct key tuples (a partial aggregate on each side of the shuffle)."""
-    return df.select(*keys).distinct()
-
-
 def _key_condition(pairs, null_safe: bool) -> Column:
     eq = [(F.col(left).eqNullSafe(F.col(f"_k{i}")) if null_safe else F.col(left) == F.col(f"_k{i}"))
           for i, (left, _) in enumerate(pairs)]
@@ -79,8 +74,9 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], tiebreak: Sequence[str
 
 def in_rank_order(top: DataFrame, order: Sequence[Column], tiebreak: Sequence[str] = ()) -> DataFrame:
     """Put a top-k result (at most k rows, e.g. after joining names to it) back in rank
-    order; one partition of k rows is sorted, no exchange is added."""
-    return top.coalesce(1).sortWithinPartitions(*order, *[asc_last(c) for c in tiebreak])
+    order: the k rows are moved into one partition and sorted there. (A shuffle of k rows,
+    not ``coalesce(1)``, which would also run the stage above it in a single task.)"""
+    return top.repartition(1).sortWithinPartitions(*order, *[asc_last(c) for c in tiebreak])
 
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], k: int, order: Sequence[Column],
