@@ -83,7 +83,11 @@ def next_event(log: DataFrame, order: Sequence[str], carry: Sequence[str], *,
         carry.append(match_col)
     spark = log.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_cols = list(order) + [c for c in carry if c not in order]
+    # a row id ends the sort key, so even rows identical in every sort column (one event
+    # repeated many times) can be cut into several slices; rows tied on order + carry
+    # have identical successors, so their relative order does not change the result
+    log = log.withColumn("_seq", F.monotonically_increasing_id())
+    sort_cols = list(order) + [c for c in carry if c not in order] + ["_seq"]
     sort_exprs = [F.col(c).asc_nulls_last() for c in sort_cols]
 
     ranged = range_slices(log, sort_cols, n)
@@ -110,4 +114,4 @@ def next_event(log: DataFrame, order: Sequence[str], carry: Sequence[str], *,
         same = F.col(prefix + match_col).eqNullSafe(F.col(match_col))
         for nc in next_names:
             fixed = fixed.withColumn(nc, F.when(same, F.col(nc)))
-    return fixed.drop("_pid", "_tail", "_succ")
+    return fixed.drop("_pid", "_tail", "_succ", "_seq")

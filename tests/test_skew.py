@@ -24,6 +24,28 @@ def test_hot_match_is_split_across_range_slices(spark):
     assert max(sizes) < 2 * (sum(sizes) / len(sizes))  # no slice near a third of the rows
 
 
+def test_repeated_identical_event_is_split(spark, monkeypatch):
+    from pitchframe.operators import sequence
+
+    hot = F.col("MATCH_WYID") == 0
+    log = (_hot_log(spark)  # a third of the rows become one identical event
+           .withColumn("EVENT_WYID", F.when(hot, F.lit(0)).otherwise(F.col("EVENT_WYID")))
+           .withColumn("TEAM_WYID", F.when(hot, F.lit(0)).otherwise(F.col("TEAM_WYID")))
+           .withColumn("PRIMARYTYPE", F.when(hot, F.lit("pass")).otherwise(F.col("PRIMARYTYPE"))))
+    seen = {}
+    real = sequence.range_slices
+
+    def spy(df, cols, n):
+        out = real(df, cols, n)
+        seen["sizes"] = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        return out
+
+    monkeypatch.setattr(sequence, "range_slices", spy)
+    nx = next_event(log, ["MATCH_WYID", "EVENT_WYID"], ["TEAM_WYID", "PRIMARYTYPE"], num_partitions=12)
+    assert nx.count() == log.count()
+    assert max(seen["sizes"]) < 2 * (sum(seen["sizes"]) / len(seen["sizes"]))
+
+
 def test_hot_match_lead_is_still_exact(spark):
     log = _hot_log(spark, 6000)
     nx = next_event(log, ["MATCH_WYID", "EVENT_WYID"], ["TEAM_WYID", "PRIMARYTYPE"], num_partitions=12)
