@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
@@ -90,7 +91,12 @@ def next_event(log: DataFrame, order: Sequence[str], carry: Sequence[str], *,
     sort_cols = list(order) + [c for c in carry if c not in order] + ["_seq"]
     sort_exprs = [F.col(c).asc_nulls_last() for c in sort_cols]
 
+    # Both branches below must see the same slices. Spark reuses the one range exchange
+    # (the default); with exchange reuse switched off, two exchanges would sample their
+    # own bounds, so the slices are persisted and read by both branches instead.
     ranged = range_slices(log, sort_cols, n)
+    if str(spark.conf.get("spark.sql.exchange.reuse", "true")).lower() != "true":
+        ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
     next_names = [prefix + c for c in carry]
     out_schema = StructType(
         list(log.schema.fields)

@@ -83,3 +83,15 @@ def test_hot_key_membership_join_is_split_by_aqe(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_lead_exact_without_exchange_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        log = _hot_log(spark, 3000)
+        nx = next_event(log, ["MATCH_WYID", "EVENT_WYID"], ["TEAM_WYID", "PRIMARYTYPE"], num_partitions=7)
+        from pyspark.sql import Window
+        ref = log.select("EVENT_WYID", F.lead("PRIMARYTYPE").over(Window.orderBy("MATCH_WYID", "EVENT_WYID")).alias("np"))
+        assert nx.join(ref, "EVENT_WYID").filter(~F.col("next_PRIMARYTYPE").eqNullSafe(F.col("np"))).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
