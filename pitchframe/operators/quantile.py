@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,10 @@ def exact_median(df: DataFrame, group: Sequence[str], value: str, out: str,
 
     ranged = counts.repartitionByRange(n_parts, *[F.col(c).asc_nulls_last() for c in g], v.asc()) \
         .withColumn("_pid", F.spark_partition_id())
+    # running counts and slice totals must see the same slices: Spark reuses the range
+    # exchange for both (the default); with exchange reuse off, the slices are persisted
+    if str(df.sparkSession.conf.get("spark.sql.exchange.reuse", "true")).lower() != "true":
+        ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
     running = ranged.withColumn("_cum", F.sum("_c").over(
         Window.partitionBy(*g, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     slices = ranged.groupBy(*g, "_pid").agg(F.sum("_c").alias("_t"))

@@ -95,3 +95,16 @@ def test_lead_exact_without_exchange_reuse(spark):
         assert nx.join(ref, "EVENT_WYID").filter(~F.col("next_PRIMARYTYPE").eqNullSafe(F.col("np"))).count() == 0
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_median_exact_without_exchange_reuse(spark):
+    from pitchframe.operators.quantile import exact_median
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(5000).select((F.col("id") % 3 == 0).alias("g"), ((F.col("id") * 7919) % 1013).cast("double").alias("x"))
+        got = {r.g: r.m for r in exact_median(df, ["g"], "x", "m", num_partitions=9).collect()}
+        want = {r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect()}
+        assert got == want
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
