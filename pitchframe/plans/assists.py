@@ -12,7 +12,7 @@ from ..operators.relational import (any_column_matches, first_by_key, flag_in, s
                                     fraction_of_total, in_rank_order, stack_rows, top_k)
 from ..sources.tables import EventData
 from .params import Params
-from .passes import league_passes, match_scope
+from .passes import _pass_facts, club_condition, league_passes, match_scope, pass_facts_key
 
 PASS_COLUMNS = ["EVENT_WYID", "MATCH_WYID", "SEASON_WYID", "TEAM_WYID", "PLAYER_WYID",
                 "RECIPIENT_WYID", "LENGTH"]
@@ -30,8 +30,9 @@ def assist_events(d: EventData, p: Params) -> DataFrame:
 
 def marked_passes(d: EventData, p: Params) -> DataFrame:
     """League passes with ``is_assist`` (event id among the shot-assist events)."""
-    return d.derived(("marked_passes", p), lambda: flag_in(
-        league_passes(d, p), assist_events(d, p), ["EVENT_WYID"], "is_assist"))
+    marked = d.derived(("marked_passes", pass_facts_key(p)), lambda: flag_in(
+        _pass_facts(d, p).filter("in_league"), assist_events(d, p), ["EVENT_WYID"], "is_assist"))
+    return marked.withColumn("in_club", club_condition(p))
 
 
 def shot_assists(d: EventData, p: Params) -> DataFrame:

@@ -55,7 +55,7 @@ def pass_enrichment(d: EventData, p: Params) -> DataFrame:
         return (scope.join(d.passes, "MATCH_WYID", "left")
                 .join(first_event_rows(d, scope), "EVENT_WYID", "left"))
 
-    return d.derived(("pass_enrichment", p), build)
+    return d.derived(("pass_enrichment", _scope_key(p)), build)
 
 
 def _passers(pe: DataFrame) -> DataFrame:
@@ -87,6 +87,29 @@ def successful_passes(d: EventData, p: Params) -> DataFrame:
     return ok.filter(_valid(p) & _is_pass())
 
 
+def _scope_key(p: Params) -> tuple:
+    """The parameters that decide which matches are in scope."""
+    return (p.competitions, p.date_from, p.as_of)
+
+
+def pass_facts_key(p: Params) -> tuple:
+    """The parameters the flagged pass facts depend on (not the club)."""
+    return (*_scope_key(p), p.seasons)
+
+
+def _pass_facts(d: EventData, p: Params) -> DataFrame:
+    """Flagged pass rows without the club flag; materialized once per scope and seasons."""
+    def build() -> DataFrame:
+        pe = pass_enrichment(d, p)
+        rows = pe.filter(_valid(p) & F.col("TEAM_WYID").isNotNull())
+        rows = flag_in(rows, _passers(pe), [("TEAM_WYID", "_team"), ("RECIPIENT_WYID", "_passer")], "_hit")
+        rows = rows.withColumn("success_row", F.col("_hit") & _is_pass()).drop("_hit")
+        rows = flag_in(rows, rows.filter("success_row"), ["EVENT_WYID"], "success")
+        return rows.withColumn("in_league", _is_pass())
+
+    return d.derived(("pass_facts", pass_facts_key(p)), build)
+
+
 def scoped_passes(d: EventData, p: Params) -> DataFrame:
     """Every in-season pass-event row with a known passer and recipient, flagged:
 
@@ -97,16 +120,9 @@ def scoped_passes(d: EventData, p: Params) -> DataFrame:
 
     The success flags need two passes over the enriched passes (the passer set, then
     the rows), which are materialized; so is the result, which most analytics share.
+    The club flag is a column added on read, so another club reuses the same table.
     """
-    def build() -> DataFrame:
-        pe = pass_enrichment(d, p)
-        rows = pe.filter(_valid(p) & F.col("TEAM_WYID").isNotNull())
-        rows = flag_in(rows, _passers(pe), [("TEAM_WYID", "_team"), ("RECIPIENT_WYID", "_passer")], "_hit")
-        rows = rows.withColumn("success_row", F.col("_hit") & _is_pass()).drop("_hit")
-        rows = flag_in(rows, rows.filter("success_row"), ["EVENT_WYID"], "success")
-        return rows.withColumn("in_league", _is_pass()).withColumn("in_club", club_condition(p))
-
-    return d.derived(("scoped_passes", p), build)
+    return _pass_facts(d, p).withColumn("in_club", club_condition(p))
 
 
 def league_passes(d: EventData, p: Params) -> DataFrame:

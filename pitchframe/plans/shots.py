@@ -28,7 +28,7 @@ def shots_by_season(d: EventData, p: Params) -> DataFrame:
                        & (F.col("SEASON_WYID") == F.lit(p.shot_seasons[-1])), "left").drop("_ev")
         return first_by_key(typed, ["SEASON_WYID", "EVENT_WYID"])
 
-    return d.derived(("shots_by_season", p), build)
+    return d.derived(("shots_by_season", p.shot_competition, p.shot_seasons), build)
 
 
 def shot_exclusion_audit(d: EventData, p: Params) -> DataFrame:
@@ -90,7 +90,7 @@ def shots_geo(d: EventData, p: Params) -> DataFrame:
         return (s.withColumn("distance_m", distance_to_goal(F.col("x_m"), F.col("y_m")))
                 .withColumn("angle_deg_m", goal_angle_deg(F.col("x_m"), F.col("y_m"))))
 
-    return d.derived(("shots_geo", p), build)
+    return d.derived(("shots_geo", p.shot_competition, p.shot_seasons, p.seasons), build)
 
 
 def _in_angle_range() -> Column:

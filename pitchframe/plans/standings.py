@@ -27,7 +27,7 @@ def match_goals(d: EventData, p: Params) -> DataFrame:
     dropped; pieces that are missing or not numbers are null. (match, team) is the key
     of the table, so it is made unique first: a match then has one row per team and the
     self-join pairs teams, never all rows of a large match."""
-    return d.derived(("match_goals", p), lambda: _match_goals(d, p))
+    return d.derived(("match_goals", p.competitions, p.seasons), lambda: _match_goals(d, p))
 
 
 def _match_goals(d: EventData, p: Params) -> DataFrame:

@@ -44,3 +44,14 @@ def test_match_filter(spark):
     some = match_views.match_shots(d, TEST_PARAMS).select("MATCH_WYID").first().MATCH_WYID
     one = match_views.match_shots(d, dataclasses.replace(TEST_PARAMS, match_id=some))
     assert one.count() > 0 and one.filter(F.col("MATCH_WYID") != some).count() == 0
+
+
+def test_club_switch_reuses_shared_tables(spark):
+    d = event_data(spark, SF)
+    passes.pass_outcome_share(d, TEST_PARAMS).collect()
+    before = len(d._derived)
+    other = dataclasses.replace(TEST_PARAMS, club=2)
+    a = _by(passes.pass_outcome_share(d, TEST_PARAMS).filter("outcome = 'successful'"), "scope", "total")
+    b = _by(passes.pass_outcome_share(d, other).filter("outcome = 'successful'"), "scope", "total")
+    assert len(d._derived) == before  # nothing rebuilt for another club
+    assert a["league"] == b["league"] and a["club"] != b["club"]
