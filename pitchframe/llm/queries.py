@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pitchframe.llm.bpe import bpe_digests
 from pitchframe.llm.common import documents
 from pitchframe.llm.license_scan import license_scan
 from pitchframe.llm.minhash_dedup import near_duplicates
 from pitchframe.llm.quality_rules import quality_rules
+from pitchframe.llm.token_shards import token_shards
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                       public_tokenizers.PATTERN)
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +39,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
+    "op3_token_shards": op3_token_shards,
     "op5_license_scan": op5_license_scan,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
