@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pitchframe.llm import language_id, quality_classifier
 from pitchframe.llm.bpe import bpe_digests
-from pitchframe.llm.common import documents
+from pitchframe.llm.common import documents, held_out, labels
 from pitchframe.llm.license_scan import license_scan
 from pitchframe.llm.minhash_dedup import near_duplicates
 from pitchframe.llm.quality_rules import quality_rules
@@ -28,6 +29,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    langs, matrix = language_id.fit(docs.filter(~held_out("doc_id", 4, 2)))
+    scored = language_id.score(docs, langs, matrix)
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
@@ -38,12 +46,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = quality_classifier.fit(docs, labels(spark, sf_dir), ~held_out("doc_id", 5, 0))
+    scored = quality_classifier.score(docs, net)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_token_shards": op3_token_shards,
     "op5_license_scan": op5_license_scan,
+    "op6_language_id": op6_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
