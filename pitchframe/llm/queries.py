@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchframe.llm import language_id, quality_classifier
+from pitchframe.llm import language_id, quality_classifier, toxicity
 from pitchframe.llm.bpe import bpe_digests
 from pitchframe.llm.common import documents, held_out, labels
 from pitchframe.llm.license_scan import license_scan
@@ -16,6 +16,13 @@ from pitchframe.llm.quality_rules import quality_rules
 from pitchframe.llm.token_shards import token_shards
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, labels(spark, sf_dir), ~held_out("doc_id", 3, 1))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted", "n_hits")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
                        public_tokenizers.PATTERN)
@@ -54,6 +61,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_token_shards": op3_token_shards,
     "op5_license_scan": op5_license_scan,
