@@ -298,7 +298,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str,
                     decoded = b"".join([e[2] for e in entries]).decode("utf-8", "replace")
                     texts.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if keep_ids:
-                        listed.append([int(x) for x in joined.split(",") if x])
+                        listed.append(np.fromstring(joined, np.int32, sep=","))
                         plain.append(decoded)
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

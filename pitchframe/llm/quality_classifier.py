@@ -23,6 +23,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -231,3 +232,19 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.3,
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
         run, f"doc_id {kind}, score double, predicted int")
+
+
+def keep(docs: DataFrame, net: Network, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The documents with a score of at least ``threshold``, all columns; no join."""
+    model = docs.sparkSession.sparkContext.broadcast(net.p)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        net = Network()
+        net.p = model.value
+        for texts in batches:
+            texts = [bytes(t) for t in texts]
+            yield pd.Series([s >= threshold for at in range(0, len(texts), 256)
+                             for s in net.score_batch(texts[at:at + 256])], dtype=bool)
+
+    good = F.pandas_udf(run, "boolean")
+    return docs.filter(good(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchframe.llm import language_id, quality_classifier, toxicity
+from pitchframe.llm import language_id, pii, quality_classifier, toxicity
 from pitchframe.llm.bpe import bpe_digests
 from pitchframe.llm.common import documents, held_out, labels
+from pitchframe.llm.decontaminate import leaks
 from pitchframe.llm.license_scan import license_scan
 from pitchframe.llm.minhash_dedup import near_duplicates
 from pitchframe.llm.quality_rules import quality_rules
@@ -32,6 +33,10 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
@@ -47,6 +52,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -64,9 +74,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_token_shards": op3_token_shards,
+    "op4_decontaminate": op4_decontaminate,
     "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
