@@ -1,18 +1,19 @@
 """Near-duplicate groups: MinHash bands propose pairs, odd sketches and full sets confirm them.
 
 1. One pass over the texts gives each document its set of word shingles, ``BANDS * ROWS``
-   MinHash samples folded into band keys, and an odd sketch: every sample flips one bit of a
-   512-bit map, so the population count of the XOR of two maps estimates a high Jaccard
-   similarity precisely.
+   MinHash values for the band keys, and an odd sketch: each of its ``SAMPLES`` smallest shingle
+   hashes flips one bit of a ``SKETCH_BITS`` map, so the population count of the XOR of two maps
+   estimates how many samples differ, and with it a high Jaccard similarity, precisely.
 2. Documents with equal shingle sets form one class; only classes go on, so a group of exact
    copies costs one row however large it is.
-3. Every class is paired with the smallest class of each of its buckets (found by a
-   pre-aggregated minimum). Pairs whose sketches rule the threshold out are dropped, the others
-   are confirmed on the full shingle sets, and the links give components.
-4. Buckets that still hold several components are gone through once more for pairs across
-   components, so no link between different texts is lost to the choice of the smallest class;
-   pairs inside a component need no test. Buckets above ``HOT_BUCKET`` classes are
-   split first: their members meet again in buckets keyed by two bands (``PAIRED`` combinations).
+3. Every class is paired with one class of each of its buckets, drawn by a hash (a pre-aggregated
+   minimum). Pairs whose sketches rule the threshold out are dropped, the others are confirmed on
+   the full shingle sets, and the links give components.
+4. Buckets that still hold several components are gone through once more: the classes outside a
+   bucket's largest component meet those of other components, so no link between different texts
+   is lost to the draw; pairs inside a component need no test. Buckets above ``HOT_BUCKET``
+   classes are split first: their members meet again in buckets keyed by two bands (``PAIRED``
+   combinations).
 
 Chance of missing a pair: at Jaccard 0.85 below 1e-7, at 0.8 below 1e-5.
 
@@ -25,7 +26,6 @@ class; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,10 +38,11 @@ from pitchframe.llm.common import materialise, narrow
 
 BANDS = 32
 ROWS = 5
+SAMPLES = 256
 SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
-#: Sketch estimates this far below the threshold rule a pair out (over five deviations).
-SLACK = 0.2
+#: A pair is ruled out where its sketches differ by this many deviations more than the threshold allows.
+DEVIATIONS = 5.0
 #: Buckets of more classes are split by a second band before pairs across components are formed.
 HOT_BUCKET = 64
 PAIRED = 96
@@ -81,7 +82,6 @@ class _Hasher:
         n = BANDS * ROWS
         self.a = rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1)
         self.b = rng.integers(0, 2**32, n, dtype=np.uint32)
-        self.salt = _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.band_salt = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         self.step = np.uint64(0xD6E8FEB86659FD93)
         inverse = pow(int(self.step), -1, 2**64)
@@ -127,8 +127,9 @@ class _Hasher:
             key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
         return key.view(np.int64)
 
-    def sketch(self, best: np.ndarray) -> np.ndarray:
-        bit = (_mix(self.salt + best.astype(np.uint64)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    def sketch(self, h: np.ndarray) -> np.ndarray:
+        """Parity map of the smallest hashes (``h`` is sorted; the bits come from a second mix)."""
+        bit = (_mix(h[:SAMPLES] + np.uint64(0x632BE59BD9B4E019)) % np.uint64(SKETCH_BITS)).astype(np.int64)
         odd = (np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)
         return np.packbits(odd).view(np.int64)
 
@@ -150,7 +151,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     cls.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     best = hasher.samples(h) if h.size else none
                     bands.append(hasher.bands(best) if h.size else none)
-                    sketches.append(hasher.sketch(best) if h.size else none)
+                    sketches.append(hasher.sketch(h) if h.size else none)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(cls, pa.binary()), pa.array(n, pa.int64()),
                      pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
@@ -160,19 +161,38 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                        F.col("text").cast("binary").alias("text")).mapInArrow(run, _SIG.format(id=kind))
 
 
-def sketch_limit(threshold: float) -> int:
-    """Largest XOR population count at which the threshold is still possible."""
-    low = max(threshold - SLACK, 0.0)
-    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-4 * BANDS * ROWS * (1 - low) / SKETCH_BITS)))
+def _most_apart(n_a: Column, n_b: Column, threshold: float) -> Column:
+    """Bits by which the sketches of two sets of these sizes may differ at the threshold.
+
+    There the sets share I = t / (1 + t) * (n_a + n_b) shingles. Samples keep the share ``kept`` of
+    them, so d = samples of a + samples of b - 2 * kept * I samples differ; d flips of random bits
+    set m / 2 * (1 - exp(-2 d / m)) of m bits on average.
+    """
+    m = float(SKETCH_BITS)
+    kept = F.least(F.lit(1.0), SAMPLES / F.greatest(n_a, n_b))
+    d = F.greatest(F.least(n_a, F.lit(float(SAMPLES))) + F.least(n_b, F.lit(float(SAMPLES)))
+                   - 2 * kept * (threshold / (1 + threshold)) * (n_a + n_b), F.lit(0.0))
+    d = d + F.when(kept < 1, DEVIATIONS * F.sqrt(2 * d) + DEVIATIONS).otherwise(F.lit(0.001))
+    spread = F.greatest(m / 4 * (1 - F.exp(-4 * d / m)) - d * F.exp(-4 * d / m), F.lit(0.0))
+    # d flips never set more than d bits: where whole sets are sampled, this bound is exact
+    return F.least(d, m / 2 * (1 - F.exp(-2 * d / m)) + DEVIATIONS * F.sqrt(spread) + 1)
+
+
+def _marks(classes: DataFrame, threshold: float) -> DataFrame:
+    """(class, n, sketch, cap): ``cap`` is the most any partner of a possible size allows."""
+    n, full = F.col("n").cast("double"), F.lit(float(SAMPLES))
+    partners = [n * threshold, n, n / threshold, F.least(F.greatest(full, n * threshold), n / threshold)]
+    return classes.select("class", "n", "sketch",
+                          F.greatest(*[_most_apart(n, x, threshold) for x in partners]).alias("cap"))
 
 
 def _close(a: str, b: str, threshold: float) -> Column:
-    """Sketches and set sizes leave the threshold possible."""
+    """Sketches and set sizes leave the threshold possible (kept short: it runs inside joins)."""
     apart = reduce(lambda x, y: x + y, [
         F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_WORDS)])
-    small = F.least(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    large = F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return (apart <= sketch_limit(threshold)) & (small >= large * (threshold - 0.001))
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return ((F.least(n_a, n_b) >= F.greatest(n_a, n_b) * F.lit(threshold - 0.001))
+            & (apart <= F.least(F.col(f"{a}.cap"), F.col(f"{b}.cap"))))
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -251,6 +271,14 @@ def _paired_buckets(classes: DataFrame) -> DataFrame:
     return classes.select("class", F.explode(keys).alias("bucket"))
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(bucket, size, main) of the buckets with several components; ``main`` holds the most classes."""
+    counted = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    return (counted.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"),
+                                          F.count("*").alias("kinds"), F.max("size").alias("size"))
+            .filter("kinds > 1").select("bucket", "size", "main"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per input row."""
@@ -262,38 +290,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
         usable.groupBy("class").agg(
             F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n_shingles").alias("n"),
             F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    marks = classes.select("class", "n", "sketch")
+    marks = _marks(classes, threshold)
 
     def close_pairs(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(marks.select(F.col("class").alias("u"), F.struct("n", "sketch").alias("a")), "u")
-                .join(marks.select(F.col("class").alias("v"), F.struct("n", "sketch").alias("b")), "v")
+        return (pairs.join(marks.select(F.col("class").alias("u"), F.struct("n", "sketch", "cap").alias("a")), "u")
+                .join(marks.select(F.col("class").alias("v"), F.struct("n", "sketch", "cap").alias("b")), "v")
                 .filter(_close("a", "b", threshold)).select("u", "v"))
 
-    # every class with the smallest class of each of its buckets
+    # every class with the class drawn in each of its buckets
+    drawn = F.struct(F.xxhash64("bucket", "class").alias("by"), "class")
     shared = materialise(_buckets(classes).groupBy("bucket").agg(
-        F.min("class").alias("least"), F.count("*").alias("size")).filter("size > 1"), "buckets")
+        F.min(drawn)["class"].alias("pivot"), F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = materialise(_buckets(classes).join(shared, "bucket"), "members")
-    star = materialise(members.filter(F.col("class") != F.col("least"))
-                       .select(F.col("least").alias("u"), F.col("class").alias("v")).distinct(), "star")
+    star = materialise(members.filter(F.col("class") != F.col("pivot")).select(
+        F.least("pivot", "class").alias("u"), F.greatest("pivot", "class").alias("v")).distinct(), "star")
     links = materialise(confirm(close_pairs(star), classes, docs, width, percent).distinct(), "links")
     comp = components(links)
 
-    # buckets that still hold several components: pairs across them, tested ones left out
-    placed = members.join(comp.withColumnRenamed("node", "class"), "class", "left").select(
-        "bucket", "size", "class", F.coalesce("component", "class").alias("component"))
-    placed = materialise(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                         F.max("size").alias("m")).filter("x < y")
-    mixed = materialise(mixed.select("bucket", "m"), "mixed")
-    cool = placed.join(mixed.filter(F.col("m") <= HOT_BUCKET).select("bucket"), "bucket", "left_semi")
-    hot = (placed.join(mixed.filter(F.col("m") > HOT_BUCKET).select("bucket"), "bucket", "left_semi")
+    # buckets that still hold several components: the classes outside the largest one against the rest
+    placed = materialise(members.join(comp.withColumnRenamed("node", "class"), "class", "left").select(
+        "bucket", "size", "class", F.coalesce("component", "class").alias("component")), "placed")
+    hot = (placed.join(_mixed(placed).filter(F.col("size") > HOT_BUCKET).select("bucket"), "bucket", "left_semi")
            .select("class", "component").distinct())
     again = _paired_buckets(classes.join(hot.select("class"), "class", "left_semi")).join(hot, "class")
-    crowd = materialise(
-        cool.select("bucket", "class", "component").union(again.select("bucket", "class", "component"))
-        .join(marks, "class"), "crowd")
-    a, b = crowd.alias("a"), crowd.alias("b")
-    across = (a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") < F.col("b.component"))
+    cool = placed.filter(F.col("size") <= HOT_BUCKET)
+    crowd = materialise(cool.select("bucket", "class", "component")
+                        .union(again.select("bucket", "class", "component")), "crowd")
+    mixed = materialise(_mixed(crowd.withColumn("size", F.lit(0))).select("bucket", "main"), "mixed")
+    crowd = materialise(crowd.join(mixed, "bucket").join(marks, "class"), "mixed-crowd")
+    a, b = crowd.filter(F.col("component") != F.col("main")).alias("a"), crowd.alias("b")
+    across = (a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component"))
+                     & ((F.col("b.component") == F.col("b.main")) | (F.col("a.class") < F.col("b.class")))
                      & _close("a", "b", threshold))
               .select(F.least("a.class", "b.class").alias("u"), F.greatest("a.class", "b.class").alias("v"))
               .distinct().join(star, ["u", "v"], "left_anti"))
