@@ -23,6 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ END_ID = 2
 SHARD_TOKENS = 1 << 21
 #: Bits between two entries of a rank directory.
 BLOCK = 512
-#: Most pieces a worker keeps.
-CACHE = 300_000
+#: Most pieces a worker keeps in each of two generations, and the longest piece it keeps.
+CACHE, LONGEST = 500_000, 64
+#: New pieces encoded in one string.
+RUN = 512
 MAGIC = b"PFWM1\0"
 
 
@@ -174,32 +177,55 @@ class _Encoder:
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
         self.bits = max(1, (self.t.get_vocab_size() - 1).bit_length())
         self.dtype = np.uint16 if self.bits <= 16 else np.uint32
+        self.width = np.zeros(self.t.get_vocab_size(), np.int64)  # bytes a token stands for
+        for token, i in self.t.get_vocab().items():
+            self.width[i] = len(token)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes()
-                for e in self.t.encode_batch(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode pieces, many in one string: tokens end where pieces end, so the ids are cut by
+        the bytes they stand for. A piece that ends in a blank could join the next one's space."""
+        alone = [p for p in fresh if not p or p[-1].isspace()]
+        for p, ids in zip(alone, self._library([" " + p for p in alone])):
+            self.known[p] = ids.tobytes()
+        rest = [p for p in fresh if p and not p[-1].isspace()]
+        runs = [rest[at:at + RUN] for at in range(0, len(rest), RUN)]
+        size = np.dtype(self.dtype).itemsize
+        for run, ids in zip(runs, self._library([" " + " ".join(run) for run in runs])):
+            ends = np.cumsum([len(p.encode()) + 1 for p in run])
+            cut = [0, *(size * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()]
+            raw = ids.tobytes()
+            for p, x, y in zip(run, cut, cut[1:]):
+                self.known[p] = raw[x:y]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, end id appended, packed little-endian."""
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
         cut = [(t, []) if any(s in t for s in self.special) else pieces(t) for t in texts]
-        fresh = {p for _, rest in cut for p in rest if p not in known}
-        for p in [p for p in fresh if p in older]:
-            known[p] = older[p]
-            fresh.discard(p)
-        todo = list(fresh)
-        ids = self._library([" " + p for p in todo] + [first for first, _ in cut])
-        once: dict[str, bytes] = {}
-        for p, i in zip(todo, ids):
-            (known if len(p) <= 64 else once)[p] = i
+        flat = list(chain.from_iterable([rest for _, rest in cut]))
+        found = list(map(self.known.get, flat))
+        if None in found:
+            fresh = dict.fromkeys(p for p, ids in zip(flat, found) if ids is None)
+            again = [p for p in fresh if p in self.older]
+            for p in again:
+                self.known[p] = self.older[p]
+                del fresh[p]
+            self._learn(list(fresh))
+            found = list(map(self.known.get, flat))
+            for p in fresh:
+                if len(p) > LONGEST:
+                    del self.known[p]
+        out, at = [], 0
         end = np.array([END_ID], self.dtype).tobytes()
-        heads = ids[len(todo):]
-        return [b"".join([head, *[known[p] if p in known else once[p] for p in rest], end])
-                for head, (_, rest) in zip(heads, cut)]
+        for (_, rest), head in zip(cut, self._library([first for first, _ in cut])):
+            out.append(b"".join([head.tobytes(), *found[at:at + len(rest)], end]))
+            at += len(rest)
+        return out
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS,
