@@ -9,9 +9,35 @@ summation order cannot change the comparison.
 
 from __future__ import annotations
 
-from pitchframe import constants as K
-from pitchframe.functions.binning import interval_labels, seq_breaks
-from pitchframe.plans.catalog import TEST_PARAMS as P
+from types import SimpleNamespace
+
+# Fixed values of the original analysis: labels, pitch sizes in metres, thresholds, bin edges.
+K = SimpleNamespace(
+    ANGLE_BREAKS=(0.0, 20.0, 40.0, 60.0, 80.0, 100.0, 120.0, 180.0),
+    BOTTOM_GROUP_LABEL="Bund 5", TOP_GROUP_LABEL="Top 5", TOP_GROUP_RANK=5,
+    CLUB_SIDE_LABEL="FCN", OPPONENT_SIDE_LABEL="Modstander",
+    DISTANCE_BIN_MAX=60.0, DISTANCE_BIN_STEP=5.0, XG_BIN_MAX=1.0, XG_BIN_STEP=0.05,
+    EARLY_PERIOD_LABEL="0-79", LATE_PERIOD_LABEL="80+", LATE_MINUTE=80,
+    GOAL_LABEL="Mål", NO_GOAL_LABEL="Ikke mål", PASS_HIT_LABEL="Ramte", PASS_MISS_LABEL="Fejl",
+    ON_TARGET_LABEL="Rammer målet", OFF_TARGET_LABEL="Rammer ikke målet",
+    GOAL_WIDTH_M=7.32, PITCH_WIDTH_M=68.0, LAST_THIRD_X=66.7,
+    MINUTE_BREAKS=(0.0, 15.0, 30.0, 45.0, 60.0, 75.0, 90.0, 120.0),
+    SET_PIECE_TYPES=("corn", "free", "pena"), UNKNOWN_LINE="Ukendt")
+# The parameters the registry runs with on the generated tables.
+P = SimpleNamespace(
+    club=1, seasons=(191611, 189918), competitions=(335, 328), date_from="1996-07-19", as_of="2001-12-31",
+    shot_competition=335, shot_seasons=(189918, 191611), min_bin_shots=1, top_n=10)
+ONE_MATCH = 7
+
+
+def seq_breaks(start: float, stop: float, step: float) -> list[float]:
+    return [start + i * step for i in range(round((stop - start) / step) + 1)]
+
+
+def interval_labels(breaks, include_lowest: bool = True) -> list[str]:
+    """"[a,b]" for a closed lowest bin, "(a,b]" for the others, edges in three digits."""
+    edge = [f"{b:.3g}" for b in breaks]
+    return [("[" if i == 0 and include_lowest else "(") + f"{edge[i]},{edge[i + 1]}]" for i in range(len(edge) - 1)]
 
 
 def _lst(values) -> str:
@@ -38,21 +64,22 @@ def _score(team: str) -> str:
 BASE = f"""
 d_matches AS (
   SELECT o_orderkey AS MATCH_WYID,
-         CAST(CASE WHEN o_orderdate >= TIMESTAMP '1998-04-01' THEN 191611 ELSE 189918 END AS BIGINT) AS SEASON_WYID,
+         CASE WHEN o_orderkey % 59 <> 0 THEN
+           CAST(CASE WHEN o_orderdate >= TIMESTAMP '1998-04-01' THEN 191611 ELSE 189918 END AS BIGINT) END AS SEASON_WYID,
          CAST(CASE o_orderstatus WHEN 'F' THEN 335 WHEN 'O' THEN 328 ELSE 999 END AS BIGINT) AS COMPETITION_WYID,
          o_orderdate AS "DATE",
          CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE 'M' || CAST(o_orderkey AS VARCHAR) END AS MATCHLABEL
   FROM orders),
 d_passes AS (
   SELECT l_orderkey AS MATCH_WYID, l_orderkey * 10 + l_linenumber AS EVENT_WYID,
-         l_partkey % 50 AS PLAYER_WYID, (l_partkey * 7 + l_linenumber) % 60 AS RECIPIENT_WYID,
+         l_partkey % 50 AS PLAYER_WYID, CASE WHEN l_partkey % 41 <> 7 THEN (l_partkey * 7 + l_linenumber) % 60 END AS RECIPIENT_WYID,
          l_extendedprice / 1000 AS LENGTH, l_discount * 1000 AS ENDLOCATIONX, l_tax * 1250 AS ENDLOCATIONY,
          CAST(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS INTEGER) AS ACCURATE
   FROM lineitem),
 d_common AS (
   SELECT l_orderkey * 10 + l_linenumber AS EVENT_WYID, l_orderkey AS MATCH_WYID,
          CAST(CASE WHEN l_shipdate >= TIMESTAMP '1998-04-01' THEN 191611 ELSE 189918 END AS BIGINT) AS SEASON_WYID,
-         l_suppkey % 20 AS TEAM_WYID,
+         CASE WHEN l_suppkey % 23 <> 5 THEN l_suppkey % 20 END AS TEAM_WYID,
          CASE l_returnflag WHEN 'N' THEN 'pass' WHEN 'A' THEN 'shot' ELSE 'duel' END AS PRIMARYTYPE,
          l_quantity * 2 AS LOCATIONX,
          CAST((l_suppkey * 7 + l_linenumber) % 101 AS DOUBLE) AS LOCATIONY,
@@ -105,7 +132,9 @@ d_match_teams AS (
   SELECT o_orderkey AS MATCH_WYID, o_orderkey % 12 AS TEAM_WYID, {_score('o_orderkey % 12')} AS SCORE FROM orders
   UNION ALL
   SELECT o_orderkey, (o_orderkey + 1 + o_custkey % 11) % 12,
-         {_score('((o_orderkey + 1 + o_custkey % 11) % 12)')} FROM orders),
+         {_score('((o_orderkey + 1 + o_custkey % 11) % 12)')} FROM orders
+  UNION ALL
+  SELECT o_orderkey, o_orderkey % 12, {_score('o_orderkey % 12')} FROM orders WHERE o_orderkey % 71 = 0),
 d_players AS (
   SELECT p_partkey AS PLAYER_WYID,
          CASE p_type WHEN 'ECONOMY' THEN 'Defender' WHEN 'STANDARD' THEN 'Midfielder'
@@ -140,16 +169,16 @@ pe AS (
 passers AS (SELECT DISTINCT TEAM_WYID AS team, PLAYER_WYID AS passer FROM pe WHERE TEAM_WYID IS NOT NULL),
 sp0 AS (
   SELECT pe.*,
-         EXISTS (SELECT 1 FROM passers q WHERE q.team = pe.TEAM_WYID AND q.passer = pe.RECIPIENT_WYID)
+         coalesce(EXISTS (SELECT 1 FROM passers q WHERE q.team = pe.TEAM_WYID AND q.passer = pe.RECIPIENT_WYID), false)
            AND coalesce(pe.PRIMARYTYPE = 'pass', false) AS success_row
   FROM pe
-  WHERE SEASON_WYID IN ({SEASONS}) AND PLAYER_WYID <> 0 AND RECIPIENT_WYID <> 0 AND TEAM_WYID IS NOT NULL),
+  WHERE SEASON_WYID IN ({SEASONS}) AND PLAYER_WYID <> 0 AND RECIPIENT_WYID <> 0),
 success_ids AS (SELECT DISTINCT EVENT_WYID FROM sp0 WHERE success_row),
 sp AS (
   SELECT sp0.*,
          coalesce(sp0.EVENT_WYID IN (SELECT EVENT_WYID FROM success_ids), false) AS success,
          coalesce(PRIMARYTYPE = 'pass', false) AS in_league,
-         coalesce(TEAM_WYID = {CLUB}, false) AND coalesce(PRIMARYTYPE IN ('pass'), false) AS in_club
+         coalesce(TEAM_WYID = {CLUB}, false) AS in_club
   FROM sp0),
 lp AS (SELECT * FROM sp WHERE in_league),
 shot_m AS (
@@ -210,7 +239,7 @@ side AS (
   WHERE rn = 1),
 goals29 AS (
   SELECT a.MATCH_WYID, a.TEAM_WYID, a.goals_for, b.goals_for AS goals_against, a.SEASON_WYID
-  FROM side a JOIN side b ON a.MATCH_WYID = b.MATCH_WYID AND a.TEAM_WYID <> b.TEAM_WYID),
+  FROM clean a LEFT JOIN clean b ON a.MATCH_WYID = b.MATCH_WYID WHERE a.TEAM_WYID <> b.TEAM_WYID),
 points30 AS (
   SELECT *, CASE WHEN goals_for > goals_against THEN 3 WHEN goals_for = goals_against THEN 1 ELSE 0 END AS points
   FROM goals29),
@@ -228,12 +257,17 @@ tb32 AS (
   SELECT *, CASE WHEN rank <= {K.TOP_GROUP_RANK} THEN '{K.TOP_GROUP_LABEL}'
                  WHEN NOT (rank <= {K.TOP_GROUP_RANK}) THEN '{K.BOTTOM_GROUP_LABEL}' END AS group_label
   FROM stand31),
-assist_ev AS (
-  SELECT DISTINCT s.EVENT_WYID FROM d_secondary s LEFT JOIN scoped m ON m.MATCH_WYID = s.MATCH_WYID
+assist_tags AS (
+  SELECT s.EVENT_WYID FROM d_secondary s LEFT JOIN scoped m ON m.MATCH_WYID = s.MATCH_WYID
   WHERE s.PRIMARYTYPE = 'pass'
     AND (regexp_matches(SECONDARYTYPE1, 'shot_assist', 'i') OR regexp_matches(SECONDARYTYPE2, 'shot_assist', 'i')
          OR regexp_matches(SECONDARYTYPE3, 'shot_assist', 'i'))
     AND m.SEASON_WYID IN ({SEASONS}) AND lower(SECONDARYTYPE1) = 'assist'),
+assist_ev AS (SELECT DISTINCT EVENT_WYID FROM assist_tags),
+assists36 AS (SELECT lp.* FROM lp JOIN assist_tags USING (EVENT_WYID)),
+minutes34 AS (
+  SELECT lp.* REPLACE (c.MINUTE AS MINUTE) FROM lp LEFT JOIN d_common c ON c.EVENT_WYID = lp.EVENT_WYID
+  WHERE c.MINUTE IS NOT NULL),
 marked AS (
   SELECT lp.*, coalesce(lp.EVENT_WYID IN (SELECT EVENT_WYID FROM assist_ev), false) AS is_assist FROM lp),
 pline AS (
@@ -305,16 +339,18 @@ def _team_rates(src: str, succ: str) -> str:
 
 _Q10 = (f"SELECT r.TEAM_WYID, t.TEAMNAME, r.total, r.success, r.success_rate FROM ({_team_rates('lp', 'success')}) r "
         f"LEFT JOIN teams1 t ON t.TEAM_WYID = r.TEAM_WYID")
-_Q13 = (f"SELECT r.TEAM_WYID, t.TEAMNAME, r.total, r.success, r.success_rate FROM "
-        f"({_team_rates('(SELECT * FROM lp WHERE ' + _LT + ')', 'success')}) r "
-        f"LEFT JOIN teams1 t ON t.TEAM_WYID = r.TEAM_WYID "
-        f"ORDER BY r.success_rate DESC NULLS LAST, r.TEAM_WYID ASC NULLS LAST LIMIT 3")
+_Q13_ALL = (f"SELECT r.TEAM_WYID, t.TEAMNAME, r.total, r.success, r.success_rate FROM "
+            f"({_team_rates('(SELECT * FROM lp WHERE ' + _LT + ')', 'success')}) r "
+            f"LEFT JOIN teams1 t ON t.TEAM_WYID = r.TEAM_WYID "
+            f"ORDER BY r.success_rate DESC NULLS LAST, r.TEAM_WYID ASC NULLS LAST")
+_Q13 = _Q13_ALL + " LIMIT 3"
 _Q34 = (f"SELECT SEASON_WYID, period, total_passes, success_passes, {_pct('success_passes', 'total_passes')} AS success_rate "
         f"FROM (SELECT SEASON_WYID, CASE WHEN MINUTE >= {K.LATE_MINUTE} THEN '{K.LATE_PERIOD_LABEL}' "
         f"WHEN NOT (MINUTE >= {K.LATE_MINUTE}) THEN '{K.EARLY_PERIOD_LABEL}' END AS period, "
-        f"count(*) AS total_passes, count_if(success) AS success_passes FROM lp WHERE MINUTE IS NOT NULL GROUP BY 1, 2)")
+        f"count(*) AS total_passes, count_if(success) AS success_passes FROM minutes34 GROUP BY 1, 2)")
+_Q34_ONE = _Q34.replace("FROM minutes34", "FROM lp WHERE MINUTE IS NOT NULL")
 _Q37 = ("SELECT a.TEAM_WYID, t.TEAMNAME, a.mean_length, a.n FROM (SELECT TEAM_WYID, avg(LENGTH) AS mean_length, "
-        "count(*) AS n FROM marked WHERE is_assist GROUP BY TEAM_WYID) a LEFT JOIN teams1 t ON t.TEAM_WYID = a.TEAM_WYID")
+        "count(*) AS n FROM assists36 GROUP BY TEAM_WYID) a LEFT JOIN teams1 t ON t.TEAM_WYID = a.TEAM_WYID")
 
 # query name -> (final SELECT, double columns to round)
 QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -372,7 +408,8 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
         f"SELECT h.scope, h.n AS passes_to_shots, t.n AS total_passes, {_pct('h.n', 't.n')} AS pct "
         f"FROM h JOIN t ON h.scope = t.scope",
         ("pct",)),
-    "team_pass_success": (_Q10, ("success_rate",)),
+    "team_pass_success": (
+        f"SELECT * FROM ({_Q10}) ORDER BY success_rate ASC NULLS LAST, TEAM_WYID ASC NULLS LAST", ("success_rate",)),
     "bottom3_pass_success": (
         f"SELECT * FROM ({_Q10}) ORDER BY success_rate ASC NULLS LAST, TEAM_WYID ASC NULLS LAST LIMIT 3",
         ("success_rate",)),
@@ -443,9 +480,41 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
         f"* 100 AS success_pct FROM ({_Q34})",
         ("success_pct",)),
     "shot_assists": (
+        "SELECT EVENT_WYID, MATCH_WYID, SEASON_WYID, TEAM_WYID, PLAYER_WYID, RECIPIENT_WYID, LENGTH FROM assists36",
+        ("LENGTH",)),
+    "shot_assists_once": (
         "SELECT EVENT_WYID, MATCH_WYID, SEASON_WYID, TEAM_WYID, PLAYER_WYID, RECIPIENT_WYID, LENGTH FROM marked "
         "WHERE is_assist",
         ("LENGTH",)),
+    "late_game_passes_one_minute": (_Q34_ONE, ("success_rate",)),
+    "match_goals_one_row": (
+        "SELECT a.MATCH_WYID, a.TEAM_WYID, a.goals_for, b.goals_for AS goals_against, a.SEASON_WYID "
+        "FROM side a JOIN side b ON a.MATCH_WYID = b.MATCH_WYID AND a.TEAM_WYID <> b.TEAM_WYID", ()),
+    "valid_passes_club": (
+        f"SELECT * FROM pe WHERE SEASON_WYID IN ({SEASONS}) AND PLAYER_WYID <> 0 AND RECIPIENT_WYID <> 0 "
+        f"AND TEAM_WYID = {CLUB}",
+        ("LENGTH", "ENDLOCATIONX", "ENDLOCATIONY", "LOCATIONX", "LOCATIONY")),
+    "last_third_all_teams": (_Q13_ALL, ("success_rate",)),
+    "assist_totals": (
+        "SELECT b.PLAYER_WYID, b.TEAM_WYID, p.SHORTNAME, t.TEAMNAME AS team, b.assists FROM ("
+        "SELECT PLAYER_WYID, TEAM_WYID, CAST(coalesce(sum(PLAYERASSISTS), 0) AS BIGINT) AS assists "
+        "FROM d_player_stats WHERE MATCH_WYID IN (SELECT DISTINCT MATCH_WYID FROM lp) GROUP BY 1, 2) b "
+        "LEFT JOIN players1 p ON p.PLAYER_WYID = b.PLAYER_WYID LEFT JOIN teams1 t ON t.TEAM_WYID = b.TEAM_WYID", ()),
+    "all_scorers_xg": (
+        "SELECT b.PLAYER_WYID, p.SHORTNAME AS player_name, b.goals, b.xg FROM ("
+        "SELECT PLAYER_WYID, CAST(coalesce(sum(total_goal), 0) AS BIGINT) AS goals, "
+        "coalesce(sum(SHOTXG), 0) AS xg FROM shots_cpf GROUP BY 1) b "
+        "LEFT JOIN players1 p ON p.PLAYER_WYID = b.PLAYER_WYID ORDER BY b.goals DESC NULLS LAST, b.PLAYER_WYID NULLS LAST",
+        ("xg",)),
+    "match_shots_of_one": (f"SELECT * FROM plotdata WHERE MATCH_WYID = {ONE_MATCH}", ("x", "y")),
+    "pass_outcome_share_typed_club": (
+        f"WITH a AS (SELECT count_if(in_league) AS lt, count_if(success_row) AS ls, count_if(in_club AND in_league) AS ct, "
+        f"count_if(success_row AND TEAM_WYID = {CLUB}) AS cs FROM sp) "
+        f"SELECT 'club' AS scope, 'successful' AS outcome, cs AS n, {_pct('cs', 'ct')} AS pct, ct AS total FROM a "
+        f"UNION ALL SELECT 'club', 'unsuccessful', ct - cs, {_pct('(ct - cs)', 'ct')}, ct FROM a "
+        f"UNION ALL SELECT 'league', 'successful', ls, {_pct('ls', 'lt')}, lt FROM a "
+        f"UNION ALL SELECT 'league', 'unsuccessful', lt - ls, {_pct('(lt - ls)', 'lt')}, lt FROM a",
+        ("pct",)),
     "assist_length_by_team": (_Q37, ("mean_length",)),
     "assist_length_top3": (
         f"SELECT * FROM ({_Q37}) ORDER BY mean_length DESC NULLS LAST, TEAM_WYID ASC NULLS LAST LIMIT 3", ("mean_length",)),
@@ -453,7 +522,7 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
         f"SELECT * FROM ({_Q37}) ORDER BY mean_length ASC NULLS LAST, TEAM_WYID ASC NULLS LAST LIMIT 3", ("mean_length",)),
     "assist_length_overall": (
         f"WITH a AS (SELECT avg(LENGTH) AS la, count(*) AS ln, avg(CASE WHEN TEAM_WYID = {CLUB} THEN LENGTH END) AS ca, "
-        f"count_if(TEAM_WYID = {CLUB}) AS cn FROM marked WHERE is_assist) "
+        f"count_if(TEAM_WYID = {CLUB}) AS cn FROM assists36) "
         f"SELECT 'club' AS scope, ca AS mean_length, cn AS n FROM a UNION ALL SELECT 'league', la, ln FROM a",
         ("mean_length",)),
     "assist_vs_other_length": (
@@ -482,7 +551,7 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
         ("share",)),
     "top_assist_players": (
         f"WITH tot AS (SELECT PLAYER_WYID, TEAM_WYID, CAST(coalesce(sum(PLAYERASSISTS), 0) AS BIGINT) AS assists "
-        f"FROM d_player_stats WHERE MATCH_WYID IN (SELECT DISTINCT MATCH_WYID FROM marked) GROUP BY 1, 2), "
+        f"FROM d_player_stats WHERE MATCH_WYID IN (SELECT DISTINCT MATCH_WYID FROM lp) GROUP BY 1, 2), "
         f"best AS (SELECT * FROM tot ORDER BY assists DESC NULLS LAST, PLAYER_WYID ASC NULLS LAST, "
         f"TEAM_WYID ASC NULLS LAST LIMIT 10) "
         f"SELECT b.PLAYER_WYID, b.TEAM_WYID, p.SHORTNAME, t.TEAMNAME AS team, b.assists FROM best b "
@@ -503,7 +572,7 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
         f"CASE WHEN c.TEAM_WYID = {CLUB} THEN '{K.CLUB_SIDE_LABEL}' WHEN NOT (c.TEAM_WYID = {CLUB}) "
         f"THEN '{K.OPPONENT_SIDE_LABEL}' END AS is_fcn "
         f"FROM (SELECT MATCH_WYID, TEAM_WYID, CASE WHEN success THEN '{K.PASS_HIT_LABEL}' WHEN NOT success "
-        f"THEN '{K.PASS_MISS_LABEL}' END AS outcome, count(*) AS n FROM marked "
+        f"THEN '{K.PASS_MISS_LABEL}' END AS outcome, count(*) AS n FROM lp "
         f"WHERE MATCH_WYID IN (SELECT MATCH_WYID FROM club_m) GROUP BY 1, 2, 3) c "
         f"LEFT JOIN teams1 t ON t.TEAM_WYID = c.TEAM_WYID",
         ("pct",)),

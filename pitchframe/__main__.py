@@ -4,8 +4,7 @@
 
 ROOT holds the domain tables as ``<table>.parquet`` (``--testdata`` reads the generated
 benchmark tables through the test mapping instead). Each analytic is written to
-``OUT/<name>``; with no names every analytic is run. The shared derived tables are built
-once for all of them.
+``OUT/<name>``; with no names every analytic is run.
 """
 
 from __future__ import annotations
@@ -33,6 +32,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--date-from")
     ap.add_argument("--as-of")
     ap.add_argument("--match-id", type=int)
+    ap.add_argument("--files", nargs="+", default=[], metavar="TABLE=FILE",
+                    help="file names of domain tables that differ (several tables may share one file)")
     a = ap.parse_args(argv)
     unknown = [n for n in a.names if n not in ANALYTICS]
     if unknown:
@@ -46,7 +47,10 @@ def main(argv: list[str] | None = None) -> None:
                as_of=a.as_of or base.as_of, shot_competition=base.shot_competition,
                shot_seasons=base.shot_seasons, match_id=a.match_id)
     spark = SparkSession.builder.appName("pitchframe").getOrCreate()
-    d = testdata.load(spark, a.root) if a.testdata else EventData.from_parquet(spark, a.root)
+    files = dict(x.split("=", 1) for x in a.files)
+    if wrong := sorted(set(files) - set(EventData.TABLES)):
+        ap.error(f"unknown tables {wrong}; choose from {list(EventData.TABLES)}")
+    d = testdata.load(spark, a.root) if a.testdata else EventData.from_parquet(spark, a.root, files)
     for name in a.names or sorted(ANALYTICS):
         write_parquet(ANALYTICS[name](d, p), f"{a.out.rstrip('/')}/{name}")
 

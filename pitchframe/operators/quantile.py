@@ -7,11 +7,11 @@ which does not survive a group holding a large share of the rows. Here:
 
 1. count rows per (group, value): a partial aggregate, so repeated values collapse
    before any shuffle;
-2. range-partition those counts on (group, value), so a large group is split into
-   value ranges spread over many partitions;
-3. take running counts inside each (group, range partition) slice, and add the
-   counts of the group's earlier slices (one row per group and partition);
-4. keep the rows whose running count spans a target rank.
+2. a slice number (``slices``) cuts them into ranges of (group, value), so a large group is
+   split into value ranges;
+3. slice totals (one row per group and slice) give each group's size, its two target ranks
+   and the slices that hold them;
+4. running counts are taken inside those slices only.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slices import slice_number
+
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in keys],
@@ -39,25 +40,22 @@ def exact_median(df: DataFrame, group: Sequence[str], value: str, out: str,
     v = F.col("_v")
     vals = df.select(*g, F.col(value).cast("double").alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
     counts = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    targets = (counts.groupBy(*g).agg(F.sum("_c").alias("_n"))
-               .select(*g, F.floor((F.col("_n") - 1) / 2).alias("_k_lo"), F.floor(F.col("_n") / 2).alias("_k_hi")))
-
-    ranged = counts.repartitionByRange(n_parts, *[F.col(c).asc_nulls_last() for c in g], v.asc()) \
-        .withColumn("_pid", F.spark_partition_id())
-    # running counts and slice totals must see the same slices: Spark reuses the range
-    # exchange for both (the default); with exchange reuse off, the slices are persisted
-    if str(df.sparkSession.conf.get("spark.sql.exchange.reuse", "true")).lower() != "true":
-        ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    running = ranged.withColumn("_cum", F.sum("_c").over(
-        Window.partitionBy(*g, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    slices = ranged.groupBy(*g, "_pid").agg(F.sum("_c").alias("_t"))
-    offsets = slices.select(*g, "_pid", F.coalesce(F.sum("_t").over(
-        Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-
-    cum = _join_null_safe(running, offsets, [*g, "_pid"]).withColumn("_hi_rank", F.col("_cum") + F.col("_off"))
+    counts = counts.withColumn("_slice", slice_number(vals, [*g, "_v"], n_parts))
+
+    totals = counts.groupBy(*g, "_slice").agg(F.sum("_c").alias("_t"))
+    before = Window.partitionBy(*g).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("_t").over(Window.partitionBy(*g))
+    totals = totals.select(*g, "_slice", "_t", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
+                           F.floor((n - 1) / 2).alias("_k_lo"), F.floor(n / 2).alias("_k_hi"))
+    end = F.col("_off") + F.col("_t")
+    held = totals.filter(((F.col("_off") <= F.col("_k_lo")) & (F.col("_k_lo") < end))
+                         | ((F.col("_off") <= F.col("_k_hi")) & (F.col("_k_hi") < end))).drop("_t")
+
+    near = _join_null_safe(counts, held, [*g, "_slice"])  # two slices a group at most
+    upto = Window.partitionBy(*g, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = near.withColumn("_hi_rank", F.sum("_c").over(upto) + F.col("_off"))
     lo_rank = F.col("_hi_rank") - F.col("_c")  # ranks [lo_rank, hi_rank) hold this value
-    hits = _join_null_safe(cum, targets, g)
     at = lambda k: F.when((lo_rank <= F.col(k)) & (F.col(k) < F.col("_hi_rank")), v)
-    picked = hits.filter(at("_k_lo").isNotNull() | at("_k_hi").isNotNull()) \
+    picked = ranked.filter(at("_k_lo").isNotNull() | at("_k_hi").isNotNull()) \
         .groupBy(*g).agg(F.max(at("_k_lo")).alias("_lo"), F.max(at("_k_hi")).alias("_hi"))
     return picked.select(*g, ((F.col("_lo") + F.col("_hi")) / 2).alias(out))

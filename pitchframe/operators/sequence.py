@@ -5,67 +5,24 @@ the last event of a match is followed by the first event of the next match. A wi
 with no partition key would pull every row into one task, and a window partitioned by
 match puts a whole (possibly huge) match into one task. Instead:
 
-1. range-partition the log on the full sort key (a hot match is split across many
-   partitions, because the event id is part of the range key) and sort each partition;
-2. take the successor inside each partition on Arrow batches (``mapInArrow``), which
-   leaves exactly one row per partition - its last - without a successor;
-3. the successor of that row is the first row of the next non-empty partition: one
-   aggregate row per partition (at most ``num_partitions`` rows, so it is broadcast)
-   supplies it.
+1. a slice number cuts the log into ranges of the full sort key (``slices``; a hot match is
+   split, because the event id is part of the key);
+2. ``lead`` inside each slice is an ordinary window partitioned by the slice (one shuffle);
+3. the last row of a slice gets the first row of the next slice that has rows, from a table
+   with one row per slice.
 
 The result equals ``lead`` over the global order; ``scope="match"`` additionally blanks
-successors that belong to another match.
+successors that belong to another match. Rows equal in every sort column share a slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-
-def _successor_within_partition(carry: Sequence[str], out_names: Sequence[str]):
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        held = None  # last row seen so far; its successor is in a later batch or partition
-
-        def emit(body, nexts, tail):
-            n = body.num_rows
-            arrays = list(body.columns) + list(nexts) + [
-                pa.array(np.full(n, pid, dtype=np.int32)),
-                pa.array(np.full(n, tail, dtype=bool)),
-            ]
-            return pa.RecordBatch.from_arrays(arrays, names=list(out_names))
-
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            batches_now = [held, rb] if held is not None else [rb]
-            t = pa.Table.from_batches(batches_now).combine_chunks()
-            n = t.num_rows
-            if n > 1:
-                body = t.slice(0, n - 1)
-                nexts = [t.column(c).slice(1, n - 1).combine_chunks() for c in carry]
-                yield emit(body.combine_chunks().to_batches()[0], nexts, False)
-            held = t.slice(n - 1, 1).combine_chunks().to_batches()[0]
-        if held is not None:
-            nexts = [pa.nulls(1, type=held.schema.field(c).type) for c in carry]
-            yield emit(held, nexts, True)
-
-    return run
-
-
-def range_slices(log: DataFrame, sort_cols: Sequence[str], n: int) -> DataFrame:
-    """The log range-partitioned on the full sort key (nulls last): a match holding many
-    rows is cut into several partitions, because the later sort columns split it."""
-    return log.repartitionByRange(n, *[F.col(c).asc_nulls_last() for c in sort_cols])
+from .slices import slice_number, sort_key
 
 
 def next_event(log: DataFrame, order: Sequence[str], carry: Sequence[str], *,
@@ -82,42 +39,21 @@ def next_event(log: DataFrame, order: Sequence[str], carry: Sequence[str], *,
     carry = list(carry)
     if scope == "match" and match_col not in carry:
         carry.append(match_col)
-    spark = log.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a row id ends the sort key, so even rows identical in every sort column (one event
-    # repeated many times) can be cut into several slices; rows tied on order + carry
-    # have identical successors, so their relative order does not change the result
-    log = log.withColumn("_seq", F.monotonically_increasing_id())
-    sort_cols = list(order) + [c for c in carry if c not in order] + ["_seq"]
-    sort_exprs = [F.col(c).asc_nulls_last() for c in sort_cols]
-
-    # Both branches below must see the same slices. Spark reuses the one range exchange
-    # (the default); with exchange reuse switched off, two exchanges would sample their
-    # own bounds, so the slices are persisted and read by both branches instead.
-    ranged = range_slices(log, sort_cols, n)
-    if str(spark.conf.get("spark.sql.exchange.reuse", "true")).lower() != "true":
-        ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    next_names = [prefix + c for c in carry]
-    out_schema = StructType(
-        list(log.schema.fields)
-        + [StructField(prefix + c, log.schema[c].dataType, True) for c in carry]
-        + [StructField("_pid", IntegerType(), False), StructField("_tail", BooleanType(), False)]
-    )
-    inner = ranged.sortWithinPartitions(*sort_exprs).mapInArrow(
-        _successor_within_partition(carry, out_schema.fieldNames()), out_schema)
-
-    # First row of every non-empty range partition (nulls-last order encoded as
-    # (is_null, value) pairs), then the first row of the *next* non-empty partition.
-    key = F.struct(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")).alias(c) for c in sort_cols])
-    heads = ranged.groupBy(F.spark_partition_id().alias("_pid")).agg(F.min(key).alias("_head"))
-    succ = heads.select("_pid", F.lead("_head").over(Window.orderBy("_pid")).alias("_succ"))
-
-    fixed = inner.join(F.broadcast(succ), on="_pid", how="left")
-    for c, nc in zip(carry, next_names):
-        fixed = fixed.withColumn(nc, F.when(F.col("_tail"), F.col("_succ").getField(c).getField("v"))
-                                 .otherwise(F.col(nc)))
+    n = num_partitions or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [*order, *[c for c in carry if c not in order]]
+    sliced = log.withColumn("_slice", slice_number(log, cols, n))
+
+    within = Window.partitionBy("_slice").orderBy(*[F.col(c).asc_nulls_last() for c in cols])
+    follower = F.struct(*[F.col(c).alias(c) for c in carry])
+    rows = sliced.withColumn("_next", F.lead(follower).over(within))
+    # one row per slice, at most n: its first row's values, handed to the slice before it
+    heads = sliced.groupBy("_slice").agg(F.min(sort_key(cols)).alias("_head"))
+    heads = heads.select("_slice", F.lead("_head").over(Window.orderBy("_slice")).alias("_head"))
+    joined = rows.join(F.broadcast(heads), "_slice", "left")
+    out = joined.select(*log.columns, *[
+        F.when(F.col("_next").isNotNull(), F.col("_next")[c]).otherwise(F.col("_head")[c]).alias(prefix + c)
+        for c in carry])
     if scope == "match":
         same = F.col(prefix + match_col).eqNullSafe(F.col(match_col))
-        for nc in next_names:
-            fixed = fixed.withColumn(nc, F.when(same, F.col(nc)))
-    return fixed.drop("_pid", "_tail", "_succ", "_seq")
+        out = out.select(*log.columns, *[F.when(same, F.col(prefix + c)).alias(prefix + c) for c in carry])
+    return out

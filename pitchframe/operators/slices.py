@@ -1,0 +1,46 @@
+"""Cut a table into ranges of a sort key, by a column that means the same in every branch of a plan.
+
+Spark's range partitioning samples its bounds anew for every exchange, so two branches of one
+plan can see different partitions. Here the bounds are drawn once, from a bounded random sample of
+the keys, and become literals: the slice number is an ordinary column, right whatever the
+optimizer does with the branches.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Sampled keys per slice.
+PER_SLICE = 32
+
+
+def sort_key(cols: Sequence[str]) -> Column:
+    """The columns as one comparable struct, nulls last in each."""
+    return F.struct(*[x for c in cols for x in (F.col(c).isNull().alias(f"n_{c}"), F.col(c).alias(c))])
+
+
+def slice_number(df: DataFrame, cols: Sequence[str], n: int, seed: int = 7) -> Column:
+    """The number of the row's slice among at most ``n`` slices in key order.
+
+    Draws ``PER_SLICE * n`` keys at random (a take-ordered job) and keeps every
+    ``PER_SLICE``-th of them as a bound; the search among the bounds is a balanced CASE."""
+    key = sort_key(cols)
+    order = [F.col(c).asc_nulls_last() for c in cols]
+    drawn = df.select(*cols).orderBy(F.rand(seed)).limit(PER_SLICE * n).orderBy(*order).collect()
+    bounds = list(dict.fromkeys(tuple(r) for r in drawn[PER_SLICE - 1::PER_SLICE]))[:max(n - 1, 0)]
+    types = [df.schema[c].dataType for c in cols]
+
+    def literal(values: tuple) -> Column:
+        return F.struct(*[x for c, v, t in zip(cols, values, types)
+                          for x in (F.lit(v is None).alias(f"n_{c}"), F.lit(v).cast(t).alias(c))])
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key <= literal(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(bounds))

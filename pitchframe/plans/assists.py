@@ -6,46 +6,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.semantics import asc_last, count_true, desc_last, in_set, lenient_sum, ratio
+from ..functions.semantics import asc_last, count_true, desc_last, lenient_sum, ratio
 from ..operators.quantile import exact_median
 from ..operators.relational import (any_column_matches, first_by_key, flag_in, semi_join,
                                     fraction_of_total, in_rank_order, stack_rows, top_k)
 from ..sources.tables import EventData
 from .params import Params
-from .passes import _pass_facts, club_condition, league_passes, match_scope, pass_facts_key
+from .passes import _pass_facts, club_condition, league_passes, match_scope
 
 PASS_COLUMNS = ["EVENT_WYID", "MATCH_WYID", "SEASON_WYID", "TEAM_WYID", "PLAYER_WYID",
                 "RECIPIENT_WYID", "LENGTH"]
 
 
-def assist_events(d: EventData, p: Params) -> DataFrame:
-    """Event ids of in-scope passes tagged as shot assists (any SECONDARYTYPE column
-    matches "shot_assist", case-insensitive) whose first tag is "assist"."""
+def assist_tags(d: EventData, p: Params) -> DataFrame:
+    """Event ids (one per tag row) of in-scope passes tagged as shot assists (any SECONDARYTYPE
+    column matches "shot_assist", case-insensitive) whose first tag is "assist"."""
     sec = d.secondary.join(match_scope(d, p), "MATCH_WYID", "left")
     tagged = (F.col("PRIMARYTYPE") == K.PASS_TYPE) \
         & any_column_matches(sec, r"^SECONDARYTYPE", "(?i)" + K.SHOT_ASSIST_PATTERN) \
-        & in_set("SEASON_WYID", p.seasons)
-    return sec.filter(tagged & (F.lower(F.col("SECONDARYTYPE1")) == K.ASSIST_TAG)).select("EVENT_WYID").distinct()
+        & F.col("SEASON_WYID").isin(*p.seasons)
+    return sec.filter(tagged & (F.lower(F.col("SECONDARYTYPE1")) == K.ASSIST_TAG)).select("EVENT_WYID")
+
+
+def assist_events(d: EventData, p: Params) -> DataFrame:
+    """The distinct event ids of ``assist_tags``."""
+    return assist_tags(d, p).distinct()
 
 
 def marked_passes(d: EventData, p: Params) -> DataFrame:
     """League passes with ``is_assist`` (event id among the shot-assist events)."""
-    marked = d.derived(("marked_passes", pass_facts_key(p)), lambda: flag_in(
-        _pass_facts(d, p).filter("in_league"), assist_events(d, p), ["EVENT_WYID"], "is_assist"))
+    marked = flag_in(_pass_facts(d, p).filter("in_league"), assist_events(d, p), ["EVENT_WYID"], "is_assist")
     return marked.withColumn("in_club", club_condition(p))
 
 
 def shot_assists(d: EventData, p: Params) -> DataFrame:
-    """Q36: league passes that are shot assists."""
-    return semi_join(league_passes(d, p), assist_events(d, p), ["EVENT_WYID"]).select(*PASS_COLUMNS)
+    """Q36: league passes joined to their shot-assist tags: a row per pass and tag row
+    (``dedup_assists`` gives each pass one row)."""
+    if p.dedup_assists:
+        return semi_join(league_passes(d, p), assist_events(d, p), ["EVENT_WYID"]).select(*PASS_COLUMNS)
+    return league_passes(d, p).join(assist_tags(d, p), "EVENT_WYID").select(*PASS_COLUMNS)
 
 
 def assist_length_by_team(d: EventData, p: Params) -> DataFrame:
-    """Q37: mean assist length and number of assists per team, named."""
+    """Q37: mean assist length and number of assists per team, named, shortest first."""
     stats = shot_assists(d, p).groupBy("TEAM_WYID").agg(F.avg("LENGTH").alias("mean_length"),
                                                          F.count(F.lit(1)).alias("n"))
     return stats.join(first_by_key(d.teams, ["TEAM_WYID"]), "TEAM_WYID", "left") \
-        .select("TEAM_WYID", "TEAMNAME", "mean_length", "n")
+        .select("TEAM_WYID", "TEAMNAME", "mean_length", "n") \
+        .orderBy(asc_last("mean_length"), asc_last("TEAM_WYID"))
 
 
 def assist_length_top3(d: EventData, p: Params, k: int = 3) -> DataFrame:
@@ -129,14 +137,27 @@ def assist_distribution(d: EventData, p: Params) -> DataFrame:
     return a.withColumn("share", fraction_of_total("assists"))
 
 
+def _assist_totals(d: EventData, p: Params) -> DataFrame:
+    in_scope = league_passes(d, p).select("MATCH_WYID").distinct()
+    return (semi_join(d.player_stats, in_scope, ["MATCH_WYID"])
+            .groupBy("PLAYER_WYID", "TEAM_WYID").agg(lenient_sum("PLAYERASSISTS").alias("assists")))
+
+
+def _named(totals: DataFrame, players: DataFrame, teams: DataFrame) -> DataFrame:
+    players = first_by_key(players, ["PLAYER_WYID"]).select("PLAYER_WYID", "SHORTNAME")
+    teams = first_by_key(teams, ["TEAM_WYID"]).select("TEAM_WYID", F.col("TEAMNAME").alias("team"))
+    return (totals.join(players, "PLAYER_WYID", "left").join(teams, "TEAM_WYID", "left")
+            .select("PLAYER_WYID", "TEAM_WYID", "SHORTNAME", "team", "assists"))
+
+
+def assist_totals(d: EventData, p: Params) -> DataFrame:
+    """Q42: total assists of every (player, team) in the matches of the league pass set, named."""
+    return _named(_assist_totals(d, p), d.players, d.teams)
+
+
 def top_assist_players(d: EventData, p: Params, k: int = 10) -> DataFrame:
-    """Q42: total assists per (player, team) in the matches of the league pass set, top k, named."""
-    in_scope = marked_passes(d, p).select("MATCH_WYID").distinct()
-    totals = (semi_join(d.player_stats, in_scope, ["MATCH_WYID"])
-              .groupBy("PLAYER_WYID", "TEAM_WYID").agg(lenient_sum("PLAYERASSISTS").alias("assists")))
-    best = top_k(totals, k, [desc_last("assists")], ["PLAYER_WYID", "TEAM_WYID"])
-    players = first_by_key(d.players, ["PLAYER_WYID"]).select("PLAYER_WYID", "SHORTNAME")
-    teams = first_by_key(d.teams, ["TEAM_WYID"]).select("TEAM_WYID", F.col("TEAMNAME").alias("team"))
-    named = (best.join(players, "PLAYER_WYID", "left").join(teams, "TEAM_WYID", "left")
-             .select("PLAYER_WYID", "TEAM_WYID", "SHORTNAME", "team", "assists"))
+    """Q42: the k (player, team) pairs with the most assists, named; names are looked up, and made
+    unique, for those rows only."""
+    best = top_k(_assist_totals(d, p), k, [desc_last("assists")], ["PLAYER_WYID", "TEAM_WYID"])
+    named = _named(best, semi_join(d.players, best, ["PLAYER_WYID"]), semi_join(d.teams, best, ["TEAM_WYID"]))
     return in_rank_order(named, [desc_last("assists")], ["PLAYER_WYID", "TEAM_WYID"])

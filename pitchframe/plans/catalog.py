@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import dataclasses
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .. import constants as K
 from ..sources import testdata
-from ..sources.tables import EventData, session_key
+from ..sources.tables import EventData
 from . import assists, match_views, passes, shots, standings
 from .params import Params
 
@@ -19,11 +21,21 @@ TEST_PARAMS = Params(club=1, seasons=(191611, 189918), competitions=(335, 328),
                      date_from="1996-07-19", as_of="2001-12-31", shot_competition=335,
                      shot_seasons=(189918, 191611), top_n=10)
 
+#: A match of the test tables (at every scale factor) that has shots.
+ONE_MATCH = 7
+
+
+def _with(analytic: Callable[[EventData, Params], DataFrame], **changes) -> Callable[[EventData, Params], DataFrame]:
+    """``analytic`` with some parameters fixed."""
+    return lambda d, p: analytic(d, dataclasses.replace(p, **changes))
+
+
 ANALYTICS: dict[str, Callable[[EventData, Params], DataFrame]] = {
     "match_scope": passes.match_scope,
     "pass_enrichment": passes.pass_enrichment,
     "successful_passes": passes.successful_passes,
     "valid_passes": passes.valid_passes,
+    "valid_passes_club": passes.valid_passes_club,
     "pass_outcome_share": passes.pass_outcome_share,
     "pass_length_by_scope": passes.pass_length_by_scope,
     "pass_zone_frequency": passes.pass_zone_frequency,
@@ -34,6 +46,7 @@ ANALYTICS: dict[str, Callable[[EventData, Params], DataFrame]] = {
     "top3_pass_success": passes.top3_pass_success,
     "last_third_summary": passes.last_third_summary,
     "last_third_by_team": passes.last_third_by_team,
+    "last_third_all_teams": passes.last_third_all_teams,
     "accuracy_flag_success": passes.accuracy_flag_success,
     "shots_by_season": shots.shots_by_season,
     "shot_exclusion_audit": shots.shot_exclusion_audit,
@@ -69,11 +82,20 @@ ANALYTICS: dict[str, Callable[[EventData, Params], DataFrame]] = {
     "assist_rate_by_line": assists.assist_rate_by_line,
     "assist_distribution": assists.assist_distribution,
     "top_assist_players": assists.top_assist_players,
+    "assist_totals": assists.assist_totals,
     "top_scorers_xg": match_views.top_scorers_xg,
+    "all_scorers_xg": match_views.all_scorers_xg,
     "club_matches": match_views.club_matches,
     "match_pass_outcomes": match_views.match_pass_outcomes,
     "match_list_with_goals": match_views.match_list_with_goals,
     "match_shots": match_views.match_shots,
+    # the cleaned forms of rules that the original does not have
+    "pass_outcome_share_typed_club": _with(passes.pass_outcome_share, club_pass_types=(K.PASS_TYPE,)),
+    "late_game_passes_one_minute": _with(standings.late_game_passes, dedup_minutes=True),
+    "shot_assists_once": _with(assists.shot_assists, dedup_assists=True),
+    "match_goals_one_row": _with(standings.match_goals, dedup_scores=True),
+    # one match, as the dashboards ask for it
+    "match_shots_of_one": _with(match_views.match_shots, match_id=ONE_MATCH),
 }
 
 
@@ -88,30 +110,36 @@ def round_doubles(df: DataFrame, scale: int = 6) -> DataFrame:
                        if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
-_DATA: dict[tuple, EventData] = {}
+_PREPARED: dict[tuple, EventData] = {}
 
 
 def event_data(spark: SparkSession, root: str) -> EventData:
-    """The test tables of ``root`` as domain tables; one instance per Spark context and
-    directory, so derived tables materialized by one analytic serve the others."""
-    key = (*session_key(spark), root)
-    if key not in _DATA:
-        _DATA[key] = testdata.load(spark, root)
-    return _DATA[key]
+    """The test tables of ``root`` as domain tables: those of ``prepare`` while it holds, else read anew."""
+    return _PREPARED.get((spark.sparkContext.applicationId, root)) or testdata.load(spark, root)
 
 
 def run(name: str, spark: SparkSession, root: str, params: Params = TEST_PARAMS) -> DataFrame:
-    """Analytic ``name`` over the test tables in ``root``."""
+    """Analytic ``name`` over the test tables in ``root``; building it starts no job of its own."""
     return round_doubles(ANALYTICS[name](event_data(spark, root), params))
 
 
-def prepare(spark: SparkSession, root: str, params: Params = TEST_PARAMS) -> None:
-    """Build the derived tables the analytics share (enriched and flagged passes,
-    assist-marked passes, shot extracts and geometry, match results)."""
-    d = event_data(spark, root)
-    assists.marked_passes(d, params)
-    shots.shots_geo(d, params)
-    standings.match_goals(d, params)
+def prepare(spark: SparkSession, root: str, params: Params = TEST_PARAMS) -> EventData:
+    """Store the tables that many analytics share (flagged pass facts, shots with geometry, match
+    results) in the shared folder; ``release`` on the returned tables deletes them again."""
+    d = testdata.load(spark, root)
+    with d.storing():
+        passes.scoped_passes(d, params)
+        shots.shots_geo(d, params)
+        standings.match_goals(d, params)
+    _PREPARED[(spark.sparkContext.applicationId, root)] = d
+    return d
+
+
+def release(spark: SparkSession, root: str) -> None:
+    """Delete what ``prepare`` stored; later runs read the tables anew."""
+    d = _PREPARED.pop((spark.sparkContext.applicationId, root), None)
+    if d is not None:
+        d.release()
 
 
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -19,13 +19,16 @@ class Params:
     # extract also carries the shot type from the secondary-type table
     shot_competition: int = K.DEFAULT_SHOT_COMPETITION
     shot_seasons: tuple = (189918, 191611)
-    # the original's club pass set has no type filter; None reproduces that, the
-    # default applies the same pass-type filter as the league set
-    club_pass_types: tuple | None = (K.PASS_TYPE,)
+    # the original's club pass set has no type filter (None); a tuple keeps only those types
+    club_pass_types: tuple | None = None
     # "global" = lead over the whole ordered log (original), "match" = within a match
     sequence_scope: str = "global"
-    # one MINUTE per event (first row per event) instead of joining every common row
-    dedup_minutes: bool = True
+    # every common row of an event gives its minute (original); True takes one row per event
+    dedup_minutes: bool = False
+    # every tag row of an event gives an assist row (original); True counts a pass once
+    dedup_assists: bool = False
+    # every result row of a (match, team) counts (original); True takes the first one
+    dedup_scores: bool = False
     min_bin_shots: int = 1
     top_n: int = 10
     match_id: int | None = None

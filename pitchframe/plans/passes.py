@@ -33,29 +33,23 @@ def match_scope(d: EventData, p: Params) -> DataFrame:
                      {"matches": d.matches}, args)
 
 
-def first_event_rows(d: EventData, matches: DataFrame | None = None) -> DataFrame:
+def first_event_rows(d: EventData, events: DataFrame | None = None) -> DataFrame:
     """One common-table row per event: the first in (every other column ascending, nulls last).
 
-    With ``matches`` given, only events of those matches are considered, so the shuffle
-    and sort behind first-row-per-event cover the matches in scope rather than the whole
-    event table (an event id belongs to one match)."""
+    The first row is taken over the whole table, whatever match a row names. With ``events``
+    (an EVENT_WYID column) given, only rows of those events are shuffled and sorted."""
     c = d.common
-    if matches is not None:
-        c = c.join(matches.select("MATCH_WYID"), "MATCH_WYID", "left_semi")
+    if events is not None:
+        c = c.join(events.select("EVENT_WYID").distinct(), "EVENT_WYID", "left_semi")
     return first_by_key(c, ["EVENT_WYID"]).select(*EVENT_COLUMNS)
 
 
 def pass_enrichment(d: EventData, p: Params) -> DataFrame:
     """Q02: in-scope matches, their passes, and the first common row of each pass event.
 
-    Both joins are left joins, as in the original. The result feeds every pass
-    analytic (and is read twice inside ``scoped_passes``), so it is materialized once."""
-    def build() -> DataFrame:
-        scope = match_scope(d, p)
-        return (scope.join(d.passes, "MATCH_WYID", "left")
-                .join(first_event_rows(d, scope), "EVENT_WYID", "left"))
-
-    return d.derived(("pass_enrichment", _scope_key(p)), build)
+    Both joins are left joins, as in the original."""
+    in_scope = match_scope(d, p).join(d.passes, "MATCH_WYID", "left")
+    return in_scope.join(first_event_rows(d, in_scope), "EVENT_WYID", "left")
 
 
 def _passers(pe: DataFrame) -> DataFrame:
@@ -65,10 +59,17 @@ def _passers(pe: DataFrame) -> DataFrame:
 
 
 def _valid(p: Params) -> Column:
-    return (in_set("SEASON_WYID", p.seasons) & (F.col("PLAYER_WYID") != 0) & (F.col("RECIPIENT_WYID") != 0))
+    """A row filter, so plain predicates that reach the scan (a null drops the row)."""
+    return (F.col("SEASON_WYID").isin(*p.seasons) & (F.col("PLAYER_WYID") != 0) & (F.col("RECIPIENT_WYID") != 0))
+
+
+def _pass_rows() -> Column:
+    """The pass type as a row filter."""
+    return F.col("PRIMARYTYPE") == K.PASS_TYPE
 
 
 def _is_pass() -> Column:
+    """The pass type as a flag (never null)."""
     return F.coalesce(F.col("PRIMARYTYPE") == K.PASS_TYPE, F.lit(False))
 
 
@@ -84,7 +85,7 @@ def successful_passes(d: EventData, p: Params) -> DataFrame:
     pe = pass_enrichment(d, p)
     ok = pe.join(_passers(pe), (F.col("TEAM_WYID") == F.col("_team"))
                  & (F.col("RECIPIENT_WYID") == F.col("_passer")), "left_semi")
-    return ok.filter(_valid(p) & _is_pass())
+    return ok.filter(_valid(p) & _pass_rows())
 
 
 def _scope_key(p: Params) -> tuple:
@@ -98,10 +99,11 @@ def pass_facts_key(p: Params) -> tuple:
 
 
 def _pass_facts(d: EventData, p: Params) -> DataFrame:
-    """Flagged pass rows without the club flag; materialized once per scope and seasons."""
+    """Flagged pass rows without the club flag (rows without a team are kept: they are passes
+    of an unknown team and never successful)."""
     def build() -> DataFrame:
         pe = pass_enrichment(d, p)
-        rows = pe.filter(_valid(p) & F.col("TEAM_WYID").isNotNull())
+        rows = pe.filter(_valid(p))
         rows = flag_in(rows, _passers(pe), [("TEAM_WYID", "_team"), ("RECIPIENT_WYID", "_passer")], "_hit")
         rows = rows.withColumn("success_row", F.col("_hit") & _is_pass()).drop("_hit")
         rows = flag_in(rows, rows.filter("success_row"), ["EVENT_WYID"], "success")
@@ -118,9 +120,9 @@ def scoped_passes(d: EventData, p: Params) -> DataFrame:
     success_row  this row is a successful pass (recipient passed for the same team)
     success      the row's event id is among the successful passes' event ids
 
-    The success flags need two passes over the enriched passes (the passer set, then
-    the rows), which are materialized; so is the result, which most analytics share.
-    The club flag is a column added on read, so another club reuses the same table.
+    The success flags need two passes over the enriched passes (the passer set, then the
+    rows). Most analytics share the result, so ``prepare`` can store it; the club flag is a
+    column added on read, so another club reuses the same table.
     """
     return _pass_facts(d, p).withColumn("in_club", club_condition(p))
 
@@ -131,7 +133,13 @@ def league_passes(d: EventData, p: Params) -> DataFrame:
 
 def valid_passes(d: EventData, p: Params) -> DataFrame:
     """Q04: the league pass set (season, pass type, known passer and recipient)."""
-    return pass_enrichment(d, p).filter(_valid(p) & _is_pass())
+    return pass_enrichment(d, p).filter(_valid(p) & _pass_rows())
+
+
+def valid_passes_club(d: EventData, p: Params) -> DataFrame:
+    """Q04: the club pass set (season, team, known passer and recipient; no type filter)."""
+    rows = pass_enrichment(d, p).filter(_valid(p) & (F.col("TEAM_WYID") == p.club))
+    return rows if p.club_pass_types is None else rows.filter(F.col("PRIMARYTYPE").isin(*p.club_pass_types))
 
 
 def _scope_label() -> Column:
@@ -190,7 +198,7 @@ def top_pass_zones(d: EventData, p: Params, k: int = 3) -> DataFrame:
 def passes_leading_to_shot(d: EventData, p: Params) -> DataFrame:
     """Q09: passes whose next event in the log is a shot by the same team, against the
     number of passes in the club and league pass sets."""
-    log = d.event_log.filter(in_set("SEASON_WYID", p.seasons)) \
+    log = d.event_log.filter(F.col("SEASON_WYID").isin(*p.seasons)) \
         .select("MATCH_WYID", "EVENT_WYID", "TEAM_WYID", "PRIMARYTYPE")
     nx = next_event(log, ["MATCH_WYID", "EVENT_WYID"], ["TEAM_WYID", "PRIMARYTYPE"], scope=p.sequence_scope)
     pairs = nx.filter((F.col("PRIMARYTYPE") == K.PASS_TYPE) & (F.col("next_PRIMARYTYPE") == K.SHOT_TYPE)
@@ -217,9 +225,11 @@ def _team_rates(rows: DataFrame, success: Column) -> DataFrame:
 
 
 def team_pass_success(d: EventData, p: Params) -> DataFrame:
-    """Q10: per team passes, successful passes (by event id) and rate, named."""
+    """Q10: per team passes, successful passes (by event id) and rate, named, worst first
+    (passes without a team are a group of their own)."""
     stats = _team_rates(league_passes(d, p), F.col("success"))
-    return _with_team_names(stats, d).select("TEAM_WYID", "TEAMNAME", "total", "success", "success_rate")
+    return _with_team_names(stats, d).select("TEAM_WYID", "TEAMNAME", "total", "success", "success_rate") \
+        .orderBy(asc_last("success_rate"), asc_last("TEAM_WYID"))
 
 
 def bottom3_pass_success(d: EventData, p: Params, k: int = 3) -> DataFrame:
@@ -233,7 +243,8 @@ def top3_pass_success(d: EventData, p: Params, k: int = 3) -> DataFrame:
 
 
 def _last_third() -> Column:
-    return F.coalesce(F.col("LOCATIONX") > F.lit(K.LAST_THIRD_X), F.lit(False))
+    """A row filter (an unknown place is not in the last third)."""
+    return F.col("LOCATIONX") > F.lit(K.LAST_THIRD_X)
 
 
 def last_third_summary(d: EventData, p: Params) -> DataFrame:
@@ -247,11 +258,19 @@ def last_third_summary(d: EventData, p: Params) -> DataFrame:
         .withColumn("success_rate", pct(F.col("success"), F.col("total")))
 
 
-def last_third_by_team(d: EventData, p: Params, k: int = 3) -> DataFrame:
-    """Q13: last-third success rate per team, named, best k."""
+def _last_third_rates(d: EventData, p: Params) -> DataFrame:
     stats = _team_rates(league_passes(d, p).filter(_last_third()), F.col("success"))
-    named = _with_team_names(stats, d).select("TEAM_WYID", "TEAMNAME", "total", "success", "success_rate")
-    return top_k(named, k, [desc_last("success_rate")], ["TEAM_WYID"])
+    return _with_team_names(stats, d).select("TEAM_WYID", "TEAMNAME", "total", "success", "success_rate")
+
+
+def last_third_all_teams(d: EventData, p: Params) -> DataFrame:
+    """Q13: last-third success rate of every team, named, best first."""
+    return _last_third_rates(d, p).orderBy(desc_last("success_rate"), asc_last("TEAM_WYID"))
+
+
+def last_third_by_team(d: EventData, p: Params, k: int = 3) -> DataFrame:
+    """Q13: the k teams with the best last-third success rate."""
+    return top_k(_last_third_rates(d, p), k, [desc_last("success_rate")], ["TEAM_WYID"])
 
 
 def accuracy_flag_success(d: EventData, p: Params) -> DataFrame:

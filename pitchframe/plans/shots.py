@@ -19,7 +19,7 @@ def shots_by_season(d: EventData, p: Params) -> DataFrame:
     """Q15: shots of the chosen competition, one extract per season (first row per event),
     stacked; only the last season's extract carries PRIMARYTYPE from the secondary types."""
     m = (d.matches.filter((F.col("COMPETITION_WYID") == p.shot_competition)
-                          & in_set("SEASON_WYID", p.shot_seasons))
+                          & F.col("SEASON_WYID").isin(*p.shot_seasons))
          .select("MATCH_WYID", "SEASON_WYID", "COMPETITION_WYID"))
     def build() -> DataFrame:
         s = d.shots.join(m, "MATCH_WYID")
@@ -75,14 +75,14 @@ def shot_coordinates(d: EventData, p: Params) -> DataFrame:
 
 
 def shot_minutes(d: EventData, p: Params) -> DataFrame:
-    c = (d.shot_common.filter(in_set("SEASON_WYID", p.seasons) & (F.col("PRIMARYTYPE") == K.SHOT_TYPE))
+    c = (d.shot_common.filter(F.col("SEASON_WYID").isin(*p.seasons) & (F.col("PRIMARYTYPE") == K.SHOT_TYPE))
          .select("EVENT_WYID", "MINUTE"))
     return first_by_key(c, ["EVENT_WYID"])
 
 
 def shots_geo(d: EventData, p: Params) -> DataFrame:
     """Open-play shots with coordinates in metres, distance and angle to goal (shared
-    by the distance, angle and shot-map analytics, so materialized once)."""
+    by the distance, angle and shot-map analytics; ``prepare`` can store it)."""
     def build() -> DataFrame:
         s = goal_flag(d, p).join(shot_coordinates(d, p), "EVENT_WYID", "left") \
             .filter(F.col("LOCATIONX").isNotNull() & F.col("LOCATIONY").isNotNull())
@@ -130,9 +130,10 @@ def conversion_by_distance(d: EventData, p: Params) -> DataFrame:
 
 
 def conversion_by_angle(d: EventData, p: Params) -> DataFrame:
-    """Q24: shots, goals and conversion per 20 degree bin, 120-180 merged."""
+    """Q24: shots, goals and conversion per 20 degree bin, 120-180 merged, in bin order."""
     idx, label = upper_bound_bins("angle_deg_m", K.ANGLE_BREAKS)
-    return _conversion(shots_geo(d, p).filter(_in_angle_range()), idx, label, "angle_bin")
+    return _conversion(shots_geo(d, p).filter(_in_angle_range()), idx, label, "angle_bin") \
+        .orderBy(F.col("bin_idx").asc_nulls_last())
 
 
 def conversion_by_xg(d: EventData, p: Params) -> DataFrame:

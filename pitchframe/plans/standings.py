@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.semantics import (asc_last, count_true, desc_last, if_else, in_set, mean_flag,
+from ..functions.semantics import (asc_last, count_true, desc_last, if_else, mean_flag,
                                    n_distinct, pct, ratio, strict_sum)
 from ..operators.relational import first_by_key, share_of_group, split_typed
 from ..sources.tables import EventData
@@ -22,23 +22,22 @@ def match_overview(d: EventData, p: Params) -> DataFrame:
 def match_goals(d: EventData, p: Params) -> DataFrame:
     """Q29: goals for and against per (match, team) in scope.
 
-    The score text is "for-against"; goals against are taken from the opponent's row of
-    the same match (the original's self-join). Rows with a null or empty score are
-    dropped; pieces that are missing or not numbers are null. (match, team) is the key
-    of the table, so it is made unique first: a match then has one row per team and the
-    self-join pairs teams, never all rows of a large match."""
-    return d.derived(("match_goals", p.competitions, p.seasons), lambda: _match_goals(d, p))
+    The score text is "for-against"; goals against are taken from the other teams' rows of
+    the same match (the original's self-join, every row of the result table; ``dedup_scores``
+    keeps the first row per match and team). Rows with a null or empty score are dropped;
+    pieces that are missing or not numbers are null. The scope is applied first, so only
+    rows of matches in scope are shuffled."""
+    return d.derived(("match_goals", p.competitions, p.seasons, p.dedup_scores), lambda: _match_goals(d, p))
 
 
 def _match_goals(d: EventData, p: Params) -> DataFrame:
-    clean = d.match_teams.filter(F.col("SCORE").isNotNull() & (F.col("SCORE") != "")) \
-        .select("MATCH_WYID", "TEAM_WYID", *split_typed("SCORE", "-", ["goals_for", "goals_against"]))
-    # one row per (match, team) before anything is keyed on the match alone; the limit
-    # runs on both sides of this shuffle, so repeated rows of a key never pile up
-    side = first_by_key(clean.select("MATCH_WYID", "TEAM_WYID", "goals_for"), ["MATCH_WYID", "TEAM_WYID"])
-    m = d.matches.filter(in_set("COMPETITION_WYID", p.competitions) & in_set("SEASON_WYID", p.seasons)) \
+    m = d.matches.filter(F.col("COMPETITION_WYID").isin(*p.competitions) & F.col("SEASON_WYID").isin(*p.seasons)) \
         .select("MATCH_WYID", "SEASON_WYID")
-    side = side.join(m, "MATCH_WYID")
+    side = (d.match_teams.filter(F.col("SCORE").isNotNull() & (F.col("SCORE") != "")).join(m, "MATCH_WYID")
+            .select("MATCH_WYID", "TEAM_WYID", split_typed("SCORE", "-", ["goals_for", "goals_against"])[0],
+                    "SEASON_WYID"))
+    if p.dedup_scores:
+        side = first_by_key(side, ["MATCH_WYID", "TEAM_WYID"])
     opp = side.select("MATCH_WYID", F.col("TEAM_WYID").alias("_opp"), F.col("goals_for").alias("goals_against"))
     return (side.join(opp, "MATCH_WYID")
             .filter(F.col("TEAM_WYID") != F.col("_opp"))
@@ -53,7 +52,11 @@ def match_points(d: EventData, p: Params) -> DataFrame:
 
 
 def standings(d: EventData, p: Params) -> DataFrame:
-    """Q31: per season and team: points, goals, difference, rank (row number)."""
+    """Q31: per season and team: points, goals, difference, rank (row number), in table order."""
+    return _ranked(d, p).orderBy(asc_last("SEASON_WYID"), "rank")
+
+
+def _ranked(d: EventData, p: Params) -> DataFrame:
     t = (match_points(d, p).groupBy("SEASON_WYID", "TEAM_WYID")
          .agg(strict_sum("points").alias("points"), strict_sum("goals_for").alias("goals_for"),
               strict_sum("goals_against").alias("goals_against"))
@@ -65,7 +68,7 @@ def standings(d: EventData, p: Params) -> DataFrame:
 
 def top_bottom_groups(d: EventData, p: Params) -> DataFrame:
     """Q32: rank <= 5 is the top group, every other team is the bottom group."""
-    return standings(d, p).withColumn(
+    return _ranked(d, p).withColumn(
         "group_label", if_else(F.col("rank") <= K.TOP_GROUP_RANK, K.TOP_GROUP_LABEL, K.BOTTOM_GROUP_LABEL))
 
 

@@ -7,41 +7,23 @@ column pruning and filter pushdown reach the scan.
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 from typing import Any, Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The session's checkpoint folder, if one is set."""
-    try:
-        return spark.sparkContext.getCheckpointDir()
-    except Exception:  # sessions without a SparkContext handle (Spark Connect)
-        return spark.conf.get("spark.checkpoint.dir", None) or None
-
-
-def session_key(spark: SparkSession) -> tuple:
-    """Identifies one live session (used to key per-session caches)."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:
-        app = spark.conf.get("spark.app.id", "")
-    return (app, id(spark))
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute a shared intermediate table once, now, and cut its lineage.
-
-    With ``spark.checkpoint.dir`` set (a shared, reliable folder on a cluster) the table
-    is checkpointed there; otherwise it is persisted in memory and on local disk (a lost
-    executor's blocks are recomputed from lineage)."""
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can read: ``spark.checkpoint.dir`` of the session; only where
+    the session names none (a local session) a temporary folder is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pitchframe-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def read_parquet(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -124,27 +106,55 @@ class EventData:
 
     @classmethod
     def from_jdbc(cls, spark: SparkSession, url: str, tables: dict[str, str],
-                  properties: dict | None = None) -> "EventData":
+                  properties: dict | None = None, partitions: dict[str, dict] | None = None) -> "EventData":
         """Domain tables read from a database: ``tables`` maps a domain table to a database
-        table (or a parenthesised query); credentials come from ``properties``."""
-        return cls(builders={t: (lambda src=src: read_jdbc(spark, url, src, properties))
+        table (or a parenthesised query; several domain tables may name the same one);
+        credentials come from ``properties``. ``partitions`` gives a table's ``partition_column``,
+        ``lower_bound``, ``upper_bound`` and ``num_partitions``, so that it is read in parallel."""
+        partitions = partitions or {}
+        return cls(builders={t: (lambda t=t, src=src: read_jdbc(spark, url, src, properties, **partitions.get(t, {})))
                              for t, src in tables.items()})
     _derived: dict[Any, DataFrame] = field(default_factory=dict)
+    _paths: list[str] = field(default_factory=list)
+    _store: bool = False
 
     def derived(self, key: Any, build: Callable[[], DataFrame]) -> DataFrame:
-        """A derived table shared by several analytics, built and materialized once."""
-        if key not in self._derived:
-            self._derived[key] = materialize(build())
+        """A table several analytics share: the stored one if there is one, else its lazy plan.
+
+        Inside ``storing`` it is written as Parquet to the shared folder and read back from
+        there, so that readers still prune columns and push filters."""
+        if key in self._derived:
+            return self._derived[key]
+        df = build()
+        if not self._store:
+            return df
+        path = f"{shared_dir(df.sparkSession)}/derived-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self._paths.append(path)
+        self._derived[key] = df.sparkSession.read.schema(df.schema).parquet(path)
         return self._derived[key]
 
+    @contextlib.contextmanager
+    def storing(self):
+        """Derived tables first used in this block are stored."""
+        self._store = True
+        try:
+            yield self
+        finally:
+            self._store = False
+
     def release(self) -> None:
-        """Drop the materialized derived tables."""
-        for df in self._derived.values():
-            df.unpersist()
+        """Delete the stored tables; later uses read the domain tables anew."""
+        spark = next(iter(self._derived.values())).sparkSession if self._derived else None
+        for path in self._paths:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        self._paths.clear()
         self._derived.clear()
+        self._cache.clear()
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name in ("builders", "derived", "release", "TABLES"):
+        if name.startswith("_") or name in ("builders", "derived", "release", "storing", "TABLES"):
             raise AttributeError(name)
         if name not in self._cache:
             if name not in self.builders:

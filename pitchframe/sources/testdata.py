@@ -44,7 +44,7 @@ def _line_type() -> Column:
 def matches(orders: DataFrame) -> DataFrame:
     return orders.select(
         _c("o_orderkey").alias("MATCH_WYID"),
-        _season("o_orderdate").alias("SEASON_WYID"),
+        F.when(_c("o_orderkey") % 59 != 0, _season("o_orderdate")).alias("SEASON_WYID"),
         F.when(_c("o_orderstatus") == "F", 335).when(_c("o_orderstatus") == "O", 328)
         .otherwise(999).cast("bigint").alias("COMPETITION_WYID"),
         _c("o_orderdate").alias("DATE"),
@@ -58,7 +58,7 @@ def passes(lineitem: DataFrame) -> DataFrame:
         _c("l_orderkey").alias("MATCH_WYID"),
         _event_id(),
         (_c("l_partkey") % PLAYERS).alias("PLAYER_WYID"),
-        ((_c("l_partkey") * 7 + _c("l_linenumber")) % RECIPIENTS).alias("RECIPIENT_WYID"),
+        F.when(_c("l_partkey") % 41 != 7, (_c("l_partkey") * 7 + _c("l_linenumber")) % RECIPIENTS).alias("RECIPIENT_WYID"),
         (_c("l_extendedprice") / 1000).alias("LENGTH"),
         (_c("l_discount") * 1000).alias("ENDLOCATIONX"),
         (_c("l_tax") * 1250).alias("ENDLOCATIONY"),
@@ -71,7 +71,7 @@ def common(lineitem: DataFrame) -> DataFrame:
         _event_id(),
         _c("l_orderkey").alias("MATCH_WYID"),
         _season("l_shipdate").alias("SEASON_WYID"),
-        (_c("l_suppkey") % TEAMS_IN_PASSES).alias("TEAM_WYID"),
+        F.when(_c("l_suppkey") % 23 != 5, _c("l_suppkey") % TEAMS_IN_PASSES).alias("TEAM_WYID"),
         _line_type(),
         (_c("l_quantity") * 2).alias("LOCATIONX"),
         ((_c("l_suppkey") * 7 + _c("l_linenumber")) % 101).cast("double").alias("LOCATIONY"),
@@ -157,7 +157,7 @@ def shot_common(events: DataFrame) -> DataFrame:
 
 
 def match_teams(orders: DataFrame) -> DataFrame:
-    """Two team rows per order (one scan: both sides exploded from one row)."""
+    """Two team rows per order, the first repeated for some orders (one scan: exploded from one row)."""
     k = _c("o_orderkey")
 
     def side(team: Column) -> Column:
@@ -168,7 +168,8 @@ def match_teams(orders: DataFrame) -> DataFrame:
                  .otherwise(F.concat(goals, F.lit("-0"))))
         return F.struct(team.alias("TEAM_WYID"), score.alias("SCORE"))
 
-    sides = F.array(side(k % TEAMS_IN_SCORES), side((k + 1 + _c("o_custkey") % 11) % TEAMS_IN_SCORES))
+    a, b = side(k % TEAMS_IN_SCORES), side((k + 1 + _c("o_custkey") % 11) % TEAMS_IN_SCORES)
+    sides = F.when(k % 71 == 0, F.array(a, b, a)).otherwise(F.array(a, b))
     return orders.select(k.alias("MATCH_WYID"), F.explode(sides).alias("_s")) \
         .select("MATCH_WYID", "_s.TEAM_WYID", "_s.SCORE")
 

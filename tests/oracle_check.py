@@ -52,11 +52,12 @@ def canon(df: pd.DataFrame) -> list[tuple]:
 
 def compare(spark, sf_dir: str, names=None) -> dict[str, dict]:
     import __spark_entry__ as E
+    from pitchframe.plans.catalog import ANALYTICS
 
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     out = {}
-    for name in (names or qs):
+    for name in (names or [q for q in qs if q in ANALYTICS]):
         t = time.time()
         rec = {}
         try:
