@@ -71,7 +71,7 @@ def test_wavelet_matrix_answers_from_the_file():
 def test_shards_hold_all_documents_in_id_order(spark, library, tmp_path):
     df = odd_docs(spark)
     path = str(tmp_path / "shards")
-    write_shards(df, path, PATH, shard_tokens=50)
+    write_shards(df, path, PATH, shard_tokens=5)
     assert spark.read.parquet(path).count() > 3
     got = sorted(read_shards(spark, path).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((i for i, _ in ODD), key=lambda i: (i is not None, i or 0))
