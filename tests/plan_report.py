@@ -47,9 +47,8 @@ def main(names):
              .config("spark.sql.autoBroadcastJoinThreshold", "-1")
              .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    from pitchframe.sources import tables, testdata
+    from pitchframe.sources import testdata
 
-    tables.materialize = lambda df: df
     from pitchframe.operators.quantile import exact_median
     from pitchframe.plans import assists, passes, standings
     from pitchframe.plans.catalog import TEST_PARAMS as P

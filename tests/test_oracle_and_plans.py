@@ -6,6 +6,8 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from pitchframe.plans.catalog import ANALYTICS, TEST_PARAMS, event_data
+from pitchframe.sources.tables import EventData
 from tests.oracle_check import compare
 
 SMALL = "/root/testdata/sf0.001"
@@ -20,8 +22,6 @@ def _plan(df) -> str:
 
 
 def test_every_query_has_oracle_sql():
-    from pitchframe.plans.catalog import ANALYTICS
-
     assert set(ANALYTICS) <= set(E.queries()) and set(ANALYTICS) <= set(E.oracle_sql()) <= set(E.queries())
 
 
@@ -74,12 +74,11 @@ def test_bins_partition_located_shots(spark):
     assert total == located
 
 
-def test_no_python_udf_outside_the_sequence_operator(spark):
-    for name, q in E.queries().items():
-        plan = _plan(q(spark, SMALL))
-        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
-        if name != "passes_leading_to_shot":
-            assert "MapInArrow" not in plan, name
+def test_no_python_in_any_plan(spark):
+    for name in ANALYTICS:
+        plan = _plan(E.queries()[name](spark, SMALL))
+        for node in ("BatchEvalPython", "ArrowEvalPython", "MapInArrow", "MapInPandas"):
+            assert node not in plan, name
 
 
 def test_top_k_is_take_ordered(spark):
@@ -93,9 +92,55 @@ def test_filters_reach_the_scan(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_orderdate:timestamp_ntz>" in plan
 
 
-def test_sequence_operator_range_partitions(spark):
+def test_sequence_operator_windows_by_slice(spark):
     plan = _plan(E.queries()["passes_leading_to_shot"](spark, SMALL))
-    assert "rangepartitioning(MATCH_WYID" in plan and "MapInArrow" in plan
+    assert "hashpartitioning(_slice" in plan and "rangepartitioning(MATCH_WYID" not in plan
+
+
+def test_building_a_query_reads_no_stored_table(spark):
+    for name in ("team_pass_success", "assist_length_gap", "match_goals"):
+        assert "Scan ExistingRDD" not in _plan(E.queries()[name](spark, SMALL)), name
+
+
+ORDERED = ("team_pass_success", "standings", "assist_length_by_team", "club_matches", "match_list_with_goals",
+           "conversion_by_angle", "last_third_all_teams", "all_scorers_xg")
+
+
+def test_results_come_in_the_original_order(spark):
+    rows = {n: E.queries()[n](spark, SMALL).collect() for n in ORDERED}
+
+    def key(*values):
+        return tuple((v is None, v if v is not None else 0) for v in values)
+
+    keys = {
+        "team_pass_success": lambda r: key(r.success_rate, r.TEAM_WYID),
+        "standings": lambda r: key(r.SEASON_WYID, r["rank"]),
+        "assist_length_by_team": lambda r: key(r.mean_length, r.TEAM_WYID),
+        "club_matches": lambda r: ((r.MATCHLABEL is None, r.MATCHLABEL or ""), r.MATCH_WYID),
+        "match_list_with_goals": lambda r: (r.label_with_season, r.MATCH_WYID),
+        "conversion_by_angle": lambda r: key(r.bin_idx),
+        "last_third_all_teams": lambda r: key(-r.success_rate if r.success_rate is not None else None, r.TEAM_WYID),
+        "all_scorers_xg": lambda r: key(-r.goals, r.PLAYER_WYID),
+    }
+    for n, found in rows.items():
+        assert len(found) > 1 and found == sorted(found, key=keys[n]), n
+
+
+def test_filters_reach_parquet_domain_tables(spark, tmp_path):
+    src = event_data(spark, SMALL)
+    for t in src.TABLES:
+        getattr(src, t).limit(2000).write.parquet(str(tmp_path / f"{t}.parquet"))
+    d = EventData.from_parquet(spark, str(tmp_path))
+
+    def pushed(name):
+        return " ".join(line for line in _plan(ANALYTICS[name](d, TEST_PARAMS)).splitlines() if "PushedFilters" in line)
+
+    assert "In(SEASON_WYID" in pushed("passes_leading_to_shot")
+    for name in ("match_goals", "shots_by_season"):
+        assert "In(SEASON_WYID" in pushed(name) and "COMPETITION_WYID" in pushed(name), name
+    assert "EqualTo(PRIMARYTYPE,shot)" in pushed("conversion_by_minute")
+    assert "In(SEASON_WYID" in pushed("match_list_with_goals")
+    assert "PLAYER_WYID,0" in pushed("valid_passes")
 
 
 def _unpartitioned_windows_read_aggregates(plan: str) -> bool:
@@ -129,5 +174,5 @@ def _unpartitioned_windows_read_aggregates(plan: str) -> bool:
 
 
 def test_no_unpartitioned_window_over_rows(spark):
-    for name, q in E.queries().items():
+    for name, q in ((n, E.queries()[n]) for n in ANALYTICS):
         assert _unpartitioned_windows_read_aggregates(_plan(q(spark, SMALL))), name

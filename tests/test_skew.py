@@ -3,10 +3,14 @@
 import contextlib
 import io
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pitchframe.operators.quantile import exact_median
 from pitchframe.operators.relational import flag_in
-from pitchframe.operators.sequence import next_event, range_slices
+from pitchframe.operators.sequence import next_event
+from pitchframe.operators.slices import slice_number
 
 
 def _hot_log(spark, n=30000):
@@ -17,33 +21,40 @@ def _hot_log(spark, n=30000):
                     F.when(F.col("id") % 5 == 0, "shot").otherwise("pass").alias("PRIMARYTYPE")))
 
 
-def test_hot_match_is_split_across_range_slices(spark):
+def test_hot_match_is_split_across_slices(spark):
     log = _hot_log(spark)
-    sizes = [r["count"] for r in range_slices(log, ["MATCH_WYID", "EVENT_WYID"], 12)
-             .groupBy(F.spark_partition_id()).count().collect()]
-    assert max(sizes) < 2 * (sum(sizes) / len(sizes))  # no slice near a third of the rows
+    sizes = [r["count"] for r in log.groupBy(slice_number(log, ["MATCH_WYID", "EVENT_WYID"], 12).alias("s")).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 2.5 * (sum(sizes) / len(sizes))  # no slice near a third of the rows
 
 
-def test_repeated_identical_event_is_split(spark, monkeypatch):
-    from pitchframe.operators import sequence
-
+def test_repeated_identical_event(spark):
     hot = F.col("MATCH_WYID") == 0
-    log = (_hot_log(spark)  # a third of the rows become one identical event
+    log = (_hot_log(spark, 3000)  # a third of the rows become one identical event
            .withColumn("EVENT_WYID", F.when(hot, F.lit(0)).otherwise(F.col("EVENT_WYID")))
            .withColumn("TEAM_WYID", F.when(hot, F.lit(0)).otherwise(F.col("TEAM_WYID")))
            .withColumn("PRIMARYTYPE", F.when(hot, F.lit("pass")).otherwise(F.col("PRIMARYTYPE"))))
-    seen = {}
-    real = sequence.range_slices
+    nx = next_event(log, ["MATCH_WYID", "EVENT_WYID"], ["TEAM_WYID", "PRIMARYTYPE"], num_partitions=12)
+    follow = nx.filter(hot).groupBy("next_TEAM_WYID", "next_PRIMARYTYPE").count().collect()
+    assert nx.count() == 3000 and max(r["count"] for r in follow) >= 999
 
-    def spy(df, cols, n):
-        out = real(df, cols, n)
-        seen["sizes"] = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
-        return out
 
-    monkeypatch.setattr(sequence, "range_slices", spy)
-    nx = next_event(log, ["MATCH_WYID", "EVENT_WYID"], ["TEAM_WYID", "PRIMARYTYPE"], num_partitions=12)
-    assert nx.count() == log.count()
-    assert max(seen["sizes"]) < 2 * (sum(seen["sizes"]) / len(seen["sizes"]))
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_lead_and_median_of_a_wide_large_log(spark, reuse):
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        log = _hot_log(spark, 400_000).withColumn("extra", F.col("EVENT_WYID") * 3).withColumn("more", F.lit("x"))
+        nx = next_event(log, ["MATCH_WYID", "EVENT_WYID"], ["TEAM_WYID", "PRIMARYTYPE"], num_partitions=16)
+        w = Window.orderBy("MATCH_WYID", "EVENT_WYID")
+        ref = log.select("EVENT_WYID", F.lead("PRIMARYTYPE").over(w).alias("np"), F.lead("TEAM_WYID").over(w).alias("nt"))
+        bad = nx.join(ref, "EVENT_WYID").filter(~(F.col("next_PRIMARYTYPE").eqNullSafe(F.col("np"))
+                                                  & F.col("next_TEAM_WYID").eqNullSafe(F.col("nt"))))
+        assert nx.columns == [*log.columns, "next_TEAM_WYID", "next_PRIMARYTYPE"]
+        assert bad.count() == 0 and nx.count() == 400_000
+        values = log.select((F.col("MATCH_WYID") == 0).alias("g"), (F.col("extra") % 99_991).cast("double").alias("x"), "more")
+        got = {r.g: r.m for r in exact_median(values, ["g"], "x", "m", num_partitions=16).collect()}
+        assert got == {r.g: r.m for r in values.groupBy("g").agg(F.median("x").alias("m")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
 
 
 def test_hot_match_lead_is_still_exact(spark):
