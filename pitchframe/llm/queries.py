@@ -13,6 +13,7 @@ from pitchframe.llm.common import documents, held_out, labels
 from pitchframe.llm.decontaminate import leaks
 from pitchframe.llm.license_scan import license_scan
 from pitchframe.llm.minhash_dedup import near_duplicates
+from pitchframe.llm.oracle import op5_sql, op7_sql, op9_sql
 from pitchframe.llm.quality_rules import quality_rules
 from pitchframe.llm.token_shards import token_shards
 
@@ -83,4 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_license_scan": op5_sql(),
+    "op7_minhash_near_dedup": op7_sql(width=3, percent=85),
+    "op9_quality_rules": op9_sql(),
+}
