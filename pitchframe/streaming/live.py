@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.semantics import count_true, in_set, pct
 from ..plans.params import Params
-from ..sources.tables import checkpoint_dir
+from ..sources.tables import shared_dir
 
 
 def read_pass_stream(spark: SparkSession, path: str, schema: StructType,
@@ -47,20 +47,17 @@ def live_team_accuracy(rows: DataFrame, p: Params) -> DataFrame:
 def start(agg: DataFrame, name: str, checkpoint: str | None = None, sink: str = "memory",
           path: str | None = None, available_now: bool = False) -> StreamingQuery:
     """Run a live counter. ``checkpoint`` defaults to ``<spark.checkpoint.dir>/<name>``;
-    ``sink="memory"`` exposes the table as ``name`` for inspection, any other sink
-    format writes the full current table on each trigger via ``foreachBatch``."""
-    spark = agg.sparkSession
+    ``sink="memory"`` exposes the table as ``name`` for inspection; any other sink format writes
+    the full current table of each trigger to a folder of its own, ``<path>/version=<batch>``,
+    so that readers of an earlier version are never disturbed."""
     if checkpoint is None:
-        base = checkpoint_dir(spark)
-        if not base:
-            raise ValueError("set spark.checkpoint.dir or pass checkpoint=")
-        checkpoint = f"{base.rstrip('/')}/{name}"
+        checkpoint = f"{shared_dir(agg.sparkSession)}/{name}"
     w = agg.writeStream.queryName(name).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     if sink == "memory":
         return w.outputMode("complete").format("memory").start()
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").format(sink).save(path)
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").format(sink).save(f"{path.rstrip('/')}/version={epoch}")
 
     return w.outputMode("complete").foreachBatch(write).start()
