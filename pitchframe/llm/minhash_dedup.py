@@ -10,10 +10,9 @@
    minimum). Pairs whose sketches rule the threshold out are dropped, the others are confirmed on
    the full shingle sets, and the links give components.
 4. Buckets that still hold several components are gone through once more: the classes outside a
-   bucket's largest component meet those of other components, so no link between different texts
-   is lost to the draw; pairs inside a component need no test. Buckets above ``HOT_BUCKET``
-   classes are split first: their members meet again in buckets keyed by two bands (``PAIRED``
-   combinations).
+   bucket's largest component meet those of its other components, so no link between different
+   texts is lost to the draw; pairs inside a component need no test, and a pair comes out of the
+   smallest bucket key it shares only. Spark splits large buckets of this join (skew join).
 
 Chance of missing a pair: at Jaccard 0.85 below 1e-7, at 0.8 below 1e-5.
 
@@ -43,10 +42,6 @@ SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
 #: A pair is ruled out where its sketches differ by this many deviations more than the threshold allows.
 DEVIATIONS = 5.0
-#: Buckets of more classes are split by a second band before pairs across components are formed.
-HOT_BUCKET = 64
-PAIRED = 96
-
 _SIG = ("doc_id {id}, text_key long, class binary, n_shingles long, bands array<long>, "
         "sketch array<long>")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -262,21 +257,12 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return classes.select("class", F.explode("bands").alias("bucket"))
 
 
-def _paired_buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, class) keyed by two bands each: far more selective, for members of hot buckets."""
-    rng = np.random.default_rng(7)
-    both = [rng.choice(BANDS, 2, replace=False).tolist() for _ in range(PAIRED)]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("bands")[x], F.col("bands")[y])
-                     for i, (x, y) in enumerate(both)])
-    return classes.select("class", F.explode(keys).alias("bucket"))
-
-
 def _mixed(placed: DataFrame) -> DataFrame:
-    """(bucket, size, main) of the buckets with several components; ``main`` holds the most classes."""
-    counted = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    """(bucket, main) of the buckets with several components; ``main`` holds the most classes."""
+    counted = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     return (counted.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"),
-                                          F.count("*").alias("kinds"), F.max("size").alias("size"))
-            .filter("kinds > 1").select("bucket", "size", "main"))
+                                          F.count("*").alias("kinds"))
+            .filter("kinds > 1").select("bucket", "main"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
@@ -309,19 +295,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
 
     # buckets that still hold several components: the classes outside the largest one against the rest
     placed = materialise(members.join(comp.withColumnRenamed("node", "class"), "class", "left").select(
-        "bucket", "size", "class", F.coalesce("component", "class").alias("component")), "placed")
-    hot = (placed.join(_mixed(placed).filter(F.col("size") > HOT_BUCKET).select("bucket"), "bucket", "left_semi")
-           .select("class", "component").distinct())
-    again = _paired_buckets(classes.join(hot.select("class"), "class", "left_semi")).join(hot, "class")
-    cool = placed.filter(F.col("size") <= HOT_BUCKET)
-    crowd = materialise(cool.select("bucket", "class", "component")
-                        .union(again.select("bucket", "class", "component")), "crowd")
-    mixed = materialise(_mixed(crowd.withColumn("size", F.lit(0))).select("bucket", "main"), "mixed")
-    crowd = materialise(crowd.join(mixed, "bucket").join(marks, "class"), "mixed-crowd")
+        "bucket", "class", F.coalesce("component", "class").alias("component")), "placed")
+    mixed = materialise(_mixed(placed), "mixed")
+    crowd = materialise(placed.join(mixed, "bucket").join(marks.join(classes.select("class", "bands"), "class"), "class"),
+                        "crowd")
     a, b = crowd.filter(F.col("component") != F.col("main")).alias("a"), crowd.alias("b")
     across = (a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component"))
                      & ((F.col("b.component") == F.col("b.main")) | (F.col("a.class") < F.col("b.class")))
-                     & _close("a", "b", threshold))
+                     & _close("a", "b", threshold)
+                     & (F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.bucket")))
               .select(F.least("a.class", "b.class").alias("u"), F.greatest("a.class", "b.class").alias("v"))
               .distinct().join(star, ["u", "v"], "left_anti"))
     more = materialise(confirm(materialise(across, "across"), classes, docs, width, percent).distinct(), "more")
