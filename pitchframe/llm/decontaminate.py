@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. One pass counts in how many documents each word n-gram of the benchmark stands.
-2. Every item keeps as seeds its rare n-grams: those not much commoner than its own middle one.
-   (Rarity is relative to the item, so a passage copied into very many documents keeps its seeds.)
-3. A second pass joins seeds to whole texts, clusters the hits of an item into windows, and aligns
-   each window with the item word by word (local alignment with gaps). The alignment score as
-   a share of the item's own score finds exact, edited and paraphrased copies.
+1. Every word n-gram of an item is a seed, however many documents hold it: what an edited or partial
+   copy still shares with its item is found in one document as in a million.
+2. One pass joins seeds to whole texts and clusters the hits of an item into windows. Windows that
+   hold too few of the item's words for the score asked for are left out (an upper bound of the
+   score, so nothing is lost to common n-grams being seeds).
+3. Each other window is aligned with the item word by word (local alignment with gaps). The alignment
+   score as a share of the item's own score finds exact, edited and paraphrased copies.
 
 The benchmark side is looked up in memory by every task, so it is handled in slices of bounded
 size (``SLICE_BYTES`` of item text); a larger benchmark costs more passes, not more memory.
@@ -32,8 +33,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pitchframe.llm.common import narrow
 
 SEED = 3
-#: A seed's document count is at most this multiple of its item's middle one, plus ``SPARE``.
-RARITY, SPARE = 4, 10
 MIN_SEEDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.4
@@ -68,7 +67,7 @@ class Benchmark:
         self.owner = np.concatenate(owner)[order] if keys else key
         self.place = np.concatenate(place)[order] if keys else key
         self.grams, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
-        self.seed = np.ones(key.size, bool)
+        self.bags = [np.unique(ids, return_counts=True) for ids in self.items]
 
     def keys(self, ids: np.ndarray) -> np.ndarray:
         n = max(ids.size - SEED + 1, 0)
@@ -96,15 +95,15 @@ class Benchmark:
         hit = self.grams[g] == key
         return ids, g[hit], at[hit]
 
-    def choose_seeds(self, df: np.ndarray) -> None:
-        """Mark the rare n-grams of each item, given every gram's document count."""
-        of = np.repeat(df, self.count)
-        order = np.argsort(self.owner, kind="stable")
-        ends = np.searchsorted(self.owner[order], np.arange(len(self.items) + 1))
-        for i in range(len(self.items)):
-            own = order[ends[i]:ends[i + 1]]
-            if own.size:
-                self.seed[own] = of[own] <= RARITY * np.median(of[own]) + SPARE
+    def shared(self, text: np.ndarray, i: int) -> int:
+        """How many words of item ``i`` the text holds, each as often as both do."""
+        own, n = self.bags[i]
+        at = np.minimum(np.searchsorted(own, text), own.size - 1)
+        return int(np.minimum(np.bincount(at[own[at] == text], minlength=own.size), n).sum())
+
+    def need(self, i: int) -> int:
+        """Different hits a window needs; few-seeded items (short ones) need fewer."""
+        return min(MIN_SEEDS, max(1, self.items[i].size - SEED))
 
     def matches(self, text: bytes, min_score: float) -> list[tuple[int, float, int, int, int]]:
         """(item, score, seeds, first word, last word) of the best alignment of each item found."""
@@ -113,8 +112,13 @@ class Benchmark:
             return []
         n = self.count[gram]
         rows = np.repeat(self.first[gram] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        keep = self.seed[rows]
-        item, pos, place = self.owner[rows][keep], np.repeat(at, n)[keep], self.place[rows][keep]
+        item, pos, place = self.owner[rows], np.repeat(at, n), self.place[rows]
+        # an item with too few different hits in the whole text has too few in any window
+        distinct = np.unique(np.stack([item, place]), axis=1)[0]
+        found, many = np.unique(distinct, return_counts=True)
+        enough = np.array([c >= self.need(i) for i, c in zip(found.tolist(), many.tolist())])
+        keep = np.isin(item, found[enough])
+        item, pos, place = item[keep], pos[keep], place[keep]
         order = np.lexsort((pos, item))
         item, pos, place = item[order], pos[order], place[order]
         out = []
@@ -124,8 +128,7 @@ class Benchmark:
                 continue
             i = int(item[lo])
             length = self.items[i].size
-            # few-seeded items (short ones) need fewer hits
-            need = min(MIN_SEEDS, max(1, length - SEED))
+            need = self.need(i)
             best: tuple[float, int, int, int] | None = None
             ends = np.flatnonzero(np.diff(pos[lo:hi]) > length) + 1
             for a, b in zip([0, *ends.tolist()], [*ends.tolist(), hi - lo]):
@@ -134,6 +137,9 @@ class Benchmark:
                     continue
                 start = max(0, int(pos[lo + a]) - length)
                 end = min(ids.size, int(pos[lo + b - 1]) + SEED + length)
+                # a score cannot exceed the share of the item's words that stand in the window
+                if self.shared(ids[start:end], i) / length < min_score:
+                    continue
                 score, x, y = align(ids[start:end], self.items[i])
                 score /= MATCH * length
                 if score >= min_score and (best is None or score > best[0]):
@@ -195,14 +201,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, s
                     names=["doc_id", "item_id", "score", "n_seeds", "first_word", "last_word"])
         return find
 
-    parts = [docs.mapInArrow(finder(x), schema) for x in _seeded(docs, items, slice_bytes)]
+    parts = [docs.mapInArrow(finder(x), schema) for x in _sliced(items, slice_bytes)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, slice_bytes: int = SLICE_BYTES,
           text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that copy no item, all columns; decided where the text is read, without a join."""
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
 
     def copies(shared):
@@ -212,21 +217,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, s
                 yield pd.Series([bool(b.matches(bytes(t), min_score)) for t in texts], dtype=bool)
         return F.pandas_udf(run, "boolean")
 
-    for x in _seeded(texts, items, slice_bytes):
+    for x in _sliced(items, slice_bytes):
         docs = docs.filter(~copies(x)(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     return docs
 
 
 def _opened(shared: Broadcast) -> tuple[Benchmark, list]:
-    texts, names, seed = shared.value
-    b = Benchmark(texts)
-    b.seed = seed
-    return b, names
+    texts, names = shared.value
+    return Benchmark(texts), names
 
 
-def _seeded(docs: DataFrame, items: DataFrame, slice_bytes: int) -> list[Broadcast]:
-    """The benchmark in slices of bounded size, each with its seeds chosen from all of ``docs`` (text)."""
-    sc = docs.sparkSession.sparkContext
+def _sliced(items: DataFrame, slice_bytes: int) -> list[Broadcast]:
+    """The benchmark (texts, ids) in slices of bounded size."""
+    sc = items.sparkSession.sparkContext
     items = items.filter(F.col("text").isNotNull())
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
     slices = max(1, math.ceil(total / slice_bytes))
@@ -236,26 +239,5 @@ def _seeded(docs: DataFrame, items: DataFrame, slice_bytes: int) -> list[Broadca
         rows = sorted(((bytes(r["t"]), r["item_id"]) for r in
                        own.select("item_id", F.col("text").cast("binary").alias("t")).collect()),
                       key=lambda r: (r[0], str(r[1])))
-        texts, names = [t for t, _ in rows], [n for _, n in rows]
-        b = Benchmark(texts)
-        df = np.zeros(b.grams.size, np.int64)
-        for r in _document_counts(docs, sc.broadcast(texts)).toLocalIterator():
-            df[r["gram"]] = r["n"]
-        b.choose_seeds(df)
-        out.append(sc.broadcast((texts, names, b.seed)))
+        out.append(sc.broadcast(([t for t, _ in rows], [n for _, n in rows])))
     return out
-
-
-def _document_counts(docs: DataFrame, texts: Broadcast) -> DataFrame:
-    """(gram, n): in how many documents each n-gram of the items stands."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = Benchmark(texts.value)
-        df = np.zeros(b.grams.size, np.int64)
-        for batch in batches:
-            for t in batch.column(0):
-                df[np.unique(b.hits(t.as_py())[1])] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["gram", "n"])
-
-    return docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))

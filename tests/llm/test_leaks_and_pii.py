@@ -66,6 +66,32 @@ def test_planted_copies_are_found_and_clean_documents_left(spark):
     assert {r.doc_id for r in clean} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_edited_and_partial_copies_are_found_however_often_they_stand(spark):
+    rng = random.Random(4)
+    item = [f"item{i}" for i in range(40)]
+    items = [(1, " ".join(item))]
+    edited = [f"edit{i}" if i % 5 == 2 else w for i, w in enumerate(item)]
+    for copy in (edited, item[11:29]):
+        for n in (1, 10, 11, 1000):
+            docs = [(i, " ".join(words(rng, 5) + copy + words(rng, 5))) for i in range(n)]
+            docs += [(5000 + i, " ".join(words(rng, 30))) for i in range(20)]
+            d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+            b = spark.createDataFrame(items, "item_id long, text string")
+            assert {r.doc_id for r in decontaminate.leaks(d, b).collect()} == set(range(n))
+            assert {r.doc_id for r in decontaminate.clean(d, b).collect()} == {5000 + i for i in range(20)}
+
+
+def test_windows_left_out_could_not_reach_the_score():
+    rng = random.Random(12)
+    items = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(6, 14))).encode() for _ in range(8)]
+    bench = decontaminate.Benchmark(items)
+    for _ in range(150):
+        text = " ".join(rng.choice("abcdefghxyz") for _ in range(rng.randint(3, 60))).encode()
+        every = {m[0]: m[1:] for m in bench.matches(text, 0.0)}
+        for low in (0.4, 0.7):
+            assert {m[0]: m[1:] for m in bench.matches(text, low)} == {i: m for i, m in every.items() if m[0] >= low}
+
+
 def test_decontamination_odd_rows(spark):
     items = spark.createDataFrame([(1, "one two three four five six"), (2, None), (3, ""), (4, "one two")],
                                   "item_id long, text string").withColumn("doc_id", F.lit(5))
