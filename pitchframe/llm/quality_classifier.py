@@ -32,7 +32,7 @@ from pitchframe.llm.common import narrow
 
 CHUNK = 256
 HOP = 224
-STRIDE = 4
+STRIDE = 2
 WIDTH = 8
 FILTERS = 16
 SPAN = 16

@@ -134,6 +134,15 @@ def test_batch_scores_equal_single_scores():
     assert np.allclose(net.score_batch(texts), [net.score(t) for t in texts], atol=1e-5)
 
 
+def test_filters_meet_patterns_at_other_offsets():
+    text = bytes(np.random.default_rng(3).integers(32, 127, 200).astype(np.uint8))
+
+    def seen(t):
+        return {tuple(w) for w in quality_classifier.channels(quality_classifier.chunks(t))[0][0].tolist() if min(w)}
+
+    assert len(seen(text)) >= 96 and seen(text) <= seen(b"ab" + text)
+
+
 def test_quality_held_out_accuracy(spark):
     docs, marks = documents(spark, SF), labels(spark, SF)
     net = quality_classifier.fit(docs, marks, ~held_out("doc_id", 5, 0))
