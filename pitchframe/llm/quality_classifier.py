@@ -7,9 +7,8 @@ chunks' maxima are combined by their mean and their maximum, and a logistic laye
 probability. Because bytes are one-hot, a filter is a table lookup per byte and training touches
 only the positions that won the pooling.
 
-It is fitted on at most about ``MAX_TRAINING_ROWS`` labelled rows of at most ``TRAIN_CHUNKS``
-chunks each, chosen by a hash of the id; scoring reads whole texts. Labels, language, source and
-id are never inputs of a score.
+It is fitted on at most about ``MAX_TRAINING_ROWS`` labelled rows, chosen by a hash of the id;
+training and scoring read whole texts. Labels, language, source and id are never inputs of a score.
 
 Defined results: a null text is empty and is scored like an empty text; without labelled rows
 every score is 0.5; rows with a null label are not learned from; repeated rows and null ids get a
@@ -38,34 +37,48 @@ FILTERS = 16
 SPAN = 16
 LAGS = tuple(range(2, 26))
 MAX_TRAINING_ROWS = 3_000
-TRAIN_CHUNKS = 12
 EPOCHS = 12
 #: Chunks handled at once.
 BLOCK = 512
 
 
-def chunks(text: bytes, most: int | None = None) -> np.ndarray:
+def chunks(text: bytes) -> np.ndarray:
     """[chunks, CHUNK] byte codes 1 to 256, 0 where the text has ended; an empty text has one chunk."""
     n = max(1, math.ceil(max(len(text) - (CHUNK - HOP), 1) / HOP))
-    if most is not None:
-        n = min(n, most)
-    raw = np.frombuffer(text, np.uint8)[:HOP * n + CHUNK].astype(np.int16) + 1
+    raw = np.frombuffer(text, np.uint8).astype(np.int16) + 1
     raw = np.pad(raw, (0, max(0, HOP * (n - 1) + CHUNK - raw.size)))
     return np.lib.stride_tricks.sliding_window_view(raw, CHUNK)[::HOP][:n]
 
 
+def blocks(rows: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The chunks of all rows in order, at most ``BLOCK`` at a time."""
+    held: list[np.ndarray] = []
+    for row in rows:
+        for at in range(0, len(row), BLOCK):
+            part = row[at:at + BLOCK]
+            if held and sum(map(len, held)) + len(part) > BLOCK:
+                yield np.concatenate(held)
+                held = []
+            held.append(part)
+    if held:
+        yield np.concatenate(held)
+
+
 def channels(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte windows [chunks, positions, WIDTH] and repeat shares [chunks, positions, LAGS]."""
     starts = np.arange(0, CHUNK - WIDTH + 1, STRIDE)
-    windows = x[:, starts[:, None] + np.arange(WIDTH)]
-    ends = starts + WIDTH
+    windows = np.lib.stride_tricks.sliding_window_view(x, WIDTH, axis=1)[:, ::STRIDE]
+    late = -(-(SPAN - WIDTH) // STRIDE)  # positions before it end within the first ``SPAN`` bytes
     shares = np.empty((x.shape[0], starts.size, len(LAGS)), np.float32)
     for i, lag in enumerate(LAGS):
         same = np.zeros(x.shape, np.int16)
         np.logical_and(x[:, lag:] == x[:, :-lag], x[:, lag:] > 0, out=same[:, lag:], casting="unsafe")
         run = np.zeros((x.shape[0], CHUNK + 1), np.int16)
         np.cumsum(same, axis=1, out=run[:, 1:], dtype=np.int16)
-        shares[:, :, i] = (run[:, ends] - run[:, np.maximum(ends - SPAN, 0)]) / SPAN
+        held = run[:, WIDTH::STRIDE].copy()
+        held[:, late:] -= run[:, late * STRIDE - (SPAN - WIDTH):CHUNK + 1 - SPAN:STRIDE]
+        shares[:, :, i] = held
+    shares /= SPAN
     return windows, shares
 
 
@@ -135,14 +148,18 @@ class Network:
         return out
 
     def fit(self, texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 11) -> None:
-        """Adam on balanced log loss, a text per example, in batches of 32 texts."""
+        """Adam on balanced log loss, a whole text per example, in batches of 32 texts.
+
+        Chunks are pooled in blocks; gradients flow through the positions that won the pooling, whose
+        blocks are computed again where a batch has many. What is held of a batch besides its
+        texts is a winner and a maximum per chunk and filter.
+        """
         y = np.array(labels, np.float32)
         if y.size == 0 or y.min() == y.max():
             if y.size:
                 self.p["c"][:] = 4.0 if y[0] else -4.0
             return
         weight = np.where(y == 1, y.size / (2 * y.sum()), y.size / (2 * (y.size - y.sum()))).astype(np.float32)
-        parts = [chunks(t, TRAIN_CHUNKS) for t in texts]
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -152,13 +169,20 @@ class Network:
             order = rng.permutation(y.size)
             for at in range(0, y.size, 32):
                 pick = order[at:at + 32]
-                rows = [parts[i] for i in pick]
+                rows = [chunks(texts[i]) for i in pick]
                 size = np.array([len(r) for r in rows])
                 owner = np.repeat(np.arange(len(rows)), size)
-                windows, shares = channels(np.concatenate(rows))
-                z = self.filters(windows, shares)
-                best = z.argmax(axis=1)
-                m = np.take_along_axis(z, best[:, None, :], axis=1)[:, 0, :]
+                # the channels of a few blocks are kept, those of more are computed again
+                few = size.sum() <= 4 * BLOCK
+                wins, maxima, kept = [], [], []
+                for x in blocks(rows):
+                    windows, shares = channels(x)
+                    if few:
+                        kept.append((windows, shares))
+                    z = self.filters(windows, shares)
+                    wins.append(z.argmax(axis=1).astype(np.uint8))
+                    maxima.append(z.max(axis=1))
+                best, m = np.concatenate(wins), np.concatenate(maxima)
                 live = m > 0
                 m = np.maximum(m, 0)
                 start = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -174,11 +198,16 @@ class Network:
                 g["w"] = (np.concatenate([mean, top], axis=1) * d[:, None]).sum(axis=0) + 1e-4 * w
                 g["c"] = np.array([d.sum()], np.float32)
                 g["b"] = dm.sum(axis=0)
-                r, f = np.nonzero(dm)
-                won = best[r, f]
-                np.add.at(g["u"].T, f, shares[r, won] * dm[r, f][:, None])
-                for k in range(WIDTH):
-                    np.add.at(g["t"][k], (windows[r, won, k], f), dm[r, f])
+                done = 0
+                for i, x in enumerate(blocks(rows)):
+                    windows, shares = kept[i] if few else channels(x)
+                    own = dm[done:done + len(x)]
+                    r, f = np.nonzero(own)
+                    won = best[done:done + len(x)][r, f]
+                    np.add.at(g["u"].T, f, shares[r, won] * own[r, f][:, None])
+                    for k in range(WIDTH):
+                        np.add.at(g["t"][k], (windows[r, won, k], f), own[r, f])
+                    done += len(x)
                 g["t"][:, 0] = 0
                 step += 1
                 rate = 0.01 * (1 - epoch / epochs)
@@ -202,10 +231,9 @@ def training_rows(docs: DataFrame, marks: DataFrame, label: str, usable, max_row
 
 def fit(docs: DataFrame, marks: DataFrame, usable, label: str = "quality",
         max_rows: int = MAX_TRAINING_ROWS) -> Network:
-    """A network fitted on the driver from a bounded sample: at most ``TRAIN_CHUNKS`` chunks a row."""
-    most = HOP * TRAIN_CHUNKS + CHUNK
+    """A network fitted on the driver from the whole texts of a bounded sample of rows."""
     rows = training_rows(docs, marks, label, usable, max_rows).select(
-        F.substring(F.col("text").cast("binary"), 1, most).alias("text"), "label").collect()
+        F.col("text").cast("binary").alias("text"), "label").collect()
     rows = sorted((bytes(r["text"]), r["label"]) for r in rows)
     net = Network()
     net.fit([r[0] for r in rows], [r[1] for r in rows])

@@ -143,6 +143,32 @@ def test_filters_meet_patterns_at_other_offsets():
     assert len(seen(text)) >= 96 and seen(text) <= seen(b"ab" + text)
 
 
+def test_training_reads_whole_texts(spark):
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 117, 3000).astype(np.uint8)) for _ in range(320)]
+    # what tells the labels apart begins only after 3,000 bytes, in one text after 150,000
+    texts = [t + (b"#$%&" if i % 2 else b"WXYZ") * 150 for i, t in enumerate(texts)]
+    texts[0] = texts[0][:3000] * 50 + texts[0][3000:]
+    rows = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1 - i % 2) for i in range(320)], "doc_id long, quality int")
+    net = quality_classifier.fit(rows, marks, F.lit(True))
+    got = quality_classifier.score(rows, net, threshold=0.5).collect()
+    assert sum(r.predicted == 1 - r.doc_id % 2 for r in got) >= 0.98 * len(got)
+
+
+def test_training_in_blocks_equals_one_block(monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.integers(97, 117, n).astype(np.uint8)) for n in rng.integers(0, 9000, 40)]
+    marks = [i % 2 for i in range(40)]
+    nets = []
+    for block in (100_000, 7):
+        monkeypatch.setattr(quality_classifier, "BLOCK", block)
+        nets.append(quality_classifier.Network())
+        nets[-1].fit(texts, marks, epochs=1)
+    for k, v in nets[0].p.items():
+        assert np.allclose(v, nets[1].p[k], atol=1e-3), k
+
+
 def test_quality_held_out_accuracy(spark):
     docs, marks = documents(spark, SF), labels(spark, SF)
     net = quality_classifier.fit(docs, marks, ~held_out("doc_id", 5, 0))
