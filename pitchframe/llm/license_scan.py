@@ -94,9 +94,10 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             F.struct(F.lit(None).cast("int").alias("template"), F.lit(None).cast("int").alias("diagonal")),
             F.struct("template", (F.col("at") - F.col("t_at")).alias("diagonal"))))
         .otherwise(F.array(F.struct("template", (F.col("at") - F.col("t_at")).alias("diagonal"))))
-    ).alias("v")).select("doc_id", "key", "n_words", "v.template", "v.diagonal")
+    ).alias("v"), "at").select("doc_id", "key", "n_words", "v.template", "v.diagonal", "at")
+    # a word place votes once for a diagonal, in however many equal rows it stands
     return hits.groupBy("doc_id", "key", "n_words", "template", "diagonal").agg(
-        F.count("*").alias("votes"))
+        F.count_distinct("at").alias("votes"))
 
 
 def license_scan(docs: DataFrame, min_coverage: float = MIN_COVERAGE,

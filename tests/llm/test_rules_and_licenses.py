@@ -80,6 +80,18 @@ def test_license_scan_merges_neighbouring_diagonals(spark):
     assert r[2].labels == "" and r[2].score == 0
 
 
+def test_license_scan_of_repeated_rows(spark):
+    texts = ["here under the mit license", "Apache License, Version 2.0 and CC-BY-NC", "under the mit",
+             "permission is hereby granted free of charge to any other"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, t) for t in texts]
+    once, thrice = (
+        {(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score)
+         for r in license_scan(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, rows * 3))
+    assert once == thrice
+    assert {r[:6] for r in thrice} == {(i, *brute_licenses(t)) for i, t in rows}
+    assert all(r[6] == "" for r in thrice if r[1] == 3)
+
+
 def test_license_scan_odd_rows(spark):
     got = license_scan(odd_docs(spark)).collect()
     # the repeated row is one document
