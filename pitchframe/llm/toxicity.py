@@ -79,6 +79,7 @@ class Lexicon:
         self.trie: dict = {}
         self.heads: dict[int, set[str]] = {}
         self.tails: dict[int, set[str]] = {}
+        self.middles: dict[tuple[int, int], set[str]] = {}
         for term in self.words:
             if term not in self.fuzzy or not edits(len(term)):
                 continue
@@ -86,11 +87,12 @@ class Lexicon:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
-            # of k + 1 parts one is intact; the first and the last are looked up, the middle
-            # part of longer terms is covered by taking both end parts short
+            # of k + 1 parts one is intact: the first, the last or, in terms of two edits, the middle
             part = len(term) // (edits(len(term)) + 1)
             self.heads.setdefault(part, set()).add(term[:part])
             self.tails.setdefault(part, set()).add(term[-part:])
+            if edits(len(term)) == 2:
+                self.middles.setdefault((part, len(term) - 2 * part), set()).add(term[part:-part])
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the nearest term; exact words first, then stems, then misspellings."""
@@ -99,10 +101,16 @@ class Lexicon:
         for n in STEMS:
             if word[:n] in self.stems and len(word) > n:
                 return word[:n], 0
-        if any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items()):
+        if (any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items())
+                or self.holds_middle(word)):
             return self.nearest(word)
         return None
 
+    def holds_middle(self, word: str) -> bool:
+        """Whether a middle part stands in the word, moved by what two edits before it can move."""
+        return any(word[i:i + size] in s for (at, size), s in self.middles.items()
+                   for i in range(max(at - 2, 0), at + 3))
+
     def nearest(self, word: str) -> tuple[str, int] | None:
         """Intersect the word's Levenshtein automaton with the trie; smallest edits, then term."""
         best: tuple[int, str] | None = None
@@ -224,13 +232,14 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
             continue
         good.append((llr, t, odds))
     good.sort(key=lambda x: (-x[0], x[1]))
-    words: dict[str, float] = {}
+    good = {t: odds for _, t, odds in good[:MAX_TERMS]}
     stems: dict[str, float] = {}
-    for _, t, odds in sorted(good[:MAX_TERMS], key=lambda x: (not x[1].endswith("*"), len(x[1]), x[1])):
-        bare = t.rstrip("*")
-        if any(bare[:n] in stems for n in STEMS if n <= len(bare)):
-            continue
-        (stems if t.endswith("*") else words)[bare] = odds
+    for t, odds in sorted(((t, x) for t, x in good.items() if t.endswith("*")), key=lambda x: (len(x[0]), x[0])):
+        bare = t[:-1]
+        if not any(bare[:n] in stems for n in STEMS if n <= len(bare)):
+            stems[bare] = odds
+    # words a stem covers stay: their misspellings need not begin with it
+    words = {t: stems.get(t, odds) for t, odds in sorted(good.items()) if not t.endswith("*")}
     return Lexicon(words, stems, set(words))
 
 

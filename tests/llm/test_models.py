@@ -37,6 +37,35 @@ def test_automaton_equals_edit_distance():
             assert lexicon.match(w) is not None, w
 
 
+def test_match_equals_edit_distance_for_every_limit():
+    terms = ["stupid", "idiot", "pathetic", "worthless", "degenerates", "nincompoops"]
+    lexicon = toxicity.Lexicon(dict.fromkeys(terms, 1.0), {}, set(terms))
+    assert lexicon.match("wprthlesz") == ("worthless", 2)
+    rng = random.Random(13)
+    for _ in range(6000):
+        term = rng.choice(terms)
+        w = list(term)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at:at + rng.randint(0, 1)] = [rng.choice("abdeiostu")] * rng.randint(0, 1)
+        w = "".join(w)
+        near = [(distance(w, t), t) for t in terms if distance(w, t) <= toxicity.edits(len(t))]
+        assert lexicon.match(w) == ((min(near)[1], min(near)[0]) if near else None), w
+
+
+def lexicon_of(spark, toxic):
+    rng = random.Random(21)
+    rows = [(" ".join(words(rng, 30)), 0) for _ in range(300)]
+    rows += [(" ".join(words(rng, 10) + list(own)), 1) for own in toxic]
+    return toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+
+
+def test_misspellings_of_words_a_stem_covers(spark):
+    lexicon = lexicon_of(spark, [[w] for w in ("soddenness", "soddenling") for _ in range(12)])
+    assert any("soddenness".startswith(x) for x in lexicon.stems) and lexicon.match("soddenish")[1] == 0
+    assert lexicon.match("xoddenness") == ("soddenness", 1)
+
+
 def test_context_tells_quotation_from_abuse():
     quoted = "he said the word \"idiot\" was used".split()
     plain = "look at this big idiot over there".split()
