@@ -4,11 +4,12 @@
 a match that fails its check is dropped, without retries).
 
 *Disclosure.* Every base match is a protected entity. From all documents, Spark counts in how many
-distinct contexts (``CONTEXT`` words on either side) each term stands by an entity, and in how many
-documents the term stands at all. A term discloses an entity when it stands by it in at least
-``MIN_CONTEXTS`` distinct contexts and the information it gives about the entity, log2 of
+each term stands by an entity (among the ``CONTEXT`` words on either side, however far off they are),
+and in how many documents the term stands at all. A term discloses an entity when it stands by it in
+at least ``MIN_CONTEXTS`` different texts and the information it gives about the entity, log2 of
 p(term | entity) / p(term), reaches ``MIN_DISCLOSURE`` of the entity's own information, log2 of
-N / n(entity). Copies of a text share their contexts, so they are no evidence. In documents that
+N / n(entity). Exact copies of a text are one text, so they are no evidence; a passage shared by
+otherwise different texts is evidence in each. In documents that
 hold the entity, every occurrence of such a term is a span of kind ``term``. ``sanitise`` removes
 the terms and generalises the matches to their kind.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -97,19 +99,19 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def contexts(text: str, spans: list[Span]) -> list[tuple[str, str, list[str]]]:
-    """(entity, context digest, distinct terms) around each match; words inside a match are no terms."""
-    out = []
+def contexts(text: str, spans: list[Span]) -> list[tuple[str, list[str]]]:
+    """(entity, distinct terms around its matches) of each entity; words inside a match are no terms."""
+    if not spans:
+        return []
+    words = [(m.start(), m.end(), m.group().lower()) for m in TERM.finditer(text)]
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    inside = {w.lower() for a, b, _ in spans for w in TERM.findall(text, a, b)}
+    out: dict[str, set[str]] = {}
     for start, end, kind in spans:
-        reach = 24 * CONTEXT
-        before = TERM.findall(text, max(0, start - reach), start)[-CONTEXT:]
-        after = TERM.findall(text, end, end + reach)[:CONTEXT]
-        words = [w.lower() for w in before + after]
-        digest = hashlib.blake2b(" ".join(words).encode(), digest_size=8).hexdigest()
-        entity = f"{kind}:{text[start:end].lower()}"
-        inside = {w.lower() for a, b, _ in spans for w in TERM.findall(text, a, b)}
-        out.append((entity, digest, sorted(set(words) - inside)))
-    return out
+        before, after = bisect_right(ends, start), bisect_left(starts, end)
+        near = words[max(0, before - CONTEXT):before] + words[after:after + CONTEXT]
+        out.setdefault(f"{kind}:{text[start:end].lower()}", set()).update(w[2] for w in near)
+    return [(entity, sorted(terms - inside)) for entity, terms in out.items()]
 
 
 def term_spans(text: str, terms: set[str], spans: list[Span]) -> list[Span]:
@@ -128,8 +130,8 @@ def term_spans(text: str, terms: set[str], spans: list[Span]) -> list[Span]:
 
 _BASE = ("doc_id {id}, text_key long, n_email long, n_ip long, n_card long, n_phone long, "
          "base_sha256 string, spans string, "
-         "contexts array<struct<entity: string, context: string, terms: array<string>>>")
-_CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.string()), ("terms", pa.list_(pa.string()))]))
+         "contexts array<struct<entity: string, terms: array<string>>>")
+_CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def _base(docs: DataFrame) -> DataFrame:
             for t in batch.column(2):
                 text = t.as_py()
                 spans = base_spans(text)
-                rows.append((spans, [dict(zip(("entity", "context", "terms"), c)) for c in contexts(text, spans)]))
+                rows.append((spans, [dict(zip(("entity", "terms"), c)) for c in contexts(text, spans)]))
             texts = [joined(s) for s, _ in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1),
@@ -179,15 +181,18 @@ def _document_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame | None:
     """(entity, term, disclosure) of terms over the threshold; None where no term is near it."""
-    near = base.select(F.explode("contexts").alias("c")).select("c.entity", "c.context", "c.terms")
-    pairs = (near.select("entity", "context", F.explode("terms").alias("term")).distinct()
-             .groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= MIN_CONTEXTS))
+    near = base.select("text_key", F.explode("contexts").alias("c")).select("text_key", "c.entity", "c.terms")
+    # a row has each pair once; equal texts are added up first and are one piece of evidence
+    pairs = (near.select("entity", "text_key", F.explode("terms").alias("term"))
+             .groupBy("entity", "term", "text_key").agg(F.count("*").alias("n"))
+             .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_texts"))
+             .filter(F.col("n_texts") >= MIN_CONTEXTS).drop("n_texts"))
     pairs = materialise(pairs, "disclosure")
     candidates = pairs.select("term").distinct()
     if candidates.isEmpty():
         return None
     n_docs = base.count()
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = near.groupBy("entity").agg(F.count("*").alias("n_entity"))
     counted = materialise(_document_counts(docs, candidates), "terms")
 
     def log2(x: Column) -> Column:

@@ -167,6 +167,25 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[500] == "Copied words around [email] here again"
 
 
+def test_a_shared_signature_in_different_texts_is_evidence(spark):
+    rng = random.Random(8)
+    around = "with kind regards from all of us here Quuxley jq@example.com please do write to us soon again"
+    far = "reach Zorbley " + "." * 400 + " zz@example.org"
+    rows = [(i, " ".join(words(rng, 20)) + f" {around} " + " ".join(words(rng, 20))) for i in range(12)]
+    rows += [(50 + i, " ".join(words(rng, 20)) + f" {far} " + " ".join(words(rng, 20))) for i in range(6)]
+    rows += [(100 + i, " ".join(words(rng, 30)) + " with kind regards from all of us here please do write to us soon "
+              "again reach") for i in range(250)]
+    rows += [(500 + i, "copied Names around me@copy.example") for i in range(9)]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    for r in got:
+        assert "Quuxley" not in r.text and "Zorbley" not in r.text
+        if 100 <= r.doc_id < 500:
+            assert r.text == texts[r.doc_id]
+        elif r.doc_id >= 500:
+            assert r.text == "copied Names around [email]"
+
+
 def test_pii_odd_rows(spark):
     got = pii.find(odd_docs(spark)).collect()
     assert len(got) == len(ODD) and all(r.spans == "" for r in got)
