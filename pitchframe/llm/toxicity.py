@@ -2,13 +2,13 @@
 
 *Lexicon.* Document frequencies of words and word stems in toxic and other labelled training rows
 are counted by Spark; terms whose association with the label is far beyond chance (log-likelihood
-ratio over ``MIN_EVIDENCE``) enter the lexicon with their log-odds as weight. A stem enters where
-several different words continue it.
+ratio over ``MIN_EVIDENCE``) enter the lexicon with their log-odds as weight, all of them and of any
+length. A stem enters where several different words continue it.
 
 *Matching.* Each new word is run once through the lexicon trie together with its Levenshtein
 automaton: a trie node is entered only while the automaton's row still holds a distance within the
-limit of ``edits`` (none for short terms, one from 5 letters, two from 9). A prefix or suffix half
-must be intact for one edit, so a set look-up rejects most words beforehand. Misspelled hits of a
+limit of ``edits`` (none for short terms, one from 5 letters, two from 9). Of edits + 1 parts of a term
+one must be intact, so only small tries of terms that share a part with the word are walked. Misspelled hits of a
 term count only if they are rare in training rows that are not toxic.
 
 *Context.* Every hit is weighed by the words around it: quotation marks and words of reporting
@@ -35,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import narrow
+from pitchframe.llm.common import materialise, narrow
 
 MAX_TRAINING_ROWS = 12_000
-MAX_TERMS = 500
+#: Toxic training rows that must hold a term.
+MIN_DOCUMENTS = 4
 #: Log-likelihood ratio a term needs: some ten thousand candidates are tested at once.
 MIN_EVIDENCE = 12.0
 MIN_ODDS = 3.0
@@ -77,22 +78,26 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         self.trie: dict = {}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
-        self.middles: dict[tuple[int, int], set[str]] = {}
+        #: Small tries of the terms of one length that share a part; of k + 1 parts one is intact.
+        self.parts: dict[tuple[int, str, str], dict] = {}
+        self.sizes: set[int] = set()
         for term in self.words:
             if term not in self.fuzzy or not edits(len(term)):
                 continue
-            node = self.trie
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = term
-            # of k + 1 parts one is intact: the first, the last or, in terms of two edits, the middle
-            part = len(term) // (edits(len(term)) + 1)
-            self.heads.setdefault(part, set()).add(term[:part])
-            self.tails.setdefault(part, set()).add(term[-part:])
-            if edits(len(term)) == 2:
-                self.middles.setdefault((part, len(term) - 2 * part), set()).add(term[part:-part])
+            size = len(term)
+            part = size // (edits(size) + 1)
+            self.sizes.add(size)
+            shared = [(size, "head", term[:part]), (size, "tail", term[-part:])]
+            if edits(size) == 2:
+                shared.append((size, "middle", term[part:-part]))
+            for node in (self.trie, *(self.parts.setdefault(x, {}) for x in shared)):
+                for c in term:
+                    node = node.setdefault(c, {})
+                node[""] = term
+
+    def __reduce__(self):
+        # tries are as deep as the longest term; they are built again where the lexicon arrives
+        return Lexicon, (self.words, self.stems, self.fuzzy)
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the nearest term; exact words first, then stems, then misspellings."""
@@ -101,20 +106,28 @@ class Lexicon:
         for n in STEMS:
             if word[:n] in self.stems and len(word) > n:
                 return word[:n], 0
-        if (any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items())
-                or self.holds_middle(word)):
-            return self.nearest(word)
-        return None
-
-    def holds_middle(self, word: str) -> bool:
-        """Whether a middle part stands in the word, moved by what two edits before it can move."""
-        return any(word[i:i + size] in s for (at, size), s in self.middles.items()
-                   for i in range(max(at - 2, 0), at + 3))
-
-    def nearest(self, word: str) -> tuple[str, int] | None:
-        """Intersect the word's Levenshtein automaton with the trie; smallest edits, then term."""
+        tries = self.near(word)
+        return self.nearest(word, tries) if tries else None
+
+    def near(self, word: str) -> list[dict]:
+        """Tries of the terms of a length within the limit that share an intact part with the word."""
+        out = []
+        for size in range(len(word) - 2, len(word) + 3):
+            if size not in self.sizes or abs(size - len(word)) > edits(size):
+                continue
+            part = size // (edits(size) + 1)
+            keys = {(size, "head", word[:part]), (size, "tail", word[-part:])}
+            if edits(size) == 2:  # two edits before the middle part move it by two at most
+                keys |= {(size, "middle", word[i:i + size - 2 * part]) for i in range(part - 2, part + 3)}
+            out += [self.parts[k] for k in keys if k in self.parts]
+        return out
+
+    def nearest(self, word: str, tries: list[dict] | None = None) -> tuple[str, int] | None:
+        """Intersect the word's Levenshtein automaton with tries (all terms); smallest edits, then term."""
         best: tuple[int, str] | None = None
-        todo = [(self.trie, list(range(len(word) + 1)))]
+        first = list(range(len(word) + 1))
+        todo = [(trie, first) for trie in ([self.trie] if tries is None else tries)]
+        most = 2 if len(word) >= 7 else 1  # terms of two edits have nine letters
         while todo:
             node, row = todo.pop()
             if "" in node and row[-1] <= edits(len(node[""])):
@@ -125,7 +138,7 @@ class Lexicon:
                 new = [row[0] + 1]
                 for i, w in enumerate(word):
                     new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c)))
-                if min(new) <= 2:
+                if min(new) <= most:
                     todo.append((child, new))
         return (best[1], best[0]) if best else None
 
@@ -182,7 +195,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = {w for w in map(plain, set((text.as_py() or "").lower().split())) if 3 < len(w) <= 40}
+                words = {w for w in map(plain, set((text.as_py() or "").lower().split())) if w}
                 terms = words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n} | {""}
                 counts[1 if label == 1 else 0].update(terms)
             terms = list(counts[1].keys() | counts[0].keys())
@@ -194,14 +207,6 @@ def _term_counts(rows: DataFrame) -> DataFrame:
             .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
-def _evidence(a: int, b: int, n1: int, n0: int) -> tuple[float, float]:
-    """Log-likelihood ratio of the label given the term, and the smoothed log-odds."""
-    odds = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-    p, q = n1 / (n1 + n0), a / (a + b)
-    llr = (a * math.log(q / p) if a else 0) + (b * math.log((1 - q) / (1 - p)) if b and q < 1 else 0)
-    return llr, odds
-
-
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     """Terms strongly tied to the label, from rows (text, label)."""
     counts = _term_counts(rows)
@@ -209,30 +214,21 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     if not total or not total[0]["toxic"] or not total[0]["clean"]:
         return Lexicon()
     n1, n0 = total[0]["toxic"], total[0]["clean"]
-    share = n1 / (n1 + n0)
-    # what could pass at all: strongest first, a fixed number of rows for the driver
-    strong = (counts.filter((F.col("term") != "") & (F.col("toxic") >= 4)
-                            & (F.col("toxic") / (F.col("toxic") + F.col("clean")) > 2 * share))
-              .orderBy(F.desc(F.col("toxic") * F.log(F.col("toxic") / (F.col("toxic") + F.col("clean")) / F.lit(share))),
-                       "term").limit(20 * MAX_TERMS).collect())
-    have = {r["term"]: (r["toxic"], r["clean"]) for r in strong}
+    a, b = F.col("toxic"), F.col("clean")
+    p, q = F.lit(n1 / (n1 + n0)), F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    # log-likelihood ratio of the label given the term, and the smoothed log-odds
+    llr = a * F.log(q / p) + F.when(b > 0, b * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    odds = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
+    seen = materialise(counts.filter((F.col("term") != "") & (a >= MIN_DOCUMENTS)), "toxic-terms")
     # the commonest continuation of each stem, longer stem or word
-    longest: Counter = Counter()
-    for t, (a, _) in have.items():
-        bare = t.rstrip("*")
-        for n in STEMS:
-            if n < len(bare):
-                longest[bare[:n]] = max(longest[bare[:n]], a)
-    good = []
-    for t, (a, b) in have.items():
-        llr, odds = _evidence(a, b, n1, n0)
-        if llr < MIN_EVIDENCE or odds < MIN_ODDS:
-            continue
-        if t.endswith("*") and a < BRANCHING * longest[t[:-1]]:
-            continue
-        good.append((llr, t, odds))
-    good.sort(key=lambda x: (-x[0], x[1]))
-    good = {t: odds for _, t, odds in good[:MAX_TERMS]}
+    bare = F.regexp_replace("term", r"\*$", "")
+    longest = (seen.select("toxic", F.explode(F.array(*[
+        F.when(F.length(bare) > n, F.concat(F.substring(bare, 1, n), F.lit("*"))) for n in STEMS])).alias("term"))
+        .filter(F.col("term").isNotNull()).groupBy("term").agg(F.max("toxic").alias("longest")))
+    good = {r["term"]: r["odds"] for r in seen.filter((llr >= MIN_EVIDENCE) & (odds >= MIN_ODDS))
+            .join(longest, "term", "left")
+            .filter(~F.col("term").endswith("*") | (a >= BRANCHING * F.coalesce("longest", F.lit(0))))
+            .select("term", odds.alias("odds")).collect()}
     stems: dict[str, float] = {}
     for t, odds in sorted(((t, x) for t, x in good.items() if t.endswith("*")), key=lambda x: (len(x[0]), x[0])):
         bare = t[:-1]
@@ -260,11 +256,13 @@ class Model:
     lexicon: Lexicon
     coef: np.ndarray  # NUMBERS + 1 values, the last is the constant
 
+    def __post_init__(self) -> None:
+        self.weight = self.lexicon.words | self.lexicon.stems
+
     def score(self, n_words: int, hits: list[tuple[str, int, float]]) -> float:
-        if not self.lexicon.words and not self.lexicon.stems:
+        if not self.weight:
             return 0.0
-        weight = self.lexicon.words | self.lexicon.stems
-        z = float(np.dot(self.coef[:-1], numbers(n_words, hits, weight)) + self.coef[-1])
+        z = float(np.dot(self.coef[:-1], numbers(n_words, hits, self.weight)) + self.coef[-1])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -326,7 +324,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted, n_hits, terms), one row per input row.
 
-    The model (at most ``MAX_TERMS`` terms) is broadcast.
+    The model is broadcast; its terms are bounded by the words of the training rows.
     """
     docs = narrow(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(

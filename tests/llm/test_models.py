@@ -66,6 +66,15 @@ def test_misspellings_of_words_a_stem_covers(spark):
     assert lexicon.match("xoddenness") == ("soddenness", 1)
 
 
+def test_every_term_that_passes_the_tests_is_admitted(spark):
+    many = [f"{a}{b}{c}q{a}" for a in "bcdfghklm" for b in "aeiou" for c in "npqrstvwxz"] + ["zzz", "xq", "y" * 60]
+    lexicon = lexicon_of(spark, [many] * 12)
+    assert set(many) <= set(lexicon.words)
+    more = [f"{a}{b}{c}w{a}u" for a in "bcdfghklm" for b in "aeiou" for c in "npqrstvwxz"]
+    assert set(many + more) <= set(lexicon_of(spark, [many + more] * 12).words)
+    assert lexicon.match("zzz") == ("zzz", 0) and lexicon.match("zzy") is None
+
+
 def test_context_tells_quotation_from_abuse():
     quoted = "he said the word \"idiot\" was used".split()
     plain = "look at this big idiot over there".split()
