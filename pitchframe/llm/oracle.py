@@ -1,4 +1,4 @@
-"""DuckDB SQL of the operators that SQL can express, over the ``documents`` view."""
+"""DuckDB SQL of the operators that SQL can express, over the registered views."""
 
 from __future__ import annotations
 
@@ -93,3 +93,35 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.v
 c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+def op12_sql(k: int = 10) -> str:
+    term = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {term}) AS w FROM documents),
+i AS (SELECT row_number() OVER () AS slot, item_id, regexp_extract_all({_LOWER}, {term}) AS w FROM benchmark),
+need AS (SELECT slot, item_id, t, count(*) AS times FROM (SELECT slot, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+total AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM need) GROUP BY ALL),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+           FROM tf, total GROUP BY t),
+size AS (SELECT r, doc_id, 25 + (75 * CAST(len(w) AS BIGINT) * n) // l AS m FROM d, total WHERE len(w) > 0),
+scored AS (SELECT slot, item_id, r, doc_id,
+                  CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+           FROM need JOIN weight USING (t) JOIN tf USING (t) JOIN size USING (r) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY score DESC, doc_id NULLS LAST, r) AS rank
+           FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= {k}"""
+
+
+def op13_sql(k: int = 5, scale: int = 256, every: int = 50) -> str:
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id,
+                  list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM e q JOIN e c ON c.r <> q.r WHERE q.vec_id % {every} = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= {k}"""

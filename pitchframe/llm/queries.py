@@ -7,13 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchframe.llm import language_id, pii, quality_classifier, toxicity
+from pyspark.sql import functions as F
+
+from pitchframe.llm import language_id, lexical_search, pii, quality_classifier, toxicity, va_search, whitening
 from pitchframe.llm.bpe import bpe_digests
-from pitchframe.llm.common import documents, held_out, labels
+from pitchframe.llm.common import documents, embeddings, held_out, labels
 from pitchframe.llm.decontaminate import leaks
 from pitchframe.llm.license_scan import license_scan
 from pitchframe.llm.minhash_dedup import near_duplicates
-from pitchframe.llm.oracle import op5_sql, op7_sql, op9_sql
+from pitchframe.llm.oracle import op5_sql, op7_sql, op9_sql, op12_sql, op13_sql
 from pitchframe.llm.quality_rules import quality_rules
 from pitchframe.llm.token_shards import token_shards
 
@@ -71,6 +73,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir), components=32).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_search.search(embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -82,10 +96,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_whitening": op11_whitening,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_search": op13_exact_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": op5_sql(),
     "op7_minhash_near_dedup": op7_sql(width=3, percent=85),
     "op9_quality_rules": op9_sql(),
+    "op12_lexical_search": op12_sql(),
+    "op13_exact_search": op13_sql(),
 }
