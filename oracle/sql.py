@@ -2,9 +2,10 @@
 
 The views ``orders lineitem events part supplier`` are provided by the checker. The
 domain tables are rebuilt here as CTEs with the same arithmetic as
-``pitchframe/sources/testdata.py``; every analytic is then plain SQL over them. Double
-columns are rounded to 6 places (the Spark side does the same in the registry) so that
-summation order cannot change the comparison.
+``pitchframe/sources/testdata.py``; every analytic is then plain SQL over them. Means and
+sums of doubles are exact here too (whole numbers of 2**-72 in 128-bit integers), so they are
+compared bit for bit; only the mean angle, whose arc tangents come from each engine's own
+library, is rounded to 6 places on both sides.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ K = SimpleNamespace(
 P = SimpleNamespace(
     club=1, seasons=(191611, 189918), competitions=(335, 328), date_from="1996-07-19", as_of="2001-12-31",
     shot_competition=335, shot_seasons=(189918, 191611), min_bin_shots=1, top_n=10)
-ONE_MATCH = 7
+SHOT_MATCH, CLUB_MATCH = 10, 373
 
 
 def seq_breaks(start: float, stop: float, step: float) -> list[float]:
@@ -44,6 +45,21 @@ def _lst(values) -> str:
     return ", ".join(str(v) for v in values)
 
 
+def _sum(x: str) -> str:
+    """The exact sum of doubles: whole numbers of 2**-72, added as integers, turned into a double once
+    (whole part and fraction)."""
+    total = f"sum(CAST(trunc(CAST({x} AS DOUBLE) * {2 ** 72}.0) AS HUGEINT))"
+    size = f"abs({total})"
+    whole = f"CAST({size} // {2 ** 96} AS DOUBLE) * {2 ** 24}.0 + CAST({size} // {2 ** 72} % {2 ** 24} AS DOUBLE)"
+    fraction = (f"CAST({size} % {2 ** 72} // {2 ** 24} AS DOUBLE) / {2 ** 48}.0 "
+                f"+ CAST({size} % {2 ** 24} AS DOUBLE) / {2 ** 72}.0")
+    return f"(sign({total}) * (({whole}) + ({fraction})))"
+
+
+def _mean(x: str) -> str:
+    return f"({_sum(x)} / nullif(count({x}), 0))"
+
+
 def _dbl(x: float) -> str:
     return f"CAST('{x!r}' AS DOUBLE)"
 
@@ -140,7 +156,9 @@ d_players AS (
          CASE p_type WHEN 'ECONOMY' THEN 'Defender' WHEN 'STANDARD' THEN 'Midfielder'
                      WHEN 'PROMO' THEN 'Wing Forward' WHEN 'MEDIUM' THEN NULL ELSE 'Goalkeeper' END AS ROLENAME,
          p_name AS SHORTNAME
-  FROM part),
+  FROM part
+  UNION ALL
+  SELECT p_partkey, 'Midfielder', p_name FROM part WHERE p_partkey % 13 = 0),
 d_teams AS (SELECT s_suppkey AS TEAM_WYID, s_name AS TEAMNAME FROM supplier)"""
 
 DERIVED = f"""
@@ -276,10 +294,15 @@ pline AS (
               WHEN regexp_matches(ROLENAME, 'Midfield', 'i') THEN 'Midtbane'
               WHEN regexp_matches(ROLENAME, 'Forward|Striker|Wing', 'i') THEN 'Angreb'
               ELSE '{K.UNKNOWN_LINE}' END AS line
-  FROM players1),
+  FROM d_players),
+pline_once AS (
+  SELECT * FROM pline
+  QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY role NULLS LAST, shortname NULLS LAST) = 1),
 with_line AS (
   SELECT m.*, l.line FROM marked m LEFT JOIN pline l ON m.PLAYER_WYID = l.player_id
   WHERE l.line IS NOT NULL AND l.line <> '{K.UNKNOWN_LINE}'),
+with_line_once AS (
+  SELECT m.*, l.line FROM marked m JOIN pline_once l ON m.PLAYER_WYID = l.player_id WHERE l.line <> '{K.UNKNOWN_LINE}'),
 club_m AS (SELECT DISTINCT MATCH_WYID, SEASON_WYID FROM goals29 WHERE TEAM_WYID = {CLUB}),
 plotdata AS (
   SELECT s.MATCH_WYID, s.EVENT_WYID, s.TEAM_WYID, t.TEAMNAME, k.LOCATIONX AS x, k.LOCATIONY AS y, s.outcome AS is_goal
@@ -352,7 +375,22 @@ _Q34_ONE = _Q34.replace("FROM minutes34", "FROM lp WHERE MINUTE IS NOT NULL")
 _Q37 = ("SELECT a.TEAM_WYID, t.TEAMNAME, a.mean_length, a.n FROM (SELECT TEAM_WYID, avg(LENGTH) AS mean_length, "
         "count(*) AS n FROM assists36 GROUP BY TEAM_WYID) a LEFT JOIN teams1 t ON t.TEAM_WYID = a.TEAM_WYID")
 
-# query name -> (final SELECT, double columns to round)
+_LINES = (f"SELECT scope, line, total_passes, total_assist, total_assist / nullif(total_passes, 0) AS assist_rate FROM ("
+          f"SELECT scope, line, count(*) AS total_passes, count_if(is_assist) AS total_assist FROM ("
+          f"SELECT 'league' AS scope, * FROM with_line UNION ALL "
+          f"SELECT 'club' AS scope, * FROM with_line WHERE TEAM_WYID = {CLUB}) GROUP BY 1, 2)")
+
+_Q45 = (
+    f"SELECT c.MATCH_WYID, c.TEAM_WYID, t.TEAMNAME, c.outcome, c.n, "
+    f"c.n / sum(c.n) OVER (PARTITION BY c.MATCH_WYID, t.TEAMNAME) * 100 AS pct, "
+    f"CASE WHEN c.TEAM_WYID = {CLUB} THEN '{K.CLUB_SIDE_LABEL}' WHEN NOT (c.TEAM_WYID = {CLUB}) "
+    f"THEN '{K.OPPONENT_SIDE_LABEL}' END AS is_fcn "
+    f"FROM (SELECT MATCH_WYID, TEAM_WYID, CASE WHEN success THEN '{K.PASS_HIT_LABEL}' WHEN NOT success "
+    f"THEN '{K.PASS_MISS_LABEL}' END AS outcome, count(*) AS n FROM lp "
+    f"WHERE MATCH_WYID IN (SELECT MATCH_WYID FROM club_m) GROUP BY 1, 2, 3) c "
+    f"LEFT JOIN teams1 t ON t.TEAM_WYID = c.TEAM_WYID")
+
+# query name -> (final SELECT, its double columns)
 QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "match_scope": ("SELECT * FROM scoped", ()),
     "pass_enrichment": ("SELECT * FROM pe", ("LENGTH", "ENDLOCATIONX", "ENDLOCATIONY", "LOCATIONX", "LOCATIONY")),
@@ -503,10 +541,10 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "all_scorers_xg": (
         "SELECT b.PLAYER_WYID, p.SHORTNAME AS player_name, b.goals, b.xg FROM ("
         "SELECT PLAYER_WYID, CAST(coalesce(sum(total_goal), 0) AS BIGINT) AS goals, "
-        "coalesce(sum(SHOTXG), 0) AS xg FROM shots_cpf GROUP BY 1) b "
+        f"coalesce({_sum('SHOTXG')}, 0) AS xg FROM shots_cpf GROUP BY 1) b "
         "LEFT JOIN players1 p ON p.PLAYER_WYID = b.PLAYER_WYID ORDER BY b.goals DESC NULLS LAST, b.PLAYER_WYID NULLS LAST",
         ("xg",)),
-    "match_shots_of_one": (f"SELECT * FROM plotdata WHERE MATCH_WYID = {ONE_MATCH}", ("x", "y")),
+    "match_shots_of_one": (f"SELECT * FROM plotdata WHERE MATCH_WYID = {SHOT_MATCH}", ("x", "y")),
     "pass_outcome_share_typed_club": (
         f"WITH a AS (SELECT count_if(in_league) AS lt, count_if(success_row) AS ls, count_if(in_club AND in_league) AS ct, "
         f"count_if(success_row AND TEAM_WYID = {CLUB}) AS cs FROM sp) "
@@ -539,12 +577,9 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
         f"SELECT 'club' AS scope, cl AS difference FROM a UNION ALL SELECT 'league', lg FROM a",
         ("difference",)),
     "player_line": ("SELECT * FROM pline", ()),
-    "assist_rate_by_line": (
-        f"SELECT scope, line, total_passes, total_assist, total_assist / nullif(total_passes, 0) AS assist_rate FROM ("
-        f"SELECT scope, line, count(*) AS total_passes, count_if(is_assist) AS total_assist FROM ("
-        f"SELECT 'league' AS scope, * FROM with_line UNION ALL "
-        f"SELECT 'club' AS scope, * FROM with_line WHERE TEAM_WYID = {CLUB}) GROUP BY 1, 2)",
-        ("assist_rate",)),
+    "player_line_one_row": ("SELECT * FROM pline_once", ()),
+    "assist_rate_by_line_one_row": (_LINES.replace("with_line", "with_line_once"), ("assist_rate",)),
+    "assist_rate_by_line": (_LINES, ("assist_rate",)),
     "assist_distribution": (
         "SELECT line, assists, assists / sum(assists) OVER () AS share FROM ("
         "SELECT line, count(*) AS assists FROM with_line WHERE is_assist GROUP BY 1)",
@@ -559,23 +594,15 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
         ()),
     "top_scorers_xg": (
         f"WITH tot AS (SELECT PLAYER_WYID, CAST(coalesce(sum(total_goal), 0) AS BIGINT) AS goals, "
-        f"coalesce(sum(SHOTXG), 0) AS xg FROM shots_cpf GROUP BY 1), "
+        f"coalesce({_sum('SHOTXG')}, 0) AS xg FROM shots_cpf GROUP BY 1), "
         f"best AS (SELECT * FROM tot ORDER BY goals DESC NULLS LAST, PLAYER_WYID ASC NULLS LAST LIMIT {P.top_n}) "
         f"SELECT b.PLAYER_WYID, p.SHORTNAME AS player_name, b.goals, b.xg FROM best b "
         f"LEFT JOIN players1 p ON p.PLAYER_WYID = b.PLAYER_WYID",
         ("xg",)),
     "club_matches": (
         "SELECT DISTINCT MATCH_WYID, MATCHLABEL FROM d_matches WHERE MATCH_WYID IN (SELECT MATCH_WYID FROM club_m)", ()),
-    "match_pass_outcomes": (
-        f"SELECT c.MATCH_WYID, c.TEAM_WYID, t.TEAMNAME, c.outcome, c.n, "
-        f"c.n / sum(c.n) OVER (PARTITION BY c.MATCH_WYID, t.TEAMNAME) * 100 AS pct, "
-        f"CASE WHEN c.TEAM_WYID = {CLUB} THEN '{K.CLUB_SIDE_LABEL}' WHEN NOT (c.TEAM_WYID = {CLUB}) "
-        f"THEN '{K.OPPONENT_SIDE_LABEL}' END AS is_fcn "
-        f"FROM (SELECT MATCH_WYID, TEAM_WYID, CASE WHEN success THEN '{K.PASS_HIT_LABEL}' WHEN NOT success "
-        f"THEN '{K.PASS_MISS_LABEL}' END AS outcome, count(*) AS n FROM lp "
-        f"WHERE MATCH_WYID IN (SELECT MATCH_WYID FROM club_m) GROUP BY 1, 2, 3) c "
-        f"LEFT JOIN teams1 t ON t.TEAM_WYID = c.TEAM_WYID",
-        ("pct",)),
+    "match_pass_outcomes_of_one": (f"SELECT * FROM ({_Q45}) WHERE MATCH_WYID = {CLUB_MATCH}", ("pct",)),
+    "match_pass_outcomes": (_Q45, ("pct",)),
     "match_list_with_goals": (
         f"SELECT m.*, CAST(coalesce(g.goals, 0) AS BIGINT) AS goals_in_shots, "
         f"coalesce(m.MATCHLABEL, 'NA') || ' (' || coalesce(CAST(m.SEASON_WYID AS VARCHAR), 'NA') || ')' AS label_with_season "
@@ -586,30 +613,31 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
-def _bigint_counts(sql: str) -> str:
-    """DuckDB's count_if returns HUGEINT; every count is BIGINT on both sides."""
-    out, i, token = [], 0, "count_if("
-    while True:
-        j = sql.find(token, i)
-        if j < 0:
-            out.append(sql[i:])
-            return "".join(out)
-        depth, k = 1, j + len(token)
-        while depth:
-            depth += {"(": 1, ")": -1}.get(sql[k], 0)
-            k += 1
-        out.append(sql[i:j] + "CAST(" + sql[j:k] + " AS BIGINT)")
-        i = k
-
-
-def _wrap(select: str, doubles: tuple[str, ...]) -> str:
-    body = f"WITH {BASE},{DERIVED}\n"
-    if not doubles:
+def _calls(sql: str, forms: dict) -> str:
+    """Write every call ``name(x)`` as ``forms[name](x)``: counts as BIGINT (DuckDB's count_if gives
+    HUGEINT), means exactly."""
+    for name, form in forms.items():
+        out, i, token = [], 0, f"{name}("
+        while (j := sql.find(token, i)) >= 0:
+            depth, k = 1, j + len(token)
+            while depth:
+                depth += {"(": 1, ")": -1}.get(sql[k], 0)
+                k += 1
+            out.append(sql[i:j] + form(sql[j + len(token):k - 1]))
+            i = k
+        sql = "".join([*out, sql[i:]])
+    return sql
+
+
+def _wrap(select: str, rounded: tuple[str, ...]) -> str:
+    if not rounded:
         head = select.lstrip()
-        return f"WITH {BASE},{DERIVED},\n{head[5:]}" if head.upper().startswith("WITH ") else body + select
-    rep = ", ".join(f"round({c}, 6) AS {c}" for c in doubles)
-    return body + f"SELECT * REPLACE ({rep}) FROM (\n{select}\n) AS q"
+        return f"WITH {BASE},{DERIVED},\n{head[5:]}" if head.upper().startswith("WITH ") \
+            else f"WITH {BASE},{DERIVED}\n{select}"
+    rep = ", ".join(f"round({c}, 6) AS {c}" for c in rounded)
+    return f"WITH {BASE},{DERIVED}\nSELECT * REPLACE ({rep}) FROM (\n{select}\n) AS q"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _bigint_counts(_wrap(sel, dbl)) for name, (sel, dbl) in QUERIES.items()}
+    return {name: _calls(_wrap(sel, ("mean_angle_m",) if "mean_angle_m" in dbl else ()), {
+        "count_if": lambda x: f"CAST(count_if({x}) AS BIGINT)", "avg": _mean}) for name, (sel, dbl) in QUERIES.items()}

@@ -1,4 +1,4 @@
-"""Exact median per group without gathering a group in one task.
+"""Exact median per group by radix selection, without gathering a group in one task.
 
 ``median(x, na.rm = TRUE)`` is the mean of the values at 0-based ranks
 ``(n - 1) div 2`` and ``n div 2`` of the sorted group (null for an empty group). A
@@ -7,11 +7,12 @@ which does not survive a group holding a large share of the rows. Here:
 
 1. count rows per (group, value): a partial aggregate, so repeated values collapse
    before any shuffle;
-2. a slice number (``slices``) cuts them into ranges of (group, value), so a large group is
-   split into value ranges;
-3. slice totals (one row per group and slice) give each group's size, its two target ranks
-   and the slices that hold them;
-4. running counts are taken inside those slices only.
+2. every value becomes a 64-bit whole number in the same order (``order_key``);
+3. four rounds of 16 bits, from the highest: the counts of a group's next digit (at most 65,536, a
+   partial aggregate over the rows that share the digits found so far) show which digit holds
+   the wanted rank; after the fourth round one value is left.
+
+No job runs while the plan is built, nothing is sampled, and no bound becomes a literal.
 """
 
 from __future__ import annotations
@@ -19,43 +20,74 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import slice_number
+ROUNDS, DIGIT_BITS = 4, 16
+#: Layout of a 64-bit float: bits of the fraction, exponent offset, smallest power that has a full fraction.
+FRACTION_BITS, OFFSET, SMALLEST = 52, 1023, 2.0 ** -1022
+
+
+def order_key(c: Column) -> Column:
+    """A bigint that orders like the double ``c`` (its bit pattern, negated below zero; not for NaN)."""
+    tiny = (F.abs(c) * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("bigint")  # a multiple of 2**-1074
+    a = F.when(F.abs(c) < F.lit(SMALLEST), F.lit(1.0)).otherwise(F.abs(c))
+    guess = F.floor(F.log2(a)).cast("double")
+    power = F.pow(F.lit(2.0), guess)  # exact: the power of two integers
+    exponent = F.when(a < power, guess - 1).when(a >= power * 2, guess + 1).otherwise(guess)
+    fraction = (a / F.pow(F.lit(2.0), exponent) - 1) * F.lit(2.0 ** FRACTION_BITS)
+    one = F.lit(1 << FRACTION_BITS)
+    full = (exponent.cast("bigint") + OFFSET) * one + fraction.cast("bigint")
+    bits = F.when(F.abs(c) < F.lit(SMALLEST), tiny).when(a == F.lit(float("inf")), F.lit(2047) * one).otherwise(full)
+    return F.when(c < 0, -bits).otherwise(bits)
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in keys],
                            *[c for c in right.columns if c not in keys])
     cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys])
-    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in keys])
+    return left.join(renamed, cond).drop(*[f"_r_{c}" for c in keys])
 
 
-def exact_median(df: DataFrame, group: Sequence[str], value: str, out: str,
-                 num_partitions: int | None = None) -> DataFrame:
-    """One row per group having at least one non-null value, with its exact median."""
+def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Rows per (group, value): columns ``_v`` (double, null kept) and ``_c``."""
+    return df.select(*group, F.col(value).cast("double").alias("_v")).groupBy(*group, "_v") \
+        .agg(F.count(F.lit(1)).alias("_c"))
+
+
+def median_of_counts(counts: DataFrame, group: Sequence[str], out: str) -> DataFrame:
+    """One row per group having at least one value, with its exact median, from ``value_counts``."""
     g = list(group)
-    n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    v = F.col("_v")
-    vals = df.select(*g, F.col(value).cast("double").alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
-    counts = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_slice", slice_number(vals, [*g, "_v"], n_parts))
-
-    totals = counts.groupBy(*g, "_slice").agg(F.sum("_c").alias("_t"))
-    before = Window.partitionBy(*g).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.sum("_t").over(Window.partitionBy(*g))
-    totals = totals.select(*g, "_slice", "_t", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
-                           F.floor((n - 1) / 2).alias("_k_lo"), F.floor(n / 2).alias("_k_hi"))
-    end = F.col("_off") + F.col("_t")
-    held = totals.filter(((F.col("_off") <= F.col("_k_lo")) & (F.col("_k_lo") < end))
-                         | ((F.col("_off") <= F.col("_k_hi")) & (F.col("_k_hi") < end))).drop("_t")
-
-    near = _join_null_safe(counts, held, [*g, "_slice"])  # two slices a group at most
-    upto = Window.partitionBy(*g, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = near.withColumn("_hi_rank", F.sum("_c").over(upto) + F.col("_off"))
-    lo_rank = F.col("_hi_rank") - F.col("_c")  # ranks [lo_rank, hi_rank) hold this value
-    at = lambda k: F.when((lo_rank <= F.col(k)) & (F.col(k) < F.col("_hi_rank")), v)
-    picked = ranked.filter(at("_k_lo").isNotNull() | at("_k_hi").isNotNull()) \
-        .groupBy(*g).agg(F.max(at("_k_lo")).alias("_lo"), F.max(at("_k_hi")).alias("_hi"))
-    return picked.select(*g, ((F.col("_lo") + F.col("_hi")) / 2).alias(out))
+    real = counts.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_key", order_key(F.col("_v")))
+
+    def digits(rounds: int) -> Column:
+        return F.shiftright("_key", 64 - DIGIT_BITS * rounds)
+
+    def held(rank: Column) -> Column:
+        return (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_n"))
+
+    # the first digit of every group; ``_which`` is 0 for the lower and 1 for the upper middle rank
+    first = real.groupBy(*g, digits(1).alias("_digits")).agg(F.sum("_c").alias("_n"), F.max("_v").alias("_value"))
+    before = Window.partitionBy(*g).orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("_n").over(Window.partitionBy(*g))
+    first = first.select(*g, "_digits", "_n", "_value", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+                         F.floor((total - 1) / 2).alias("_lower"), F.floor(total / 2).alias("_upper"))
+    middles = [F.when(held(F.col(c)), F.struct(F.lit(i).alias("which"), F.col(c).alias("rank")))
+               for i, c in enumerate(("_lower", "_upper"))]
+    found = first.withColumn("_m", F.explode(F.array_compact(F.array(*middles)))).select(
+        *g, F.col("_m.which").alias("_which"), (F.col("_m.rank") - F.col("_start")).alias("_rank"), "_digits", "_value")
+    for rounds in range(2, ROUNDS + 1):
+        near = _join_null_safe(real.withColumn("_digits", digits(rounds - 1)), found.drop("_value"), [*g, "_digits"])
+        counted = near.groupBy(*g, "_which", "_rank", digits(rounds).alias("_digits")) \
+            .agg(F.sum("_c").alias("_n"), F.max("_v").alias("_value"))
+        before = Window.partitionBy(*g, "_which").orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)
+        counted = counted.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        found = counted.filter(held(F.col("_rank"))) \
+            .select(*g, "_which", (F.col("_rank") - F.col("_start")).alias("_rank"), "_digits", "_value")
+    at = lambda i: F.max(F.when(F.col("_which") == i, F.col("_value")))
+    return found.groupBy(*g).agg(((at(0) + at(1)) / 2).alias(out))
+
+
+def exact_median(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
+    """One row per group having at least one non-null value, with its exact median."""
+    return median_of_counts(value_counts(df, group, value), group, out)

@@ -17,18 +17,32 @@ from pyspark.sql import functions as F
 from ..functions.semantics import asc_last, col
 
 
+def first_row(df: DataFrame, columns: Sequence[str]) -> Column:
+    """An aggregate: the smallest row in ``columns`` (each ascending, nulls last), as a struct of them."""
+    nullable = {f.name: f.nullable for f in df.schema.fields}
+    marks = {c: f"null {i}" for i, c in enumerate(columns) if nullable[c]}
+    packed = F.struct(*[x for c in columns for x in
+                        ([F.col(c).isNull().alias(marks[c])] if c in marks else []) + [F.col(c).alias(c)]])
+    return F.min(packed)
+
+
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str] | None = None) -> DataFrame:
     """``distinct(key, .keep_all = TRUE)``: one row per key, the first in ``order``.
 
     The original keeps the first row in unspecified database order; here the order is
     explicit (default: every non-key column ascending, nulls last), so ties can only be
-    between rows that are identical in every output column. ``row_number() == 1`` is
-    planned as a group limit that runs before the shuffle, so a key repeated in many
-    rows sends at most one row per input partition across the network.
+    between rows that are identical in every output column. In the default order the first
+    row is the minimum of one packed key (``first_row``), a partial aggregate, so a key repeated
+    in many rows sends at most one row per input partition across the network; another order
+    takes ``row_number() == 1``, planned as a group limit before the shuffle.
     """
     keys = list(keys)
     if order is None:
-        order = [asc_last(c) for c in df.columns if c not in keys]
+        rest = [c for c in df.columns if c not in keys]
+        if not rest:
+            return df.distinct()
+        return df.groupBy(*keys).agg(first_row(df, rest).alias("_first")) \
+            .select(*[F.col("_first")[c].alias(c) if c in rest else F.col(c) for c in df.columns])
     order = [asc_last(o) if isinstance(o, str) else o for o in order]
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")

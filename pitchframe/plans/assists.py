@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.semantics import asc_last, count_true, desc_last, lenient_sum, ratio
-from ..operators.quantile import exact_median
-from ..operators.relational import (any_column_matches, first_by_key, flag_in, semi_join,
+from ..operators.bitmaps import flag_in_bitmap
+from ..operators.exact import exact_mean
+from ..operators.quantile import median_of_counts, value_counts
+from ..operators.relational import (any_column_matches, first_by_key, semi_join,
                                     fraction_of_total, in_rank_order, stack_rows, top_k)
 from ..sources.tables import EventData
 from .params import Params
@@ -35,8 +37,8 @@ def assist_events(d: EventData, p: Params) -> DataFrame:
 
 def marked_passes(d: EventData, p: Params) -> DataFrame:
     """League passes with ``is_assist`` (event id among the shot-assist events)."""
-    marked = flag_in(_pass_facts(d, p).filter("in_league"), assist_events(d, p), ["EVENT_WYID"], "is_assist")
-    return marked.withColumn("in_club", club_condition(p))
+    passes = _pass_facts(d, p).filter("in_league").drop("_early", "_late")
+    return flag_in_bitmap(passes, assist_tags(d, p), "EVENT_WYID", "is_assist").withColumn("in_club", club_condition(p))
 
 
 def shot_assists(d: EventData, p: Params) -> DataFrame:
@@ -49,7 +51,7 @@ def shot_assists(d: EventData, p: Params) -> DataFrame:
 
 def assist_length_by_team(d: EventData, p: Params) -> DataFrame:
     """Q37: mean assist length and number of assists per team, named, shortest first."""
-    stats = shot_assists(d, p).groupBy("TEAM_WYID").agg(F.avg("LENGTH").alias("mean_length"),
+    stats = shot_assists(d, p).groupBy("TEAM_WYID").agg(exact_mean("LENGTH").alias("mean_length"),
                                                          F.count(F.lit(1)).alias("n"))
     return stats.join(first_by_key(d.teams, ["TEAM_WYID"]), "TEAM_WYID", "left") \
         .select("TEAM_WYID", "TEAMNAME", "mean_length", "n") \
@@ -70,24 +72,24 @@ def assist_length_overall(d: EventData, p: Params) -> DataFrame:
     """Q37: mean assist length over the league and over the club."""
     a = shot_assists(d, p)
     club = F.col("TEAM_WYID") == p.club
-    agg = a.agg(F.avg("LENGTH").alias("la"), F.count(F.lit(1)).alias("ln"),
-                F.avg(F.when(club, F.col("LENGTH"))).alias("ca"), count_true(club).alias("cn"))
+    agg = a.agg(exact_mean("LENGTH").alias("la"), F.count(F.lit(1)).alias("ln"),
+                exact_mean(F.when(club, F.col("LENGTH"))).alias("ca"), count_true(club).alias("cn"))
     return stack_rows(agg, [(F.lit("club"), F.col("ca"), F.col("cn")), (F.lit("league"), F.col("la"), F.col("ln"))],
                       ["scope", "mean_length", "n"])
 
 
 def assist_vs_other_length(d: EventData, p: Params) -> DataFrame:
     """Q38: mean, exact median and count of pass length, assists vs other passes."""
-    m = marked_passes(d, p)
-    stats = m.groupBy("is_assist").agg(F.avg("LENGTH").alias("mean_length"), F.count(F.lit(1)).alias("n"))
-    med = exact_median(m, ["is_assist"], "LENGTH", "median_length")
+    counts = value_counts(marked_passes(d, p), ["is_assist"], "LENGTH")  # all three come from these
+    stats = counts.groupBy("is_assist").agg(exact_mean("_v", F.col("_c")).alias("mean_length"), F.sum("_c").alias("n"))
+    med = median_of_counts(counts, ["is_assist"], "median_length")
     return stats.join(med, "is_assist", "left").select("is_assist", "mean_length", "median_length", "n")
 
 
 def assist_vs_other_length_club(d: EventData, p: Params) -> DataFrame:
     """Q38 (club): mean pass length, assists vs other passes, club passes only."""
     return marked_passes(d, p).filter(F.col("TEAM_WYID") == p.club) \
-        .groupBy("is_assist").agg(F.avg("LENGTH").alias("mean_length"))
+        .groupBy("is_assist").agg(exact_mean("LENGTH").alias("mean_length"))
 
 
 def assist_length_gap(d: EventData, p: Params) -> DataFrame:
@@ -96,15 +98,16 @@ def assist_length_gap(d: EventData, p: Params) -> DataFrame:
     club = F.col("TEAM_WYID") == p.club
     a, o = F.col("is_assist"), ~F.col("is_assist")
     L = F.col("LENGTH")
-    agg = m.agg((F.avg(F.when(a, L)) - F.avg(F.when(o, L))).alias("league"),
-                (F.avg(F.when(a & club, L)) - F.avg(F.when(o & club, L))).alias("club"))
+    agg = m.agg((exact_mean(F.when(a, L)) - exact_mean(F.when(o, L))).alias("league"),
+                (exact_mean(F.when(a & club, L)) - exact_mean(F.when(o & club, L))).alias("club"))
     return stack_rows(agg, [(F.lit("club"), F.col("club")), (F.lit("league"), F.col("league"))],
                       ["scope", "difference"])
 
 
 def player_line(d: EventData, p: Params) -> DataFrame:
-    """Q39: role text -> line (defence / midfield / attack), unknown otherwise."""
-    pl = first_by_key(d.players, ["PLAYER_WYID"])
+    """Q39: role text -> line (defence / midfield / attack), unknown otherwise; a row per row of
+    the player table, as in the original (``dedup_players`` takes each player's first row)."""
+    pl = first_by_key(d.players, ["PLAYER_WYID"]) if p.dedup_players else d.players
     role = F.col("ROLENAME")
     line = None
     for pattern, label in K.LINE_RULES:
@@ -115,6 +118,7 @@ def player_line(d: EventData, p: Params) -> DataFrame:
 
 
 def _passes_with_line(d: EventData, p: Params) -> DataFrame:
+    """Passes with the passer's line; a player standing in the table n times gives a pass n rows."""
     pl = player_line(d, p).select("player_id", "line")
     j = marked_passes(d, p).join(pl, F.col("PLAYER_WYID") == F.col("player_id"), "left")
     return j.filter(F.col("line").isNotNull() & (F.col("line") != K.UNKNOWN_LINE))

@@ -21,8 +21,8 @@ TEST_PARAMS = Params(club=1, seasons=(191611, 189918), competitions=(335, 328),
                      date_from="1996-07-19", as_of="2001-12-31", shot_competition=335,
                      shot_seasons=(189918, 191611), top_n=10)
 
-#: A match of the test tables (at every scale factor) that has shots.
-ONE_MATCH = 7
+#: Matches of the test tables, at every scale factor: one with located shots, one of the club with passes.
+SHOT_MATCH, CLUB_MATCH = 10, 373
 
 
 def _with(analytic: Callable[[EventData, Params], DataFrame], **changes) -> Callable[[EventData, Params], DataFrame]:
@@ -94,20 +94,29 @@ ANALYTICS: dict[str, Callable[[EventData, Params], DataFrame]] = {
     "late_game_passes_one_minute": _with(standings.late_game_passes, dedup_minutes=True),
     "shot_assists_once": _with(assists.shot_assists, dedup_assists=True),
     "match_goals_one_row": _with(standings.match_goals, dedup_scores=True),
+    "player_line_one_row": _with(assists.player_line, dedup_players=True),
+    "assist_rate_by_line_one_row": _with(assists.assist_rate_by_line, dedup_players=True),
     # one match, as the dashboards ask for it
-    "match_shots_of_one": _with(match_views.match_shots, match_id=ONE_MATCH),
+    "match_shots_of_one": _with(match_views.match_shots, match_id=SHOT_MATCH),
+    "match_pass_outcomes_of_one": _with(match_views.match_pass_outcomes, match_id=CLUB_MATCH),
 }
 
 
-def round_doubles(df: DataFrame, scale: int = 6) -> DataFrame:
-    """Round every double column (float sums differ in the last bits between engines).
+#: Results of library functions (arc tangent) whose last bit differs between engines. Every other
+#: double is exact or takes the same IEEE steps anywhere.
+LIBRARY_COLUMNS = ("mean_angle_m",)
+
+
+def round_doubles(df: DataFrame, columns: tuple[str, ...] = LIBRARY_COLUMNS, scale: int = 6) -> DataFrame:
+    """Round the double columns named in ``columns``.
 
     Computed as ``round(x * 10^scale) / 10^scale`` (half away from zero on the scaled
     double), the same steps DuckDB's ``round(x, scale)`` takes, so equal inputs round
     equally even when the exact value sits on a rounding boundary."""
     m = float(10 ** scale)
     return df.select(*[(F.round(F.col(f.name) * F.lit(m), 0) / F.lit(m)).alias(f.name)
-                       if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema.fields])
+                       if f.name in columns and isinstance(f.dataType, DoubleType) else F.col(f.name)
+                       for f in df.schema.fields])
 
 
 _PREPARED: dict[tuple, EventData] = {}
@@ -124,11 +133,13 @@ def run(name: str, spark: SparkSession, root: str, params: Params = TEST_PARAMS)
 
 
 def prepare(spark: SparkSession, root: str, params: Params = TEST_PARAMS) -> EventData:
-    """Store the tables that many analytics share (flagged pass facts, shots with geometry, match
-    results) in the shared folder; ``release`` on the returned tables deletes them again."""
+    """Store the tables that many analytics share (enriched and flagged passes, the ranged log, shots
+    with geometry, match results) in the shared folder; ``release`` on the returned tables deletes them again."""
     d = testdata.load(spark, root)
     with d.storing():
+        passes.pass_enrichment(d, params)
         passes.scoped_passes(d, params)
+        passes.passes_leading_to_shot(d, params)
         shots.shots_geo(d, params)
         standings.match_goals(d, params)
     _PREPARED[(spark.sparkContext.applicationId, root)] = d

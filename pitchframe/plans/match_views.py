@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.semantics import asc_last, desc_last, if_else, lenient_sum, paste0
+from ..operators.exact import exact_sum
 from ..operators.relational import first_by_key, in_rank_order, semi_join, share_of_group, top_k
 from ..sources.tables import EventData
 from .params import Params
@@ -25,7 +26,7 @@ def _one_match(df: DataFrame, p: Params) -> DataFrame:
 
 def _player_totals(d: EventData, p: Params) -> DataFrame:
     return goal_flag(d, p).groupBy("PLAYER_WYID").agg(lenient_sum("total_goal").alias("goals"),
-                                                       lenient_sum("SHOTXG").alias("xg"))
+                                                       F.coalesce(exact_sum("SHOTXG"), F.lit(0.0)).alias("xg"))
 
 
 def _with_player_names(totals: DataFrame, players: DataFrame) -> DataFrame:

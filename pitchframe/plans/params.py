@@ -29,6 +29,8 @@ class Params:
     dedup_assists: bool = False
     # every result row of a (match, team) counts (original); True takes the first one
     dedup_scores: bool = False
+    # every row of the player table gives a line (original); True takes one row per player
+    dedup_players: bool = False
     min_bin_shots: int = 1
     top_n: int = 10
     match_id: int | None = None

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.binning import zone
 from ..functions.semantics import asc_last, count_true, desc_last, in_set, paste0, pct
-from ..operators.relational import (first_by_key, flag_in, share_of_group, stack_rows, top_k,
+from ..operators.bitmaps import flag_in_bitmap
+from ..operators.exact import exact_mean
+from ..operators.relational import (first_by_key, first_row, flag_in, share_of_group, stack_rows, top_k,
                                     top_k_per_group)
-from ..operators.sequence import next_event
+from ..operators.sequence import log_ranges, successors
 from ..sources.tables import EventData, in_list_params, sql_query
 from .params import Params
 
@@ -33,23 +35,29 @@ def match_scope(d: EventData, p: Params) -> DataFrame:
                      {"matches": d.matches}, args)
 
 
-def first_event_rows(d: EventData, events: DataFrame | None = None) -> DataFrame:
-    """One common-table row per event: the first in (every other column ascending, nulls last).
+def first_event_rows(d: EventData) -> DataFrame:
+    """One common-table row per event: the first in (every other column ascending, nulls last),
+    over the whole table, whatever match a row names. The same aggregate counts the event's rows
+    with a minute before (``_early``) and from ``LATE_MINUTE`` on (``_late``)."""
+    rest = [c for c in d.common.columns if c != "EVENT_WYID"]
+    late = F.col("MINUTE") >= K.LATE_MINUTE
+    rows = d.common.groupBy("EVENT_WYID").agg(first_row(d.common, rest).alias("_first"),
+                                              count_true(~late).alias("_early"), count_true(late).alias("_late"))
+    return rows.select("EVENT_WYID", *[F.col("_first")[c].alias(c) for c in EVENT_COLUMNS[1:]], "_early", "_late")
 
-    The first row is taken over the whole table, whatever match a row names. With ``events``
-    (an EVENT_WYID column) given, only rows of those events are shuffled and sorted."""
-    c = d.common
-    if events is not None:
-        c = c.join(events.select("EVENT_WYID").distinct(), "EVENT_WYID", "left_semi")
-    return first_by_key(c, ["EVENT_WYID"]).select(*EVENT_COLUMNS)
+
+def _enriched(d: EventData, p: Params) -> DataFrame:
+    """``pass_enrichment`` with the minute counts of each event: every table is read once.
+    Most analytics start from it, so ``prepare`` can store it."""
+    return d.derived(("enriched", _scope_key(p)), lambda: match_scope(d, p).join(d.passes, "MATCH_WYID", "left")
+                     .join(first_event_rows(d), "EVENT_WYID", "left"))
 
 
 def pass_enrichment(d: EventData, p: Params) -> DataFrame:
     """Q02: in-scope matches, their passes, and the first common row of each pass event.
 
     Both joins are left joins, as in the original."""
-    in_scope = match_scope(d, p).join(d.passes, "MATCH_WYID", "left")
-    return in_scope.join(first_event_rows(d, in_scope), "EVENT_WYID", "left")
+    return _enriched(d, p).drop("_early", "_late")
 
 
 def _passers(pe: DataFrame) -> DataFrame:
@@ -102,11 +110,11 @@ def _pass_facts(d: EventData, p: Params) -> DataFrame:
     """Flagged pass rows without the club flag (rows without a team are kept: they are passes
     of an unknown team and never successful)."""
     def build() -> DataFrame:
-        pe = pass_enrichment(d, p)
+        pe = _enriched(d, p)
         rows = pe.filter(_valid(p))
         rows = flag_in(rows, _passers(pe), [("TEAM_WYID", "_team"), ("RECIPIENT_WYID", "_passer")], "_hit")
         rows = rows.withColumn("success_row", F.col("_hit") & _is_pass()).drop("_hit")
-        rows = flag_in(rows, rows.filter("success_row"), ["EVENT_WYID"], "success")
+        rows = flag_in_bitmap(rows, rows.filter("success_row"), "EVENT_WYID", "success")
         return rows.withColumn("in_league", _is_pass())
 
     return d.derived(("pass_facts", pass_facts_key(p)), build)
@@ -124,7 +132,7 @@ def scoped_passes(d: EventData, p: Params) -> DataFrame:
     rows). Most analytics share the result, so ``prepare`` can store it; the club flag is a
     column added on read, so another club reuses the same table.
     """
-    return _pass_facts(d, p).withColumn("in_club", club_condition(p))
+    return _pass_facts(d, p).drop("_early", "_late").withColumn("in_club", club_condition(p))
 
 
 def league_passes(d: EventData, p: Params) -> DataFrame:
@@ -167,10 +175,10 @@ def pass_length_by_scope(d: EventData, p: Params) -> DataFrame:
     s = scoped_passes(d, p)
     club_success = F.col("success_row") & (F.col("TEAM_WYID") == p.club)
     L = F.col("LENGTH")
-    agg = s.agg(F.avg(F.when(F.col("in_league"), L)).alias("la"),
-                F.avg(F.when(F.col("success_row"), L)).alias("ls"),
-                F.avg(F.when(F.col("in_club"), L)).alias("ca"),
-                F.avg(F.when(club_success, L)).alias("cs"))
+    agg = s.agg(exact_mean(F.when(F.col("in_league"), L)).alias("la"),
+                exact_mean(F.when(F.col("success_row"), L)).alias("ls"),
+                exact_mean(F.when(F.col("in_club"), L)).alias("ca"),
+                exact_mean(F.when(club_success, L)).alias("cs"))
     rows = [(F.lit("league"), F.lit("all"), F.col("la")), (F.lit("league"), F.lit("successful"), F.col("ls")),
             (F.lit("club"), F.lit("all"), F.col("ca")), (F.lit("club"), F.lit("successful"), F.col("cs"))]
     return stack_rows(agg, rows, ["scope", "pass_set", "avg_length"])
@@ -195,12 +203,19 @@ def top_pass_zones(d: EventData, p: Params, k: int = 3) -> DataFrame:
     return top_k_per_group(counts, ["scope"], k, [desc_last("n")], ["zone_x", "zone_y"])
 
 
+LOG_ORDER, LOG_CARRY = ["MATCH_WYID", "EVENT_WYID"], ["TEAM_WYID", "PRIMARYTYPE"]
+
+
+def _log_ranges(d: EventData, p: Params) -> DataFrame:
+    """The ordered log of the chosen seasons in ranges (``prepare`` can store them)."""
+    log = d.event_log.filter(F.col("SEASON_WYID").isin(*p.seasons)).select(*LOG_ORDER, *LOG_CARRY)
+    return d.derived(("log_ranges", p.seasons), lambda: log_ranges(log, LOG_ORDER, LOG_CARRY))
+
+
 def passes_leading_to_shot(d: EventData, p: Params) -> DataFrame:
     """Q09: passes whose next event in the log is a shot by the same team, against the
     number of passes in the club and league pass sets."""
-    log = d.event_log.filter(F.col("SEASON_WYID").isin(*p.seasons)) \
-        .select("MATCH_WYID", "EVENT_WYID", "TEAM_WYID", "PRIMARYTYPE")
-    nx = next_event(log, ["MATCH_WYID", "EVENT_WYID"], ["TEAM_WYID", "PRIMARYTYPE"], scope=p.sequence_scope)
+    nx = successors(_log_ranges(d, p), LOG_ORDER, LOG_CARRY, scope=p.sequence_scope)
     pairs = nx.filter((F.col("PRIMARYTYPE") == K.PASS_TYPE) & (F.col("next_PRIMARYTYPE") == K.SHOT_TYPE)
                       & (F.col("TEAM_WYID") == F.col("next_TEAM_WYID")))
     hits = pairs.agg(F.count(F.lit(1)).alias("league"), count_true(F.col("TEAM_WYID") == p.club).alias("club"))

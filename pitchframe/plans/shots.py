@@ -10,6 +10,7 @@ from .. import constants as K
 from ..functions.binning import cut, seq_breaks, upper_bound_bins
 from ..functions.geometry import distance_to_goal, goal_angle_deg, is_finite, x_metres, y_metres
 from ..functions.semantics import count_true, if_else, in_set, lenient_sum, not_in_set, pct
+from ..operators.exact import exact_mean
 from ..operators.relational import first_by_key, share_of_total
 from ..sources.tables import EventData, in_list_params, sql_query
 from .params import Params
@@ -101,19 +102,19 @@ def _in_angle_range() -> Column:
 def shot_distance_mean(d: EventData, p: Params) -> DataFrame:
     """Q20: mean distance to goal (metres) by outcome."""
     return shots_geo(d, p).groupBy(_outcome().alias("outcome")) \
-        .agg(F.avg("distance_m").alias("mean_distance_m"))
+        .agg(exact_mean("distance_m").alias("mean_distance_m"))
 
 
 def shot_angle_mean(d: EventData, p: Params) -> DataFrame:
     """Q21: mean goal-mouth opening angle (degrees) by outcome."""
     return shots_geo(d, p).filter(_in_angle_range()).groupBy(_outcome().alias("outcome")) \
-        .agg(F.avg("angle_deg_m").alias("mean_angle_m"))
+        .agg(exact_mean("angle_deg_m").alias("mean_angle_m"))
 
 
 def xg_on_target(d: EventData, p: Params) -> DataFrame:
     """Q22: mean xG and count by outcome for shots on target."""
     s = goal_flag(d, p).filter((F.col("SHOTONTARGET") == 1) & F.col("SHOTXG").isNotNull())
-    return s.groupBy(_outcome().alias("outcome")).agg(F.avg("SHOTXG").alias("mean_xg"),
+    return s.groupBy(_outcome().alias("outcome")).agg(exact_mean("SHOTXG").alias("mean_xg"),
                                                        F.count(F.lit(1)).alias("n"))
 
 
@@ -140,7 +141,7 @@ def conversion_by_xg(d: EventData, p: Params) -> DataFrame:
     """Q25: shots, goals, conversion and mean xG per 0.05 xG bin, bins with >= min shots."""
     s = goal_flag(d, p).filter(F.col("SHOTXG").isNotNull()).withColumn("xg", F.col("SHOTXG").cast("double"))
     idx, label = cut("xg", seq_breaks(0.0, K.XG_BIN_MAX, K.XG_BIN_STEP))
-    out = _conversion(s, idx, label, "xg_bin", extra=[F.avg("xg").alias("mean_xg")])
+    out = _conversion(s, idx, label, "xg_bin", extra=[exact_mean("xg").alias("mean_xg")])
     return out.filter(F.col("shots") >= p.min_bin_shots)
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.semantics import (asc_last, count_true, desc_last, if_else, mean_flag,
-                                   n_distinct, pct, ratio, strict_sum)
+from ..functions.semantics import (asc_last, desc_last, if_else, lenient_sum, mean_flag, n_distinct, pct,
+                                   ratio, strict_sum)
+from ..operators.exact import exact_mean
 from ..operators.relational import first_by_key, share_of_group, split_typed
 from ..sources.tables import EventData
 from .params import Params
-from .passes import league_passes
+from .passes import _pass_facts, league_passes
 
 
 def match_overview(d: EventData, p: Params) -> DataFrame:
@@ -78,28 +79,30 @@ def passes_top_vs_bottom(d: EventData, p: Params) -> DataFrame:
     j = league_passes(d, p).join(tb, ["TEAM_WYID", "SEASON_WYID"], "left")
     return (j.groupBy("SEASON_WYID", "group_label")
             .agg(F.count(F.lit(1)).alias("total_passes"), n_distinct("MATCH_WYID").alias("_matches"),
-                 F.avg("LENGTH").alias("avg_length"), (mean_flag(F.col("success")) * 100).alias("success_rate"))
+                 exact_mean("LENGTH").alias("avg_length"), (mean_flag(F.col("success")) * 100).alias("success_rate"))
             .withColumn("avg_passes_per_match", ratio(F.col("total_passes"), F.col("_matches")))
             .select("SEASON_WYID", "group_label", "total_passes", "avg_passes_per_match", "avg_length",
                     "success_rate"))
 
 
-def _passes_with_minute(d: EventData, p: Params) -> DataFrame:
-    lp = league_passes(d, p)
-    if p.dedup_minutes:
-        return lp
-    # the original joins every common row of the event (duplicates multiply passes)
-    minutes = d.common.select(F.col("EVENT_WYID").alias("_ev"), F.col("MINUTE").alias("_minute"))
-    return lp.drop("MINUTE").join(minutes, F.col("EVENT_WYID") == F.col("_ev"), "left") \
-        .drop("_ev").withColumnRenamed("_minute", "MINUTE")
-
-
 def late_game_passes(d: EventData, p: Params) -> DataFrame:
-    """Q34: passes and successful passes by season and period (minute >= 80 is late)."""
-    s = _passes_with_minute(d, p).filter(F.col("MINUTE").isNotNull())
-    period = if_else(F.col("MINUTE") >= K.LATE_MINUTE, K.LATE_PERIOD_LABEL, K.EARLY_PERIOD_LABEL)
-    return (s.groupBy("SEASON_WYID", period.alias("period"))
-            .agg(F.count(F.lit(1)).alias("total_passes"), count_true(F.col("success")).alias("success_passes"))
+    """Q34: passes and successful passes by season and period (minute >= 80 is late).
+
+    The original joins every common row of the event, so a pass counts once per row with a minute;
+    these rows were counted per event when the first one was taken, so nothing is joined here.
+    ``dedup_minutes`` counts the first row's minute alone."""
+    s = _pass_facts(d, p).filter("in_league")
+    if p.dedup_minutes:
+        late = F.col("MINUTE") >= K.LATE_MINUTE
+        early, late = [F.coalesce(c, F.lit(False)).cast("bigint") for c in (~late, late)]
+    else:
+        early, late = F.col("_early"), F.col("_late")
+    rows = F.array(*[F.struct(F.lit(label).alias("period"), n.alias("n"))
+                     for label, n in ((K.EARLY_PERIOD_LABEL, early), (K.LATE_PERIOD_LABEL, late))])
+    s = s.select("SEASON_WYID", "success", F.inline(rows)).filter(F.col("n") > 0)
+    return (s.groupBy("SEASON_WYID", "period")
+            .agg(F.sum("n").alias("total_passes"),
+                 lenient_sum(F.when(F.col("success"), F.col("n"))).alias("success_passes"))
             .withColumn("success_rate", pct(F.col("success_passes"), F.col("total_passes"))))
 
 

@@ -175,11 +175,13 @@ def match_teams(orders: DataFrame) -> DataFrame:
 
 
 def players(part: DataFrame) -> DataFrame:
+    """A player per part; every 13th stands twice, the second time as a midfielder."""
     t = _c("p_type")
     role = (F.when(t == "ECONOMY", "Defender").when(t == "STANDARD", "Midfielder")
             .when(t == "PROMO", "Wing Forward").when(t == "MEDIUM", F.lit(None))
             .otherwise("Goalkeeper").cast("string"))
-    return part.select(_c("p_partkey").alias("PLAYER_WYID"), role.alias("ROLENAME"),
+    roles = F.when(_c("p_partkey") % 13 == 0, F.array(role, F.lit("Midfielder"))).otherwise(F.array(role))
+    return part.select(_c("p_partkey").alias("PLAYER_WYID"), F.explode(roles).alias("ROLENAME"),
                        _c("p_name").alias("SHORTNAME"))
 
 

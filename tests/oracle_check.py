@@ -1,5 +1,5 @@
 """Run every registered analytic in Spark and its DuckDB SQL on the same tables and
-compare row count, column names and values (order-insensitive).
+compare row count, column names and values (order-insensitive, doubles bit for bit).
 
     python tests/oracle_check.py [sf_dir] [name ...]
 """
@@ -36,7 +36,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return int(v) if v.is_integer() else round(v, 6)
+        return int(v) if v.is_integer() else v  # bit for bit
     if hasattr(v, "item"):
         return _norm(v.item())
     if isinstance(v, pd.Timestamp):

@@ -109,8 +109,8 @@ def test_exact_median_matches_builtin(spark, n_parts, seed):
         rows.append((grp, rnd.choice([None, float(rnd.randrange(40)), rnd.random() * 10])))
     rows.append(("only_null", None))
     rows.append(("one", 3.5))
-    df = spark.createDataFrame(rows, "g string, x double")
-    got = {r.g: r.m for r in exact_median(df, ["g"], "x", "m", num_partitions=n_parts).collect()}
+    df = spark.createDataFrame(rows, "g string, x double").repartition(n_parts)
+    got = {r.g: r.m for r in exact_median(df, ["g"], "x", "m").collect()}
     want = {r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect() if r.m is not None}
     assert set(got) == set(want)
     for k in want:

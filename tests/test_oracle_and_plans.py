@@ -37,6 +37,7 @@ def test_all_queries_match_duckdb(spark, sf):
     bad = {k: v for k, v in res.items()
            if "error" in v or not v.get("values_match") or v["rows"][0] != v["rows"][1]}
     assert not bad, bad
+    assert not [k for k, v in res.items() if not v["rows"][0]]  # two empty results would compare nothing
 
 
 def _rows(spark, name, sf=MID):
@@ -92,9 +93,32 @@ def test_filters_reach_the_scan(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_orderdate:timestamp_ntz>" in plan
 
 
-def test_sequence_operator_windows_by_slice(spark):
+def test_sequence_operator_windows_by_range(spark):
     plan = _plan(E.queries()["passes_leading_to_shot"](spark, SMALL))
-    assert "hashpartitioning(_slice" in plan and "rangepartitioning(MATCH_WYID" not in plan
+    assert "hashpartitioning(_range" in plan and plan.count("rangepartitioning(MATCH_WYID") == 1
+
+
+def test_building_any_analytic_starts_no_job(spark):
+    sc = spark.sparkContext
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for name in ("passes_leading_to_shot", "assist_vs_other_length", "standings", "late_game_passes"):
+            sc.setJobGroup(f"build-{name}", name)
+            E.queries()[name](spark, SMALL)
+            assert not sc.statusTracker().getJobIdsForGroup(f"build-{name}"), name
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_first_rows_take_no_window(spark):
+    for name in ("pass_enrichment", "shots_by_season", "shot_coordinates"):
+        assert "Window" not in _plan(E.queries()[name](spark, SMALL)), name
+
+
+def test_enrichment_reads_each_table_once(spark):
+    for name, tables in (("pass_enrichment", 3), ("valid_passes", 3), ("late_game_passes", 6)):
+        assert _plan(E.queries()[name](spark, SMALL)).count("FileScan") <= tables, name
 
 
 def test_building_a_query_reads_no_stored_table(spark):

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchframe.operators.quantile import exact_median
 from pitchframe.operators.relational import flag_in
-from pitchframe.operators.sequence import next_event
-from pitchframe.operators.slices import slice_number
+from pitchframe.operators.sequence import GUEST, RANGE, log_ranges, next_event
 
 
 def _hot_log(spark, n=30000):
@@ -21,10 +20,10 @@ def _hot_log(spark, n=30000):
                     F.when(F.col("id") % 5 == 0, "shot").otherwise("pass").alias("PRIMARYTYPE")))
 
 
-def test_hot_match_is_split_across_slices(spark):
-    log = _hot_log(spark)
-    sizes = [r["count"] for r in log.groupBy(slice_number(log, ["MATCH_WYID", "EVENT_WYID"], 12).alias("s")).count().collect()]
-    assert len(sizes) == 12 and max(sizes) < 2.5 * (sum(sizes) / len(sizes))  # no slice near a third of the rows
+def test_hot_match_is_split_across_ranges(spark):
+    ranges = log_ranges(_hot_log(spark), ["MATCH_WYID", "EVENT_WYID"], ["TEAM_WYID"], 12)
+    sizes = [r["count"] for r in ranges.filter(~F.col(GUEST)).groupBy(RANGE).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 2.5 * (sum(sizes) / len(sizes))  # no range near a third of the rows
 
 
 def test_repeated_identical_event(spark):
@@ -51,7 +50,7 @@ def test_lead_and_median_of_a_wide_large_log(spark, reuse):
         assert nx.columns == [*log.columns, "next_TEAM_WYID", "next_PRIMARYTYPE"]
         assert bad.count() == 0 and nx.count() == 400_000
         values = log.select((F.col("MATCH_WYID") == 0).alias("g"), (F.col("extra") % 99_991).cast("double").alias("x"), "more")
-        got = {r.g: r.m for r in exact_median(values, ["g"], "x", "m", num_partitions=16).collect()}
+        got = {r.g: r.m for r in exact_median(values, ["g"], "x", "m").collect()}
         assert got == {r.g: r.m for r in values.groupBy("g").agg(F.median("x").alias("m")).collect()}
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
@@ -114,7 +113,7 @@ def test_median_exact_without_exchange_reuse(spark):
     spark.conf.set("spark.sql.exchange.reuse", "false")
     try:
         df = spark.range(5000).select((F.col("id") % 3 == 0).alias("g"), ((F.col("id") * 7919) % 1013).cast("double").alias("x"))
-        got = {r.g: r.m for r in exact_median(df, ["g"], "x", "m", num_partitions=9).collect()}
+        got = {r.g: r.m for r in exact_median(df, ["g"], "x", "m").collect()}
         want = {r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect()}
         assert got == want
     finally:
