@@ -16,54 +16,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.semantics import col
-
-#: One place of the fixed-point form, and the whole numbers from which a value is not cut.
-PLACE = float(1 << 24)
-LARGEST = float(1 << 62)
-
-
-def _places(x: Column) -> list[Column]:
-    """The value as whole numbers: how many 2**24, 1, 2**-24, 2**-48 and 2**-72 (cut towards zero)."""
-    rest, places = x / F.lit(PLACE), []
-    for _ in range(5):
-        whole = rest.cast("bigint")
-        places.append(whole)
-        rest = (rest - whole.cast("double")) * F.lit(PLACE)
-    return places
-
-
-def _carried(totals: list[Column]) -> list[Column]:
-    """The same number with every place but the first in 0 .. 2**24 - 1."""
-    out, carry = [], F.lit(0)
-    for t in reversed(totals[1:]):
-        t = t + carry
-        out.append(t.bitwiseAND(F.lit(int(PLACE) - 1)))
-        carry = F.shiftright(t, 24)
-    return [totals[0] + carry, *reversed(out)]
-
-
-def _value(totals: list[Column]) -> Column:
-    """The number as a double: its whole part and its fraction, each rounded at most once, added."""
-    sign = F.when(_carried(totals)[0] < 0, F.lit(-1)).otherwise(F.lit(1))
-    a, b, c, d, e = _carried([t * sign for t in totals])
-    whole = a.cast("double") * F.lit(PLACE) + b.cast("double")
-    fraction = (c * int(PLACE) + d).cast("double") / F.lit(PLACE ** 2) + e.cast("double") / F.lit(PLACE ** 3)
-    return sign * (whole + fraction)
-
-
-def exact_sum(c: str | Column, times: Column | None = None) -> Column:
-    """``sum(x, na.rm = TRUE)`` of a double (null where no value is): an aggregate. ``times`` counts
-    how often each value stands."""
-    x = col(c).cast("double")
-    inside = F.when(F.abs(x) < F.lit(LARGEST), x)
-    totals = [F.sum(p if times is None else p * times) for p in _places(inside)]
-    plain = F.sum(x if times is None else x * times)
-    return F.when(F.count(inside) == F.count(x), _value(totals)).otherwise(plain)
-
-
-def exact_mean(c: str | Column, times: Column | None = None) -> Column:
-    """``mean(x, na.rm = TRUE)`` of a double (null where no value is): an aggregate."""
-    x = col(c)
-    n = F.count(x) if times is None else F.sum(F.when(x.isNotNull(), times))
-    return F.try_divide(exact_sum(c, times), n)
+#: Bits of one place, and the magnitude from which a value is not cut.
+BITS = 24
+LARGEST = 2.0 ** 62
+
+
+def _sum_text(name: str, where: str | None, times: str | None) -> str:
+    """SQL text of the aggregate: one expression, parsed once."""
+    place, chosen = 1 << BITS, f" FILTER (WHERE {where})" if where else ""
+    x = f"CAST(`{name}` AS DOUBLE)"
+    value = f"CASE WHEN abs({x}) < {LARGEST!r}D THEN {x} END"
+    whole = f"CAST({value} AS BIGINT)"
+    shifted = f"(({value}) - {whole}) * {place ** 2}D"
+    fraction = f"CAST({shifted} AS BIGINT)"
+    below = f"CAST(({shifted} - {fraction}) * {place}D AS BIGINT)"
+    # from 2**-72 up; every part has the sign of the value
+    places = [below, f"{fraction} % {place}", f"{fraction} div {place}", f"{whole} % {place}", f"{whole} div {place}"]
+    n = f" * {times}" if times else ""
+    totals = ", ".join(f"sum(({p}){n}){chosen}" for p in places)
+
+    def carried(t: str) -> str:
+        """Places from the lowest up, each in 0 .. 2**24 - 1 (``d``), and what is above them (``c``)."""
+        return (f"aggregate({t}, named_struct('c', 0L, 'd', CAST(array() AS ARRAY<BIGINT>)), (a, x) -> "
+                f"named_struct('c', shiftright(a.c + x, {BITS}), 'd', concat(a.d, array((a.c + x) & {place - 1}L))))")
+
+    # the whole part and the fraction, each rounded at most once, added
+    double = (f"CAST(n.c * {place} + n.d[4] AS DOUBLE) * {place}D + CAST(n.d[3] AS DOUBLE) "
+              f"+ (CAST(n.d[2] * {place} + n.d[1] AS DOUBLE) / {place ** 2}D + CAST(n.d[0] AS DOUBLE) / {place ** 3}D)")
+    exact = (f"transform(array(array({totals})), t -> transform(array(if({carried('t')}.c < 0, -1L, 1L)), s -> "
+             f"s * transform(array({carried('transform(t, x -> x * s)')}), n -> {double})[0])[0])[0]")
+    return f"CASE WHEN count({value}){chosen} = count({x}){chosen} THEN {exact} ELSE sum({x}{n}){chosen} END"
+
+
+def exact_sum(name: str, where: str | None = None, times: str | None = None) -> Column:
+    """``sum(x, na.rm = TRUE)`` of the double column ``name`` (null where no value is): an aggregate.
+
+    ``where`` is SQL text of a condition on the rows; ``times`` names a column that counts how often
+    each value stands."""
+    return F.expr(_sum_text(name, where, times))
+
+
+def exact_mean(name: str, where: str | None = None, times: str | None = None) -> Column:
+    """``mean(x, na.rm = TRUE)``, as ``exact_sum``."""
+    chosen = f" FILTER (WHERE {where})" if where else ""
+    n = f"sum(CASE WHEN `{name}` IS NOT NULL THEN {times} END)" if times else f"count(`{name}`)"
+    return F.expr(f"try_divide({_sum_text(name, where, times)}, {n}{chosen})")

@@ -18,9 +18,8 @@ No job runs while the plan is built, nothing is sampled, and no bound becomes a
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS, DIGIT_BITS = 4, 16
@@ -28,25 +27,17 @@ ROUNDS, DIGIT_BITS = 4, 16
 FRACTION_BITS, OFFSET, SMALLEST = 52, 1023, 2.0 ** -1022
 
 
-def order_key(c: Column) -> Column:
-    """A bigint that orders like the double ``c`` (its bit pattern, negated below zero; not for NaN)."""
-    tiny = (F.abs(c) * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("bigint")  # a multiple of 2**-1074
-    a = F.when(F.abs(c) < F.lit(SMALLEST), F.lit(1.0)).otherwise(F.abs(c))
-    guess = F.floor(F.log2(a)).cast("double")
-    power = F.pow(F.lit(2.0), guess)  # exact: the power of two integers
-    exponent = F.when(a < power, guess - 1).when(a >= power * 2, guess + 1).otherwise(guess)
-    fraction = (a / F.pow(F.lit(2.0), exponent) - 1) * F.lit(2.0 ** FRACTION_BITS)
-    one = F.lit(1 << FRACTION_BITS)
-    full = (exponent.cast("bigint") + OFFSET) * one + fraction.cast("bigint")
-    bits = F.when(F.abs(c) < F.lit(SMALLEST), tiny).when(a == F.lit(float("inf")), F.lit(2047) * one).otherwise(full)
-    return F.when(c < 0, -bits).otherwise(bits)
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in keys],
-                           *[c for c in right.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys])
-    return left.join(renamed, cond).drop(*[f"_r_{c}" for c in keys])
+def order_key(name: str) -> Column:
+    """A bigint that orders like the double column (its bit pattern, negated below zero; not for NaN)."""
+    size, one = f"abs(`{name}`)", 1 << FRACTION_BITS
+    a = f"CASE WHEN {size} < {SMALLEST!r}D THEN 1D ELSE {size} END"
+    guess = f"CAST(floor(log2({a})) AS DOUBLE)"
+    power = f"pow(2D, {guess})"  # exact: the power of two integers
+    exponent = f"({guess} + CASE WHEN {a} < {power} THEN -1 WHEN {a} >= {power} * 2 THEN 1 ELSE 0 END)"
+    full = f"(CAST({exponent} AS BIGINT) + {OFFSET}) * {one} + CAST((({a}) / pow(2D, {exponent}) - 1) * {one}D AS BIGINT)"
+    tiny = f"CAST({size} * {2.0 ** 537!r}D * {2.0 ** 537!r}D AS BIGINT)"  # a multiple of 2**-1074
+    bits = (f"CASE WHEN {size} < {SMALLEST!r}D THEN {tiny} WHEN {size} = double('Infinity') THEN {2047 * one} ELSE {full} END")
+    return F.expr(f"CASE WHEN `{name}` < 0 THEN -1 ELSE 1 END * {bits}")
 
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -57,35 +48,34 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 def median_of_counts(counts: DataFrame, group: Sequence[str], out: str) -> DataFrame:
     """One row per group having at least one value, with its exact median, from ``value_counts``."""
-    g = list(group)
-    real = counts.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_key", order_key(F.col("_v")))
+    g = [f"`{c}`" for c in group]
+    held = "_start <= {0} AND {0} < _start + _n"
 
-    def digits(rounds: int) -> Column:
-        return F.shiftright("_key", 64 - DIGIT_BITS * rounds)
+    def digits(rounds: int) -> str:
+        return f"shiftright(_key, {64 - DIGIT_BITS * rounds})"
 
-    def held(rank: Column) -> Column:
-        return (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_n"))
+    def below(*keys: str) -> str:
+        by = f"PARTITION BY {', '.join(keys)} " if keys else ""
+        return f"coalesce(sum(_n) OVER ({by}ORDER BY _digits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
 
+    real = counts.filter("_v IS NOT NULL AND NOT isnan(_v)").withColumn("_key", order_key("_v"))
     # the first digit of every group; ``_which`` is 0 for the lower and 1 for the upper middle rank
-    first = real.groupBy(*g, digits(1).alias("_digits")).agg(F.sum("_c").alias("_n"), F.max("_v").alias("_value"))
-    before = Window.partitionBy(*g).orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("_n").over(Window.partitionBy(*g))
-    first = first.select(*g, "_digits", "_n", "_value", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-                         F.floor((total - 1) / 2).alias("_lower"), F.floor(total / 2).alias("_upper"))
-    middles = [F.when(held(F.col(c)), F.struct(F.lit(i).alias("which"), F.col(c).alias("rank")))
-               for i, c in enumerate(("_lower", "_upper"))]
-    found = first.withColumn("_m", F.explode(F.array_compact(F.array(*middles)))).select(
-        *g, F.col("_m.which").alias("_which"), (F.col("_m.rank") - F.col("_start")).alias("_rank"), "_digits", "_value")
+    first = real.groupBy(*group, F.expr(digits(1)).alias("_digits")).agg(F.expr("sum(_c) AS _n"), F.expr("max(_v) AS _value"))
+    total = f"sum(_n) OVER ({'PARTITION BY ' + ', '.join(g) if g else ''})"
+    middles = ", ".join(f"CASE WHEN {held.format(r)} THEN named_struct('_which', {i}, '_rank', {r} - _start) END"
+                        for i, r in enumerate(("_lower", "_upper")))
+    found = (first.selectExpr(*g, "_digits", "_n", "_value", f"{below(*g)} AS _start", f"{total} AS _total")
+             .selectExpr("*", "(_total - 1) div 2 AS _lower", "_total div 2 AS _upper")
+             .selectExpr(*g, "_digits", "_value", f"inline(array_compact(array({middles})))"))
     for rounds in range(2, ROUNDS + 1):
-        near = _join_null_safe(real.withColumn("_digits", digits(rounds - 1)), found.drop("_value"), [*g, "_digits"])
-        counted = near.groupBy(*g, "_which", "_rank", digits(rounds).alias("_digits")) \
-            .agg(F.sum("_c").alias("_n"), F.max("_v").alias("_value"))
-        before = Window.partitionBy(*g, "_which").orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)
-        counted = counted.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        found = counted.filter(held(F.col("_rank"))) \
-            .select(*g, "_which", (F.col("_rank") - F.col("_start")).alias("_rank"), "_digits", "_value")
-    at = lambda i: F.max(F.when(F.col("_which") == i, F.col("_value")))
-    return found.groupBy(*g).agg(((at(0) + at(1)) / 2).alias(out))
+        own = found.selectExpr(*[f"`{c}` AS `_g{i}`" for i, c in enumerate(group)], "_which", "_rank", "_digits AS _found")
+        same = " AND ".join([f"`{c}` <=> `_g{i}`" for i, c in enumerate(group)] + [f"{digits(rounds - 1)} = _found"])
+        counted = (real.join(own, F.expr(same)).groupBy(*group, "_which", "_rank", F.expr(digits(rounds)).alias("_digits"))
+                   .agg(F.expr("sum(_c) AS _n"), F.expr("max(_v) AS _value")))
+        found = (counted.selectExpr("*", f"{below(*g, '_which')} AS _start").filter(held.format("_rank"))
+                 .selectExpr(*g, "_which", "_rank - _start AS _rank", "_digits", "_value"))
+    return found.groupBy(*group).agg(F.expr(
+        "(max(_value) FILTER (WHERE _which = 0) + max(_value) FILTER (WHERE _which = 1)) / 2").alias(out))
 
 
 def exact_median(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:

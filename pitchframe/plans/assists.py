@@ -73,7 +73,7 @@ def assist_length_overall(d: EventData, p: Params) -> DataFrame:
     a = shot_assists(d, p)
     club = F.col("TEAM_WYID") == p.club
     agg = a.agg(exact_mean("LENGTH").alias("la"), F.count(F.lit(1)).alias("ln"),
-                exact_mean(F.when(club, F.col("LENGTH"))).alias("ca"), count_true(club).alias("cn"))
+                exact_mean("LENGTH", f"TEAM_WYID = {p.club}").alias("ca"), count_true(club).alias("cn"))
     return stack_rows(agg, [(F.lit("club"), F.col("ca"), F.col("cn")), (F.lit("league"), F.col("la"), F.col("ln"))],
                       ["scope", "mean_length", "n"])
 
@@ -81,7 +81,7 @@ def assist_length_overall(d: EventData, p: Params) -> DataFrame:
 def assist_vs_other_length(d: EventData, p: Params) -> DataFrame:
     """Q38: mean, exact median and count of pass length, assists vs other passes."""
     counts = value_counts(marked_passes(d, p), ["is_assist"], "LENGTH")  # all three come from these
-    stats = counts.groupBy("is_assist").agg(exact_mean("_v", F.col("_c")).alias("mean_length"), F.sum("_c").alias("n"))
+    stats = counts.groupBy("is_assist").agg(exact_mean("_v", times="_c").alias("mean_length"), F.sum("_c").alias("n"))
     med = median_of_counts(counts, ["is_assist"], "median_length")
     return stats.join(med, "is_assist", "left").select("is_assist", "mean_length", "median_length", "n")
 
@@ -95,11 +95,8 @@ def assist_vs_other_length_club(d: EventData, p: Params) -> DataFrame:
 def assist_length_gap(d: EventData, p: Params) -> DataFrame:
     """Q38: mean assist length minus mean length of other passes; league and club."""
     m = marked_passes(d, p)
-    club = F.col("TEAM_WYID") == p.club
-    a, o = F.col("is_assist"), ~F.col("is_assist")
-    L = F.col("LENGTH")
-    agg = m.agg((exact_mean(F.when(a, L)) - exact_mean(F.when(o, L))).alias("league"),
-                (exact_mean(F.when(a & club, L)) - exact_mean(F.when(o & club, L))).alias("club"))
+    agg = m.agg(*[(exact_mean("LENGTH", f"is_assist AND {scope}") - exact_mean("LENGTH", f"NOT is_assist AND {scope}"))
+                  .alias(name) for scope, name in (("true", "league"), (f"TEAM_WYID = {p.club}", "club"))])
     return stack_rows(agg, [(F.lit("club"), F.col("club")), (F.lit("league"), F.col("league"))],
                       ["scope", "difference"])
 

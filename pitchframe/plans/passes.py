@@ -174,11 +174,9 @@ def pass_length_by_scope(d: EventData, p: Params) -> DataFrame:
     """Q06: mean pass length for league / club x all / successful passes."""
     s = scoped_passes(d, p)
     club_success = F.col("success_row") & (F.col("TEAM_WYID") == p.club)
-    L = F.col("LENGTH")
-    agg = s.agg(exact_mean(F.when(F.col("in_league"), L)).alias("la"),
-                exact_mean(F.when(F.col("success_row"), L)).alias("ls"),
-                exact_mean(F.when(F.col("in_club"), L)).alias("ca"),
-                exact_mean(F.when(club_success, L)).alias("cs"))
+    s = s.withColumn("club_success", club_success)
+    agg = s.agg(*[exact_mean("LENGTH", where).alias(name) for where, name in
+                  (("in_league", "la"), ("success_row", "ls"), ("in_club", "ca"), ("club_success", "cs"))])
     rows = [(F.lit("league"), F.lit("all"), F.col("la")), (F.lit("league"), F.lit("successful"), F.col("ls")),
             (F.lit("club"), F.lit("all"), F.col("ca")), (F.lit("club"), F.lit("successful"), F.col("cs"))]
     return stack_rows(agg, rows, ["scope", "pass_set", "avg_length"])
