@@ -611,6 +611,7 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
         ()),
     "match_shots": ("SELECT * FROM plotdata", ("x", "y")),
 }
+QUERIES |= {f"sql_{name}": QUERIES[name] for name in ("match_goals", "standings", "club_matches")}
 
 
 def _calls(sql: str, forms: dict) -> str:

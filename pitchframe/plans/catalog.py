@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .. import constants as K
-from ..sources import testdata
+from ..sources import sql_functions, testdata
 from ..sources.tables import EventData
 from . import assists, match_views, passes, shots, standings
 from .params import Params
@@ -30,6 +30,15 @@ def _with(analytic: Callable[[EventData, Params], DataFrame], **changes) -> Call
     return lambda d, p: analytic(d, dataclasses.replace(p, **changes))
 
 
+def _by_sql(name: str, *arguments: str) -> Callable[[EventData, Params], DataFrame]:
+    """The table function ``name`` called from SQL text with these parameters bound."""
+    def analytic(d: EventData, p: Params) -> DataFrame:
+        spark = d.matches.sparkSession
+        sql_functions.register(spark, d)
+        return sql_functions.call(spark, sql_functions.PREFIX + name, **{a: getattr(p, a) for a in arguments})
+    return analytic
+
+
 ANALYTICS: dict[str, Callable[[EventData, Params], DataFrame]] = {
     "match_scope": passes.match_scope,
     "pass_enrichment": passes.pass_enrichment,
@@ -98,6 +107,10 @@ ANALYTICS: dict[str, Callable[[EventData, Params], DataFrame]] = {
     "assist_rate_by_line_one_row": _with(assists.assist_rate_by_line, dedup_players=True),
     # one match, as the dashboards ask for it
     "match_shots_of_one": _with(match_views.match_shots, match_id=SHOT_MATCH),
+    # analytics called as table functions of SQL text
+    "sql_match_goals": _by_sql("match_goals", "competitions", "seasons"),
+    "sql_standings": _by_sql("standings", "competitions", "seasons"),
+    "sql_club_matches": _by_sql("club_matches", "club", "competitions", "seasons"),
     "match_pass_outcomes_of_one": _with(match_views.match_pass_outcomes, match_id=CLUB_MATCH),
 }
 
