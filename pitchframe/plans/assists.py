@@ -14,7 +14,7 @@ from ..operators.relational import (any_column_matches, first_by_key, semi_join,
                                     fraction_of_total, in_rank_order, stack_rows, top_k)
 from ..sources.tables import EventData
 from .params import Params
-from .passes import _pass_facts, club_condition, league_passes, match_scope
+from .passes import _pass_facts, club_condition, league_passes, match_scope, pass_facts_key
 
 PASS_COLUMNS = ["EVENT_WYID", "MATCH_WYID", "SEASON_WYID", "TEAM_WYID", "PLAYER_WYID",
                 "RECIPIENT_WYID", "LENGTH"]
@@ -36,9 +36,13 @@ def assist_events(d: EventData, p: Params) -> DataFrame:
 
 
 def marked_passes(d: EventData, p: Params) -> DataFrame:
-    """League passes with ``is_assist`` (event id among the shot-assist events)."""
-    passes = _pass_facts(d, p).filter("in_league").drop("_early", "_late")
-    return flag_in_bitmap(passes, assist_tags(d, p), "EVENT_WYID", "is_assist").withColumn("in_club", club_condition(p))
+    """League passes with ``is_assist`` (event id among the shot-assist events); ``prepare`` can store them
+    (the club flag is added on read)."""
+    def build() -> DataFrame:
+        passes = _pass_facts(d, p).filter("in_league").drop("_early", "_late")
+        return flag_in_bitmap(passes, assist_tags(d, p), "EVENT_WYID", "is_assist")
+
+    return d.derived(("marked_passes", pass_facts_key(p)), build).withColumn("in_club", club_condition(p))
 
 
 def shot_assists(d: EventData, p: Params) -> DataFrame:

@@ -146,13 +146,14 @@ def run(name: str, spark: SparkSession, root: str, params: Params = TEST_PARAMS)
 
 
 def prepare(spark: SparkSession, root: str, params: Params = TEST_PARAMS) -> EventData:
-    """Store the tables that many analytics share (enriched and flagged passes, the ranged log, shots
+    """Store the tables that many analytics share (enriched, flagged and assist-marked passes, the ranged log, shots
     with geometry, match results) in the shared folder; ``release`` on the returned tables deletes them again."""
     d = testdata.load(spark, root)
     with d.storing():
         passes.pass_enrichment(d, params)
         passes.scoped_passes(d, params)
         passes.passes_leading_to_shot(d, params)
+        assists.marked_passes(d, params)
         shots.shots_geo(d, params)
         standings.match_goals(d, params)
     _PREPARED[(spark.sparkContext.applicationId, root)] = d

@@ -48,9 +48,15 @@ def first_event_rows(d: EventData) -> DataFrame:
 
 def _enriched(d: EventData, p: Params) -> DataFrame:
     """``pass_enrichment`` with the minute counts of each event: every table is read once.
-    Most analytics start from it, so ``prepare`` can store it."""
-    return d.derived(("enriched", _scope_key(p)), lambda: match_scope(d, p).join(d.passes, "MATCH_WYID", "left")
-                     .join(first_event_rows(d), "EVENT_WYID", "left"))
+    Most analytics start from it, so ``prepare`` can store it; bucketed tables hold the event join."""
+    def build() -> DataFrame:
+        if d.with_passes is not None:
+            return d.with_passes(match_scope(d, p))
+        return match_scope(d, p).join(d.passes, "MATCH_WYID", "left").join(first_event_rows(d), "EVENT_WYID", "left")
+
+    return d.derived(("enriched", _scope_key(p)), build).select(
+        "EVENT_WYID", "MATCH_WYID", "SEASON_WYID", *[c for c in d.passes.columns if c not in ("EVENT_WYID", "MATCH_WYID")],
+        *EVENT_COLUMNS[1:], "_early", "_late")
 
 
 def pass_enrichment(d: EventData, p: Params) -> DataFrame:

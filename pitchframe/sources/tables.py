@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir`` of the session; only where
-    the session names none (a local session) a temporary folder is set."""
+    """The folder every executor can read: ``spark.checkpoint.dir`` of the session; only a local
+    session that names none gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pitchframe-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -114,6 +116,9 @@ class EventData:
         partitions = partitions or {}
         return cls(builders={t: (lambda t=t, src=src: read_jdbc(spark, url, src, properties, **partitions.get(t, {})))
                              for t, src in tables.items()})
+
+    #: How bucketed tables join a match scope with its enriched passes (``sources/bucketed``).
+    with_passes: Callable[[DataFrame], DataFrame] | None = None
     _derived: dict[Any, DataFrame] = field(default_factory=dict)
     _paths: list[str] = field(default_factory=list)
     _store: bool = False
