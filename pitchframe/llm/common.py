@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,13 +48,15 @@ def held_out(id_col: str, mod: int, rest: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (a local test session) a temporary folder is set.
+    Only a local (test) session that names none gets a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pitchframe-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -65,3 +71,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept(key: tuple, build: Callable[[], Any]) -> Any:
+    """An object that a Python worker builds once and keeps between tasks (a tokenizer, its caches); of
+    objects whose keys begin alike, the last one.
+
+    Functions of this subpackage travel by value, so their module globals are new in every task; the
+    object is held in a module of its own instead. What it holds must be bounded and rebuildable.
+    """
+    store = sys.modules.setdefault("_pitchframe_kept", types.ModuleType("_pitchframe_kept")).__dict__
+    if key[0] not in store or store[key[0]][0] != key:
+        store.pop(key[0], None)
+        store[key[0]] = (key, build())
+    return store[key[0]][1]

@@ -12,28 +12,28 @@ protocol covers lost executors. Only the totals of the range partitions (one row
 summed over all shards.
 
 Defined results: a null text is empty and holds the end id alone; null ids come first; rows that
-share an id follow each other by text; other columns are ignored; an empty table gives no files
+share an id follow each other by a hash of the text; other columns are ignored; an empty table gives no files
 and an empty result.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchframe.llm.bpe import pieces
-from pitchframe.llm.common import narrow, shared_dir
+from pitchframe.llm.common import kept, narrow, shared_dir
 
 END_ID = 2
 SHARD_TOKENS = 1 << 21
@@ -43,6 +43,14 @@ BLOCK = 512
 CACHE, LONGEST = 500_000, 64
 #: New pieces encoded in one string.
 RUN = 512
+#: Marks that are a pre-token of their own behind a word.
+MARKS = ".,;:!?"
+#: Stand before the first piece of a text and before a mark; blanks that send a text to the library whole.
+HEAD, TAIL = "\r", "\v"
+#: Every blank but the space and the line feed, for a regular expression.
+OTHER_BLANKS = "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
+#: Text encoded at once.
+TEXT_BYTES = 16 << 20
 MAGIC = b"PFWM1\0"
 
 
@@ -165,7 +173,16 @@ def open_shard(file: bytes) -> tuple[WaveletMatrix, np.ndarray]:
 
 
 class _Encoder:
-    """tokenizers over pieces of text; pieces met before are not encoded again."""
+    """tokenizers over pieces of text; pieces met before are not encoded again.
+
+    A text in which every blank is a space or line feed between two words is cut before each blank,
+    where a pre-token begins. Arrow cuts a whole batch and finds its distinct pieces, so only these are
+    looked up; numpy puts the ids together. Any other text goes to the library whole.
+
+    A piece is kept by its text without the space before it; one that starts with a line feed has no
+    space. ``HEAD`` stands before the first piece of a text and ``TAIL`` before a mark behind a word, a
+    pre-token of its own; alone it stands for the end id (such texts hold neither character).
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -174,7 +191,8 @@ class _Encoder:
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
-        self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
+        special = [x.content for x in self.t.get_added_tokens_decoder().values()]
+        self.whole = "|".join([*map(re.escape, special), f"[ \n][ \n]|^[ \n]|[ \n]$|[{OTHER_BLANKS}]"])
         self.bits = max(1, (self.t.get_vocab_size() - 1).bit_length())
         self.dtype = np.uint16 if self.bits <= 16 else np.uint32
         self.width = np.zeros(self.t.get_vocab_size(), np.int64)  # bytes a token stands for
@@ -182,50 +200,82 @@ class _Encoder:
             self.width[i] = len(token)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.mark = {m: ids.tobytes() for m, ids in zip(MARKS, self._library(list(MARKS)))}
+        self.fixed = {TAIL + m: ids for m, ids in self.mark.items()} | {TAIL: np.array([END_ID], self.dtype).tobytes()}
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, fresh: list[str]) -> None:
-        """Encode pieces, many in one string: tokens end where pieces end, so the ids are cut by
-        the bytes they stand for. A piece that ends in a blank could join the next one's space."""
-        alone = [p for p in fresh if not p or p[-1].isspace()]
-        for p, ids in zip(alone, self._library([" " + p for p in alone])):
+        """Encode pieces. A word and one mark behind it are two pre-tokens, so the word is learned and the
+        mark's ids are put behind it."""
+        base = {p: p[:-1] for p in fresh if p[-1:] in MARKS and p[:-1].isalpha()}
+        words = dict.fromkeys(base.get(p, p) for p in fresh)
+        self._encode([p for p in words if p not in self.known])
+        for p, word in base.items():
+            self.known[p] = self.known[word] + self.mark[p[-1]]
+
+    def _encode(self, fresh: list[str]) -> None:
+        """Encode pieces, many in one string: tokens end where pieces end, so the ids are cut by the
+        bytes they stand for. First pieces, and those that end in a blank, are encoded alone."""
+        alone = [p for p in fresh if p[:1] == HEAD or p[-1:] == "\n"]
+        for p, ids in zip(alone, self._library([p.removeprefix(HEAD) for p in alone])):
             self.known[p] = ids.tobytes()
-        rest = [p for p in fresh if p and not p[-1].isspace()]
+        rest = [p for p in fresh if not (p[:1] == HEAD or p[-1:] == "\n")]
         runs = [rest[at:at + RUN] for at in range(0, len(rest), RUN)]
         size = np.dtype(self.dtype).itemsize
-        for run, ids in zip(runs, self._library([" " + " ".join(run) for run in runs])):
-            ends = np.cumsum([len(p.encode()) + 1 for p in run])
+        for run in runs:
+            lead = [p if p[:1] == "\n" else " " + p for p in run]
+            ids, = self._library(["".join(lead)])
+            ends = np.cumsum([len(p.encode()) for p in lead])
             cut = [0, *(size * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()]
             raw = ids.tobytes()
             for p, x, y in zip(run, cut, cut[1:]):
                 self.known[p] = raw[x:y]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, end id appended, packed little-endian."""
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        cut = [(t, []) if any(s in t for s in self.special) else pieces(t) for t in texts]
-        flat = list(chain.from_iterable([rest for _, rest in cut]))
-        found = list(map(self.known.get, flat))
-        if None in found:
-            fresh = dict.fromkeys(p for p, ids in zip(flat, found) if ids is None)
-            again = [p for p in fresh if p in self.older]
-            for p in again:
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of distinct pieces."""
+        if len(self.known) > CACHE or not self.known:
+            self.known, self.older = dict(self.fixed), self.known
+        found = list(map(self.known.get, pieces))
+        missing = [at for at, ids in enumerate(found) if ids is None]
+        fresh = []
+        for at in missing:
+            p = pieces[at]
+            if p in self.older:
                 self.known[p] = self.older[p]
-                del fresh[p]
-            self._learn(list(fresh))
-            found = list(map(self.known.get, flat))
-            for p in fresh:
-                if len(p) > LONGEST:
-                    del self.known[p]
-        out, at = [], 0
-        end = np.array([END_ID], self.dtype).tobytes()
-        for (_, rest), head in zip(cut, self._library([first for first, _ in cut])):
-            out.append(b"".join([head.tobytes(), *found[at:at + len(rest)], end]))
-            at += len(rest)
-        return out
+            else:
+                fresh.append(p)
+        self._learn(fresh)
+        for at in missing:
+            found[at] = self.known[pieces[at]]
+        for p in fresh:
+            if len(p) > LONGEST:
+                del self.known[p]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, each followed by the end id, and the length of each."""
+        whole = pc.match_substring_regex(texts, self.whole)
+        marked = pc.replace_substring(texts.filter(pc.invert(whole)), "\n", " \n")
+        marked = pc.binary_join_element_wise(HEAD, marked, f" {TAIL}", "")
+        marked = pc.replace_substring_regex(marked, f"(\\pL)([{MARKS}]) ", f"\\1 {TAIL}\\2 ")
+        cut = pc.split_pattern(marked, " ")
+        coded = cut.flatten().dictionary_encode()
+        each = pa.array(self._ids(coded.dictionary.to_pylist()), pa.large_binary())
+        joined = each.take(coded.indices)  # the ids of all pieces, end to end
+        _, ends, data = joined.buffers()
+        size = np.dtype(self.dtype).itemsize
+        ends = np.frombuffer(ends, np.int64)[:len(joined) + 1] // size if len(joined) else np.zeros(1, np.int64)
+        ids = np.frombuffer(data, self.dtype, int(ends[-1])) if ends[-1] else np.empty(0, self.dtype)
+        offsets = cut.offsets.to_numpy()
+        bounds = ends[offsets - offsets[0]]
+        if not pc.any(whole).as_py():
+            return ids, np.diff(bounds)
+        apart = iter(self._library(texts.filter(whole).to_pylist()))
+        cuts = iter(zip(bounds.tolist(), bounds[1:].tolist()))
+        parts = [np.append(next(apart), self.dtype(END_ID)) if w else ids[slice(*next(cuts))] for w in whole.to_pylist()]
+        return np.concatenate(parts), np.array([x.size for x in parts])
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS,
@@ -239,16 +289,16 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(tokenizer)
+        encoder = kept(("token_shards", tokenizer), lambda: _Encoder(tokenizer))
         part, shard, first = TaskContext.get().partitionId(), 0, 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
+        lengths: list[int] = []
         names: list = []
-        width = np.dtype(encoder.dtype).itemsize
 
         def close() -> pa.RecordBatch:
             nonlocal shard, first
-            all_ids = np.frombuffer(b"".join(ids), encoder.dtype)
-            file = pack_shard(all_ids, [len(x) // width for x in ids], encoder.bits)
+            all_ids = np.concatenate(ids)
+            file = pack_shard(all_ids, lengths, encoder.bits)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([first], pa.int64()),
                  pa.array([all_ids.size], pa.int64()), pa.array([names], pa.list_(id_type)),
@@ -256,26 +306,35 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int =
                 names=["part", "shard", "first", "n_tokens", "doc_ids", "file"])
             shard, first = shard + 1, first + all_ids.size
             ids.clear()
+            lengths.clear()
             names.clear()
             return out
 
         size, id_type = 0, None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                for name, x in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist())):
-                    ids.append(x)
+            # about TEXT_BYTES of text at once
+            bounds = np.cumsum(pc.binary_length(batch.column(1)).to_numpy()) // TEXT_BYTES
+            starts = np.flatnonzero(np.diff(bounds, prepend=-1)).tolist() if batch.num_rows else []
+            for at, end in zip(starts, [*starts[1:], batch.num_rows]):
+                rows = batch.slice(at, end - at)
+                found, many = encoder.encode(rows.column(1))
+                done = 0
+                for name, n, upto in zip(rows.column(0).to_pylist(), many.tolist(), np.cumsum(many).tolist()):
                     names.append(name)
-                    size += len(x) // width
-                    if size >= shard_tokens:
+                    lengths.append(n)
+                    size += n
+                    if size >= shard_tokens:  # a shard ends at a document's end
+                        ids.append(found[done:upto])
                         yield close()
-                        size = 0
+                        size, done = 0, upto
+                if done < found.size:
+                    ids.append(found[done:])
         if ids:
             yield close()
 
-    (docs.select("doc_id", F.col("text").cast("string").alias("text"))
-     .repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    (docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+     .repartitionByRange("doc_id", "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text").drop("h")
      .mapInArrow(run, f"part int, shard int, first long, n_tokens long, doc_ids array<{kind}>, file binary")
      .write.option("maxRecordsPerFile", 1).parquet(path))
 
