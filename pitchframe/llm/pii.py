@@ -13,7 +13,8 @@ otherwise different texts is evidence in each. In documents that
 hold the entity, every occurrence of such a term is a span of kind ``term``. ``sanitise`` removes
 the terms and generalises the matches to their kind.
 
-Terms are counted in slices of ``SLICE_TERMS`` candidates, so what is broadcast stays bounded.
+Terms are counted in slices of ``SLICE_TERMS`` candidates, and the disclosing (entity, term) pairs are
+looked up in slices of as many, so what is broadcast stays bounded. Texts are never shuffled.
 
 Defined results: a null text is empty; repeated rows and null ids get a row each; other columns are
 ignored (``sanitise`` keeps them); an empty table gives an empty result.
@@ -25,11 +26,12 @@ import hashlib
 import math
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchframe.llm.common import materialise, narrow
@@ -128,31 +130,64 @@ def term_spans(text: str, terms: set[str], spans: list[Span]) -> list[Span]:
     return out
 
 
-_BASE = ("doc_id {id}, text_key long, n_email long, n_ip long, n_card long, n_phone long, "
-         "base_sha256 string, spans string, "
-         "contexts array<struct<entity: string, terms: array<string>>>")
+_CONTEXTS = "text_key long, contexts array<struct<entity: string, terms: array<string>>>"
 _CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
+_SPANS = ("doc_id {id}, text_key long, n_email long, n_ip long, n_card long, n_phone long, "
+          "base_sha256 string, spans string")
 
 
-def _base(docs: DataFrame) -> DataFrame:
+def _contexts(docs: DataFrame) -> DataFrame:
+    """(text_key, contexts) of the rows that hold an entity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for t in batch.column(2):
+            keys, found = [], []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = t.as_py()
-                spans = base_spans(text)
-                rows.append((spans, [dict(zip(("entity", "terms"), c)) for c in contexts(text, spans)]))
-            texts = [joined(s) for s, _ in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1),
-                 *[pa.array([sum(x[2] == k for x in s) for s, _ in rows], pa.int64()) for k in KINDS[:4]],
-                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
-                 pa.array(texts, pa.string()), pa.array([c for _, c in rows], _CONTEXT)],
-                names=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "contexts"])
+                near = contexts(text, base_spans(text))
+                if near:
+                    keys.append(key)
+                    found.append([dict(zip(("entity", "terms"), c)) for c in near])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, _CONTEXT)],
+                                             names=["text_key", "contexts"])
+
+    return docs.select(F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")) \
+        .mapInArrow(run, _CONTEXTS)
+
+
+def _all_spans(text: str, terms_of: dict[str, list[str]], more: Iterable[str] = ()) -> tuple[list[Span], list[Span]]:
+    """Base spans of a text, and those with the terms that disclose one of its entities (``more`` terms too)."""
+    base = base_spans(text)
+    terms = set(more).union(*[terms_of.get(f"{kind}:{text[a:b].lower()}", ()) for a, b, kind in base])
+    if not terms:
+        return base, base
+    return base, sorted(base + term_spans(text, terms, base), key=lambda s: (s[0], KINDS.index(s[2])))
+
+
+def _entity_terms(spark: SparkSession, terms: DataFrame | None) -> list[Broadcast]:
+    """{entity: terms} in broadcast slices of about ``SLICE_TERMS`` pairs; one, maybe empty, at least."""
+    n = max(1, math.ceil(terms.count() / SLICE_TERMS)) if terms is not None else 1
+    out = []
+    for k in range(n):
+        own: dict[str, list[str]] = {}
+        if terms is not None:
+            for r in terms.filter(F.pmod(F.xxhash64("entity", "term"), F.lit(n)) == k).collect():
+                own.setdefault(r["entity"], []).append(r["term"])
+        out.append(spark.sparkContext.broadcast(own))
+    return out
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return (docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, _BASE.format(id=kind)))
+
+def _with_terms(docs: DataFrame, text_col: str, slices: list[Broadcast]) -> DataFrame:
+    """``docs`` with ``_terms``: what the given slices disclose about each row; written between slices."""
+    docs = docs.withColumn("_terms", F.array().cast("array<string>"))
+    for own in slices:
+        def terms(batches: Iterator[pd.Series], own=own) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series([sorted(set().union(*[own.value.get(f"{k}:{t[a:b].lower()}", ()) for a, b, k in base_spans(t)]))
+                                 for t in texts], dtype=object)
+
+        found = F.pandas_udf(terms, "array<string>")(F.coalesce(F.col(text_col), F.lit("")))
+        docs = materialise(docs.withColumn("_terms", F.array_union("_terms", found)), "pii-terms")
+    return docs
 
 
 def _document_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -179,8 +214,9 @@ def _document_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return out
 
 
-def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame | None:
+def disclosing(docs: DataFrame) -> DataFrame | None:
     """(entity, term, disclosure) of terms over the threshold; None where no term is near it."""
+    base = materialise(_contexts(docs), "pii-contexts")
     near = base.select("text_key", F.explode("contexts").alias("c")).select("text_key", "c.entity", "c.terms")
     # a row has each pair once; equal texts are added up first and are one piece of evidence
     pairs = (near.select("entity", "text_key", F.explode("terms").alias("term"))
@@ -191,7 +227,7 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame | None:
     candidates = pairs.select("term").distinct()
     if candidates.isEmpty():
         return None
-    n_docs = base.count()
+    n_docs = docs.count()
     entities = near.groupBy("entity").agg(F.count("*").alias("n_entity"))
     counted = materialise(_document_counts(docs, candidates), "terms")
 
@@ -207,40 +243,27 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame | None:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row per input row."""
+    """(doc_id, text_key, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row per input row.
+
+    Texts are read twice, for the statistics and for the spans, and never shuffled."""
     docs = narrow(docs, id_col, text_col)
-    base = materialise(_base(docs), "pii-base")
-    terms = disclosing(docs, base)
-    out = base.drop("contexts")
-    if terms is None:
-        return out
-    # only documents that hold a disclosed entity are read again
-    held = _held(base, terms)
-    texts = docs.select(F.col("doc_id").alias("td"), F.xxhash64("text").alias("tk"), "text")
-    again = (texts.join(held, texts["td"].eqNullSafe(held["d"]) & (texts["tk"] == held["k"]))
-             .select("d", "k", "text", "terms").dropDuplicates(["d", "k"]))
+    *others, last = _entity_terms(docs.sparkSession, disclosing(docs))
+    rows = _with_terms(docs, "text", others).select(
+        "doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"), "_terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = []
-            for text, terms in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                own = base_spans(text)
-                spans.append(joined(sorted(own + term_spans(text, set(terms), own),
-                                           key=lambda s: (s[0], KINDS.index(s[2])))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.string())],
-                                             names=["d", "k", "all_spans"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    more = again.mapInArrow(run, f"d {kind}, k long, all_spans string")
-    return (out.join(more, out["doc_id"].eqNullSafe(more["d"]) & (out["text_key"] == more["k"]), "left")
-            .withColumn("spans", F.coalesce("all_spans", "spans")).drop("d", "k", "all_spans"))
-
+            found = [_all_spans(t.as_py(), last.value, more)
+                     for t, more in zip(batch.column(2), batch.column(3).to_pylist())]
+            texts = [joined(base) for base, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1),
+                 *[pa.array([sum(x[2] == k for x in base) for base, _ in found], pa.int64()) for k in KINDS[:4]],
+                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+                 pa.array([t if own is base else joined(own) for t, (base, own) in zip(texts, found)], pa.string())],
+                names=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-def _held(base: DataFrame, terms: DataFrame) -> DataFrame:
-    """(d, k, terms): the rows that hold a disclosed entity, with the terms that disclose it."""
-    return (base.select("doc_id", "text_key", F.explode("contexts").alias("c"))
-            .select("doc_id", "text_key", "c.entity").distinct().join(terms.select("entity", "term"), "entity")
-            .groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_set("term").alias("terms")))
+    return rows.mapInArrow(run, _SPANS.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def rewrite(text: str, spans: str) -> str:
@@ -258,29 +281,14 @@ def rewrite(text: str, spans: str) -> str:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with sanitised texts; other columns and null texts stay as they are.
 
-    Matches are found again while rewriting, so texts are not shuffled to meet their spans; only
-    the terms, if there are any, are joined to the rows that hold a disclosed entity.
-    """
+    Texts are read twice, for the statistics and for rewriting, and never shuffled or joined."""
     narrowed = narrow(docs, id_col, text_col)
-    base = materialise(_base(narrowed), "pii-base")
-    terms = disclosing(narrowed, base)
-    none = F.array().cast("array<string>")
-    out = docs.withColumn("_terms", none)
-    if terms is not None:
-        held = _held(base, terms).withColumnRenamed("terms", "_terms")
-        out = docs.join(held, docs[id_col].eqNullSafe(F.col("d"))
-                        & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("k")), "left")
-    new = F.pandas_udf(_rewritten, "string")(F.col(text_col), F.coalesce("_terms", none))
-    return out.withColumn(text_col, new).select(*docs.columns)
-
-
-def _rewritten(text: pd.Series, terms: pd.Series) -> pd.Series:
-    def one(t: str | None, own) -> str | None:
-        if t is None:
-            return None
-        spans = base_spans(t)
-        if len(own):
-            spans = sorted(spans + term_spans(t, set(own), spans), key=lambda s: (s[0], KINDS.index(s[2])))
-        return rewrite(t, joined(spans)) if spans else t
-
-    return pd.Series([one(t, own) for t, own in zip(text, terms)], dtype=object)
+    *others, last = _entity_terms(docs.sparkSession, disclosing(narrowed))
+
+    def rewritten(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, more in batches:
+            yield pd.Series([None if t is None else rewrite(t, joined(_all_spans(t, last.value, m)[1]))
+                             for t, m in zip(texts, more)], dtype=object)
+
+    new = F.pandas_udf(rewritten, "string")(F.col(text_col), F.col("_terms"))
+    return _with_terms(docs, text_col, others).withColumn(text_col, new).select(*docs.columns)
