@@ -1,10 +1,13 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. Every word n-gram of an item is a seed, however many documents hold it: what an edited or partial
-   copy still shares with its item is found in one document as in a million.
+1. An item's rare word n-grams, those that stand in at most ``RARE_ITEMS`` different items, are its seeds,
+   however many documents hold them: what an edited or partial copy still shares with its item is
+   found in one document as in a million. An item with fewer than ``MIN_SEEDS`` of them takes its
+   ``MIN_RARE`` rarest n-grams. What many items share (a template) is no evidence of a copy of
+   any of them and costs nothing. Items with the same words are one.
 2. One pass joins seeds to whole texts and clusters the hits of an item into windows. Windows that
    hold too few of the item's words for the score asked for are left out (an upper bound of the
-   score, so nothing is lost to common n-grams being seeds).
+   score, so nothing is lost).
 3. Each other window is aligned with the item word by word (local alignment with gaps). The alignment
    score as a share of the item's own score finds exact, edited and paraphrased copies.
 
@@ -19,6 +22,7 @@ are ignored; empty tables give an empty result. Long texts are handled one at a
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pitchframe.llm.common import narrow
+from pitchframe.llm.common import kept, narrow
 
 SEED = 3
 MIN_SEEDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.4
+RARE_ITEMS = 8
+MIN_RARE = 6
 SLICE_BYTES = 32 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -52,8 +58,11 @@ class Benchmark:
 
     def __init__(self, items: list[bytes]):
         self.word: dict[bytes, int] = {}
-        self.items = [np.array([self.word.setdefault(w, len(self.word)) for w in words_of(t)], np.int64)
-                      for t in items]
+        equal: dict[tuple, list[int]] = {}
+        for i, t in enumerate(items):
+            equal.setdefault(tuple(self.word.setdefault(w, len(self.word)) for w in words_of(t)), []).append(i)
+        self.items = [np.array(ids, np.int64) for ids in equal]
+        self.named = list(equal.values())  # the items given that have these words
         base = len(self.word) + 1
         self.base = np.int64(base)
         keys, owner, place = [], [], []
@@ -62,13 +71,28 @@ class Benchmark:
             keys.append(k)
             owner.append(np.full(k.size, i))
             place.append(np.arange(k.size))
-        key = np.concatenate(keys) if keys else np.empty(0, np.int64)
+        key, owner, place = (np.concatenate(x) if keys else np.empty(0, np.int64) for x in (keys, owner, place))
+        rare = self._rare(key, owner)
+        key, owner, place = key[rare], owner[rare], place[rare]
         order = np.argsort(key, kind="stable")
-        self.owner = np.concatenate(owner)[order] if keys else key
-        self.place = np.concatenate(place)[order] if keys else key
+        self.owner, self.place = owner[order], place[order]
         self.grams, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
         self.bags = [np.unique(ids, return_counts=True) for ids in self.items]
 
+    @staticmethod
+    def _rare(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Which n-grams are seeds: those of few items; of an item with fewer than ``MIN_SEEDS`` such, its
+        ``MIN_RARE`` rarest."""
+        gram, number = np.unique(key, return_inverse=True)
+        pair = np.unique(number * (int(owner.max(initial=0)) + 1) + owner)
+        n_items = np.bincount(pair // (int(owner.max(initial=0)) + 1), minlength=gram.size)[number]
+        order = np.lexsort((n_items, owner))
+        place = np.empty(key.size, np.int64)  # of a gram among its item's, rarest first
+        place[order] = np.arange(key.size) - np.searchsorted(owner[order], owner[order])
+        rare = n_items <= RARE_ITEMS
+        few = np.bincount(owner, weights=rare, minlength=1) < MIN_SEEDS
+        return rare | (few[owner] & (place < MIN_RARE))
+
     def keys(self, ids: np.ndarray) -> np.ndarray:
         n = max(ids.size - SEED + 1, 0)
         key = np.zeros(n, np.int64)
@@ -192,7 +216,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, s
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b, names = _opened(shared)
             for batch in batches:
-                found = [(at, *m) for at, t in enumerate(batch.column(1)) for m in b.matches(t.as_py(), min_score)]
+                found = [(at, i, *m[1:]) for at, t in enumerate(batch.column(1))
+                         for m in b.matches(t.as_py(), min_score) for i in b.named[m[0]]]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array([f[0] for f in found], pa.int64())),
                      pa.array([names[f[1]] for f in found], item_arrow),
@@ -223,8 +248,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, s
 
 
 def _opened(shared: Broadcast) -> tuple[Benchmark, list]:
-    texts, names = shared.value
-    return Benchmark(texts), names
+    key, texts, names = shared.value
+    return kept(("benchmark", key), lambda: Benchmark(texts)), names
 
 
 def _sliced(items: DataFrame, slice_bytes: int) -> list[Broadcast]:
@@ -239,5 +264,5 @@ def _sliced(items: DataFrame, slice_bytes: int) -> list[Broadcast]:
         rows = sorted(((bytes(r["t"]), r["item_id"]) for r in
                        own.select("item_id", F.col("text").cast("binary").alias("t")).collect()),
                       key=lambda r: (r[0], str(r[1])))
-        out.append(sc.broadcast(([t for t, _ in rows], [n for _, n in rows])))
+        out.append(sc.broadcast((uuid.uuid4().hex, [t for t, _ in rows], [n for _, n in rows])))
     return out

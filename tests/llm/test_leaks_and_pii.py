@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -92,6 +93,48 @@ def test_windows_left_out_could_not_reach_the_score():
             assert {m[0]: m[1:] for m in bench.matches(text, low)} == {i: m for i, m in every.items() if m[0] >= low}
 
 
+def test_what_many_items_share_is_no_seed():
+    """10,000 items of one template: a text without a copy is answered at once, a copy is found."""
+    rng = random.Random(3)
+    template = words(rng, 12, 50)
+    items = [" ".join(template + [f"a{i}x", f"b{i % 97}y", *words(rng, 12, 10 ** 6)]).encode() for i in range(10_000)]
+    bench = decontaminate.Benchmark(items)
+    text = words(rng, 2700, 5000)
+    for at in range(0, 2600, 60):
+        text[at:at] = template
+    clean = " ".join(text).encode()
+    began = time.process_time()
+    assert bench.matches(clean, decontaminate.MIN_SCORE) == []
+    assert time.process_time() - began < 0.5
+    copy = " ".join(text[:500] + items[77].decode().split() + text[500:]).encode()
+    assert [(m[0], m[1]) for m in bench.matches(copy, decontaminate.MIN_SCORE)] == [(77, 1.0)]
+
+
+def test_recall_on_edited_copies():
+    """Planted edits of a growing share of the words, against a full alignment of every pair."""
+    rng = random.Random(8)
+    items = [words(rng, rng.randint(25, 50), 3000) for _ in range(60)]
+    bench = decontaminate.Benchmark([" ".join(i).encode() for i in items])
+    found = asked = 0
+    for i in range(300):
+        copy = [w if rng.random() > (i % 4) / 12 else f"edit{rng.randint(0, 99)}" for w in items[i % 60]]
+        text = words(rng, 40, 3000) + copy + words(rng, 40, 3000)
+        ids = np.array([bench.word.get(w.encode(), -1) for w in text])
+        if decontaminate.align(ids, bench.items[i % 60])[0] / (2 * len(copy)) >= decontaminate.MIN_SCORE:
+            asked += 1
+            found += i % 60 in [m[0] for m in bench.matches(" ".join(text).encode(), decontaminate.MIN_SCORE)]
+    assert asked > 250 and found >= 0.97 * asked
+
+
+def test_items_with_the_same_words_are_all_named(spark):
+    rows = [(i, "Some words, that many items share word by word here") for i in range(30)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x y some words that many items share word by word here z"), (2, "some words")],
+                                 "doc_id long, text string")
+    got = decontaminate.leaks(docs, items).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in got} == {(1, i, 1.0) for i in range(30)} and len(got) == 30
+
+
 def test_decontamination_odd_rows(spark):
     items = spark.createDataFrame([(1, "one two three four five six"), (2, None), (3, ""), (4, "one two")],
                                   "item_id long, text string").withColumn("doc_id", F.lit(5))
