@@ -192,19 +192,14 @@ def _close(a: str, b: str, threshold: float) -> Column:
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) of classes with 100 * intersection >= percent * union of full shingle sets."""
-    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"),
-                        F.col("text").cast("binary").alias("t"))
-
-    def with_text(df: DataFrame, side: str) -> DataFrame:
-        place = classes.select(F.col("class").alias(side), F.col("first.doc_id").alias(f"d_{side}"),
-                               F.col("first.text_key").alias(f"k_{side}"))
-        return df.join(place, side)
-
-    p = with_text(with_text(pairs, "u"), "v")
+    # the text of every class in a pair, once: a repeated row adds no pair
+    asked = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
+    place = classes.select("class", F.col("first.doc_id").alias("d"), F.col("first.text_key").alias("k")).join(asked, "class")
+    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), F.col("text").cast("binary").alias("t"))
+    text = materialise(texts.join(place, ["d", "k"]).groupBy("class").agg(F.first("t").alias("t")), "pair-texts")
+    p = pairs
     for side in ("u", "v"):
-        t = texts.select(F.col("d").alias(f"d_{side}"), F.col("k").alias(f"k_{side}"),
-                         F.col("t").alias(f"t_{side}"))
-        p = p.join(t, [f"d_{side}", f"k_{side}"])
+        p = p.join(text.select(F.col("class").alias(side), F.col("t").alias(f"t_{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[bytes, set] = {}
