@@ -123,23 +123,35 @@ class Lexicon:
         return out
 
     def nearest(self, word: str, tries: list[dict] | None = None) -> tuple[str, int] | None:
-        """Intersect the word's Levenshtein automaton with tries (all terms); smallest edits, then term."""
+        """Intersect the word's Levenshtein automaton with tries (all terms); smallest edits, then term.
+
+        The automaton's state is the band of 2 * most + 1 distances around the diagonal: at trie depth
+        d, ``row[k]`` is the distance of the term's first d letters to the word's first d + k - most."""
         best: tuple[int, str] | None = None
-        first = list(range(len(word) + 1))
-        todo = [(trie, first) for trie in ([self.trie] if tries is None else tries)]
-        most = 2 if len(word) >= 7 else 1  # terms of two edits have nine letters
+        most, far = (2 if len(word) >= 7 else 1), 9  # terms of two edits have nine letters
+        size = len(word)
+        first = [k - most if most <= k <= most + size else far for k in range(2 * most + 1)]
+        todo = [(trie, 0, first) for trie in ([self.trie] if tries is None else tries)]
         while todo:
-            node, row = todo.pop()
-            if "" in node and row[-1] <= edits(len(node[""])):
-                best = min(best or (9, ""), (row[-1], node[""]))
+            node, depth, row = todo.pop()
+            if "" in node and abs(size - depth) <= most:
+                found = row[size - depth + most]
+                if found <= edits(depth):
+                    best = min(best or (far, ""), (found, node[""]))
             for c, child in node.items():
                 if c == "":
                     continue
-                new = [row[0] + 1]
-                for i, w in enumerate(word):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c)))
+                new, left = [], far
+                for k in range(2 * most + 1):
+                    i = depth + 1 + k - most  # letters of the word
+                    if not 0 <= i <= size:
+                        left = far
+                    else:
+                        left = min(left + 1, (row[k + 1] if k < 2 * most else far) + 1,
+                                   row[k] + (word[i - 1] != c) if i else far)
+                    new.append(left)
                 if min(new) <= most:
-                    todo.append((child, new))
+                    todo.append((child, depth + 1, new))
         return (best[1], best[0]) if best else None
 
 
@@ -168,15 +180,36 @@ class Scanner:
         return len(tokens), [(*self.hot[tokens[i]], context(tokens, i, at)) for i in at]
 
 
+def _marks(token: str) -> tuple[bool, bool]:
+    """Whether a quotation opens, and whether one closes, at this token (a lone mark may do either)."""
+    bare = token.rstrip(".,;:!?")
+    return token[0] in OPENING, bare != "" and bare[-1] in CLOSING
+
+
+def quoted(tokens: list[str], i: int) -> bool:
+    """Whether word ``i`` stands inside a pair of quotation marks whose ends are within the window: one
+    that opens before or at it, is not closed before it, and closes at or after it before another opens."""
+    inside = False
+    for t in tokens[max(0, i - WINDOW):i]:
+        opens, closes = _marks(t)
+        if opens or closes:
+            inside = not inside if opens and closes and len(t.rstrip(".,;:!?")) == 1 else opens and not closes
+    if not (inside or _marks(tokens[i])[0]):
+        return False
+    for j, t in enumerate(tokens[i:i + WINDOW + 1]):
+        opens, closes = _marks(t)
+        if closes and not (opens and j and len(t.rstrip(".,;:!?")) > 1):
+            return True
+        if opens and j:
+            return False
+    return False
+
+
 def context(tokens: list[str], i: int, hits: list[int]) -> float:
     """Weight of the hit at word ``i`` from the window around it."""
     weight = 1.0
     near = tokens[max(0, i - WINDOW):i + WINDOW + 1]
-    own = tokens[i]
-    before, after = tokens[max(0, i - WINDOW):i + 1], tokens[i:i + WINDOW + 1]
-    opened = any(t[0] in OPENING for t in before)
-    closed = any(t.rstrip(".,;:!?")[-1:] in CLOSING and t.rstrip(".,;:!?") for t in after)
-    if (opened and closed) or (own[0] in OPENING and own.rstrip(".,;:!?")[-1:] in CLOSING):
+    if quoted(tokens, i):
         weight *= 0.4
     bare = {plain(t) for t in near}
     if bare & REPORTING:
