@@ -23,6 +23,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from pitchframe.llm.common import narrow
 CACHE = 300_000
 #: Longest piece that is cached.
 CACHED_CHARS = 64
+#: Bytes of a word from which it is merged by itself.
+LONG_WORD = 512
 #: Rows of one Arrow batch handled together.
 ROWS = 256
 
@@ -155,10 +158,13 @@ class Vocabulary:
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Exact merging of many words side by side: in every round each word takes its merge of
-        lowest rank, the leftmost on ties."""
+        lowest rank, the leftmost on ties. Long words are merged one by one, from a heap."""
         out: list[list[int]] = [[] for _ in words]
         never = np.iinfo(np.int64).max
         by_size = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while by_size and len(words[by_size[-1]]) > LONG_WORD:
+            i = by_size.pop()
+            out[i] = self.merge_long(words[i])
         at = 0
         while at < len(by_size):
             size = max(2, len(words[by_size[at]]))
@@ -198,6 +204,29 @@ class Vocabulary:
                     rank[line, x] = np.where((a >= 0) & (b >= 0), self.pair_ranks(a, b), never)
         return out
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """Exact merging of one word in O(n log n): a heap of (rank, place) over a linked list of tokens;
+        an entry whose pair has changed since is passed over."""
+        token = self.base[np.frombuffer(word, np.uint8)].tolist()
+        n, made, rank = len(token), self.made.tolist(), self.rank
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank.get((token[i], token[i + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i] if token[i] >= 0 else n
+            if j >= n or rank.get((token[i], token[j])) != r:
+                continue
+            token[i], token[j] = made[r], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (x := rank.get((token[i], token[k]))) is not None:
+                    heappush(heap, (x, i))
+            if (h := before[i]) >= 0 and (x := rank.get((token[h], token[i]))) is not None:
+                heappush(heap, (x, h))
+        return [t for t in token if t >= 0]
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Exact token ids of pre-tokens."""
         proposed = [self.speculate(w) for w in words]
