@@ -32,22 +32,28 @@ CHUNK = 1 << 18
 UNKNOWN = "und"
 
 
-def features(text: str) -> np.ndarray:
-    """Hashed n-grams of one text; every run of non-letters counts as one gap character."""
-    code = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    letter = _letters(code)
-    keep = letter | np.concatenate([[False], letter[:-1]])  # the first non-letter of each run
-    code = np.where(letter, code, np.uint32(32))[keep].astype(np.uint64)
-    out = []
-    h = np.zeros(code.size, np.uint64)
-    for n in range(1, max(SIZES) + 1):
-        if code.size < n:
-            break
-        h = h[:code.size - n + 1] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1:] + np.uint64(n)
-        if n in SIZES:
-            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            out.append((mixed >> np.uint64(64 - BITS)).astype(np.int32))
-    return np.concatenate(out) if out else np.empty(0, np.int32)
+def features(text: str, chunk: int = CHUNK) -> Iterator[np.ndarray]:
+    """Hashed n-grams of one text, of ``chunk`` characters at a time; every run of non-letters counts as one
+    gap character. Each n-gram comes once, with the piece its last character lies in."""
+    text, before, after_letter = text.lower(), np.empty(0, np.uint64), False
+    for at in range(0, len(text), chunk):
+        code = np.frombuffer(text[at:at + chunk].encode("utf-32-le"), np.uint32)
+        letter = _letters(code)
+        keep = letter | np.concatenate([[after_letter], letter[:-1]])  # the first non-letter of each run
+        after_letter = bool(letter[-1])
+        code = np.concatenate([before, np.where(letter, code, np.uint32(32))[keep].astype(np.uint64)])
+        out, known = [], before.size
+        h = np.zeros(code.size, np.uint64)
+        for n in range(1, max(SIZES) + 1):
+            if code.size < n:
+                break
+            h = h[:code.size - n + 1] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1:] + np.uint64(n)
+            if n in SIZES:
+                new = h[max(known - n + 1, 0):]
+                mixed = (new ^ (new >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                out.append((mixed >> np.uint64(64 - BITS)).astype(np.int32))
+        before = code[max(code.size - max(SIZES) + 1, 0):]
+        yield np.concatenate(out) if out else np.empty(0, np.int32)
 
 
 _TABLE: list[np.ndarray] = []
@@ -80,7 +86,8 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang",
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
                 if lang not in counts:
                     counts[lang], docs[lang] = np.zeros(1 << BITS, np.int64), 0
-                counts[lang] += np.bincount(features(text.as_py()), minlength=1 << BITS)
+                for f in features(text.as_py()):
+                    counts[lang] += np.bincount(f, minlength=1 << BITS)
                 docs[lang] += 1
         for lang, c in counts.items():
             at = np.flatnonzero(c)
@@ -117,8 +124,7 @@ def score(docs: DataFrame, langs: list[str], matrix: np.ndarray,
             for text in batch.column(1):
                 text = text.as_py() or ""
                 sums, n = np.zeros(len(langs)), 0
-                for at in range(0, len(text), CHUNK):
-                    f = features(text[max(at - max(SIZES), 0):at + CHUNK])
+                for f in features(text):
                     sums += np.take(matrix, f, axis=0).sum(axis=0, dtype=np.float64)
                     n += f.size
                 if not langs or not any(c.isalpha() for c in text):

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -84,6 +86,32 @@ def test_context_tells_quotation_from_abuse():
     assert q < p < a
 
 
+def test_quotation_marks_are_paired():
+    def weight(text):
+        tokens = text.split()
+        i = next(i for i, t in enumerate(tokens) if "idiot" in t)
+        return toxicity.context(tokens, i, [i])
+
+    assert weight('"hello" you idiot "bye" now') == weight("you idiot now") == 1.25
+    for text in ('a "big idiot" here', 'a "idiot" here', 'a “very big idiot indeed”. so', "x 'idiot' y", 'a " big idiot " b',
+                 '"one" and "idiot two" three'):
+        assert weight(text) == 0.4, text
+    for text in ('"one two" idiot three', 'one idiot "two three"', '"one" idiot "two"', '" one " idiot " two "', 'an idiot"',
+                 '"an open idiot and nothing more'):
+        assert weight(text) == 1.0, text
+
+
+def test_long_terms_take_a_band(spark):
+    import time
+
+    term = "".join(random.Random(1).choices("abcdefgh", k=2000))
+    lexicon = toxicity.Lexicon({term: 1.0, term[:1999] + "x": 1.0}, {}, {term, term[:1999] + "x"})
+    near = term[:900] + "z" + term[901:1500] + term[1501:]
+    began = time.process_time()
+    assert lexicon.match(near) == (term, 2) and lexicon.match("q" + near) is None
+    assert time.process_time() - began < 0.5
+
+
 def toxic_corpus(spark, n=900):
     rng = random.Random(8)
     rows, marks = [], []
@@ -128,14 +156,59 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
 
 
-def test_language_scores_equal_brute_force():
-    text, sizes = "Ab, c!  Éa", language_id.SIZES
-    collapsed = "ab c éa"
-    want = sum(max(len(collapsed) - n + 1, 0) for n in sizes)
-    assert language_id.features(text).size == want
-    assert language_id.features("").size == 0
-    a, b = language_id.features("xyz"), language_id.features("xyzxyz")
-    assert set(a.tolist()) <= set(b.tolist())
+def plain_grams(text):
+    """Buckets of the n-grams of one text, by plain Python."""
+    codes, last = [], False
+    for c in text.lower():
+        if c.isalpha():
+            codes.append(ord(c))
+        elif last:
+            codes.append(32)
+        last = c.isalpha()
+    out, mask = [], (1 << 64) - 1
+    for size in language_id.SIZES:
+        for at in range(len(codes) - size + 1):
+            h = 0
+            for n, c in enumerate(codes[at:at + size], 1):
+                h = (h * 0x9E3779B97F4A7C15 + c + n) & mask
+            out.append((((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & mask) >> (64 - language_id.BITS))
+    return out
+
+
+def test_language_features_equal_plain_python_at_any_chunk():
+    rng = random.Random(4)
+    texts = ["Ab, c!  Éa", "", "!!!", "a", " a", "日本語 and ñandú", "x" * 40]
+    texts += ["".join(rng.choices("abcÉñ .,1日", k=rng.randint(1, 80))) for _ in range(60)]
+    for text in texts:
+        want = sorted(plain_grams(text))
+        for chunk in (1, 2, 3, 4, 5, 7, 50, language_id.CHUNK):
+            assert sorted(f for x in language_id.features(text, chunk) for f in x.tolist()) == want, (text, chunk)
+
+
+def test_language_scores_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices(a, k=4)) for _ in range(rng.randint(1, 8))), lang)
+            for i, (lang, a) in enumerate([("xx", "abcd"), ("yy", "cdef"), ("zz", "éñab")] * 15)]
+    langs, matrix = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {lang: Counter() for lang in ("xx", "yy", "zz")}
+    for _, text, lang in rows:
+        counts[lang].update(plain_grams(text))
+    buckets = 1 << language_id.BITS
+
+    def log_p(lang, bucket):
+        return math.log((counts[lang][bucket] + 0.5) / (sum(counts[lang].values()) + 0.5 * buckets))
+
+    assert langs == sorted(counts)
+    seen = sorted(set().union(*counts.values()))
+    for j, lang in enumerate(langs):
+        assert np.allclose(matrix[seen, j], [log_p(lang, b) for b in seen], atol=1e-4)
+    new = [(i, " ".join("".join(rng.choices("abcdeféñ", k=3)) for _ in range(5))) for i in range(30)]
+    got = language_id.score(spark.createDataFrame(new, "doc_id long, text string"), langs, matrix).collect()
+    for (_, text), r in zip(new, sorted(got, key=lambda r: r.doc_id)):
+        grams = plain_grams(text)
+        sums = [sum(log_p(lang, g) for g in grams) for lang in langs]
+        odds = [math.exp((x - max(sums)) / len(grams) * 20) for x in sums]
+        assert r.lang_pred == langs[sums.index(max(sums))] and abs(r.score - 1 / sum(odds)) < 1e-3
 
 
 def test_language_odd_rows(spark):
@@ -225,3 +298,60 @@ def test_quality_odd_rows(spark):
     net = quality_classifier.fit(odd_docs(spark), one, F.lit(True))
     assert all(r.predicted == 1 for r in quality_classifier.score(odd_docs(spark), net).collect())
     assert quality_classifier.score(odd_docs(spark).limit(0), net).count() == 0
+
+
+def naive_pooled(net, row):
+    """Largest response of each filter in one chunk, by plain loops over positions, bytes and lags."""
+    q, best = quality_classifier, np.full(quality_classifier.FILTERS, -np.inf)
+    for at in range(0, q.CHUNK - q.WIDTH + 1, q.STRIDE):
+        z = net.p["b"].astype(float)
+        for k in range(q.WIDTH):
+            z = z + net.p["t"][k][row[at + k]]
+        for i, lag in enumerate(q.LAGS):
+            span = range(max(0, at + q.WIDTH - q.SPAN), at + q.WIDTH)
+            z = z + net.p["u"][i] * sum(j >= lag and row[j] == row[j - lag] > 0 for j in span) / q.SPAN
+        best = np.maximum(best, z)
+    return np.maximum(best, 0)
+
+
+def test_quality_score_equals_a_naive_convolution():
+    rng = random.Random(1)
+    net = quality_classifier.Network()
+    net.p["w"][:] = np.random.default_rng(2).normal(0, 0.5, net.p["w"].size)
+    net.p["c"][:] = 0.1
+    for text in (b"", b"abc", b"ab" * 200, bytes(rng.randrange(256) for _ in range(700)), "né 日本 ".encode() * 40):
+        rows = np.array([naive_pooled(net, r.astype(int)) for r in quality_classifier.chunks(text)])
+        want = net.probability(rows.mean(axis=0), rows.max(axis=0))
+        assert abs(net.score(text) - want) < 1e-5 and abs(net.score_batch([text, b"x"])[0] - want) < 1e-5
+
+
+def test_first_training_step_follows_the_gradient():
+    """The first Adam step moves every parameter against the sign of its derivative by differences."""
+    rng = random.Random(3)
+    texts = [bytes(rng.choices(b"abcdefgh ", k=rng.randint(5, 600))) for _ in range(8)]  # no two chunks tie
+    y = np.array([1, 0, 0, 1, 0, 0, 1, 0])
+    weight = np.where(y == 1, y.size / (2 * y.sum()), y.size / (2 * (y.size - y.sum())))
+
+    def start():
+        net = quality_classifier.Network()
+        net.p["w"][:] = np.random.default_rng(11).normal(0, 0.2, net.p["w"].size)
+        return net
+
+    def loss(net):
+        p = np.array([net.score(t) for t in texts])
+        return float((-weight * np.where(y == 1, np.log(p), np.log(1 - p))).mean() + 5e-5 * (net.p["w"] ** 2).sum())
+
+    trained = quality_classifier.Network()
+    trained.fit(texts, y.tolist(), epochs=1)
+    checked = 0
+    for name in ("w", "c", "b", "u", "t"):
+        places = [(2, ord(c) + 1, f) for c in "abcz" for f in range(4)] if name == "t" else list(np.ndindex(start().p[name].shape))[:40]
+        for place in places:
+            low, high, step = start(), start(), 2e-3
+            low.p[name][place] -= step
+            high.p[name][place] += step
+            slope = (loss(high) - loss(low)) / (2 * step)
+            if abs(slope) > 2e-3:
+                checked += 1
+                assert np.sign(start().p[name][place] - trained.p[name][place]) == np.sign(slope), (name, place, slope)
+    assert checked > 30
