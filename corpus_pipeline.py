@@ -7,7 +7,8 @@
 5. ``bpe``            texts become token ids (decoded again for their digest).
 
 Stages 1 to 4 return the columns of ``documents``; ``n_chars`` follows a rewritten text. Null texts
-count as empty and stay null while a document stays; a null id never meets another id.
+count as empty and stay null while a document stays; near_dedup keeps one row of each group of copies,
+whatever their ids (rows without words are no copies and all stay).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pitchframe.llm import pii, quality_classifier
 from pitchframe.llm.bpe import bpe_digests
 from pitchframe.llm.common import documents, held_out, labels, materialise
 from pitchframe.llm.minhash_dedup import near_duplicates
+from pitchframe.operators.relational import first_by_key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs, width=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """By row: of equal rows, of copies without an id and of the texts of one id, one row stays."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                   F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = docs.select(key.alias("row"), "text", F.struct(*docs.columns).alias("doc"))
+    found = materialise(near_duplicates(rows, width=5, percent=80, id_col="row"), "near")
+    kept = found.filter("kept").groupBy(F.col("doc_id").alias("row")).agg(
+        F.count("*").alias("n"), F.max("n_shingles").alias("size"))
+    rows = rows.join(kept, "row")
+    # a text without words is a copy of nothing
+    again = (F.col("n") > 1) & (F.col("size") > 0)
+    one = first_by_key(rows.filter(again).select("row", "doc"), ["row"])
+    return rows.filter(~again).select("doc").unionAll(one.select("doc")).select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
