@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -31,6 +32,21 @@ def test_near_duplicate_stage_equals_brute_force(stages):
     assert {r.doc_id for r in stages[2].select("doc_id").collect()} == {i for i in component if component[i] == i}
 
 
+def test_near_duplicate_stage_keeps_one_row_of_a_group(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    b, c = a.replace("w59", "x"), " ".join(f"v{i}" for i in range(30))
+    rows = [(1, a, "p")] * 3 + [(2, b, "q"), (2, b, "p"), (None, a, "r"), (None, a, "r"), (3, c, "s"), (None, c, "s"),
+                                (4, "", "t"), (4, "", "t"), (5, None, "u"), (None, None, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_n", F.lit(1))
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(1, a, "p", 1), (3, c, "s", 1), (4, "", "t", 1), (4, "", "t", 1),
+                                                       (5, None, "u", 1), (None, None, "v", 1)]))
+    # texts of one id that are copies of each other leave one, others stay
+    rows = [(7, a, "p"), (7, b, "p"), (7, c, "p"), (None, b, "z")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF)
+    assert len({r.text for r in got.collect()}) == got.count() == 2
+
+
 def test_quality_stage_drops_junk_and_keeps_the_rest(spark, stages):
     marks = {r.doc_id: r.quality for r in labels(spark, SF).collect()}
     kept = {r.doc_id for r in stages[1].select("doc_id").collect()}
@@ -50,14 +66,14 @@ def test_decoded_text_is_the_text(stages):
 
 def test_registered():
     assert {"pipeline", *QUERIES} <= set(entry.queries())
-    assert [f"op{i}_" for i in range(1, 11)] == [next(k for k in QUERIES if k.startswith(f"op{i}_"))[:len(f"op{i}_")]
-                                                 for i in range(1, 11)]
+    assert [f"op{i}_" for i in range(1, 14)] == [next(k for k in QUERIES if k.startswith(f"op{i}_"))[:len(f"op{i}_")]
+                                                 for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name]).fetchall()
     columns = [d[0] for d in con.description]
