@@ -55,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pitchframe-"))
         own = spark.sparkContext.getCheckpointDir()
