@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pitchframe.functions.semantics import n_distinct
 from pitchframe.operators.bitmaps import distinct_ids, flag_in_bitmap
 from pitchframe.operators.exact import exact_mean, exact_sum
-from pitchframe.operators.quantile import exact_median, order_key
+from pitchframe.operators.quantile import exact_median, median_of_counts, order_key, value_counts
 from pitchframe.operators.relational import first_by_key, flag_in
 from pitchframe.operators.sequence import GUEST, RANGE, log_ranges, next_event, successors
 
@@ -104,6 +104,16 @@ def test_median_plan_samples_nothing(spark):
     assert exact_median(df.limit(0), ["g"], "x", "m").count() == 0
 
 
+def test_value_counts_keep_each_value(spark):
+    rows = [(i % 3, [None, math.nan, -0.0, 0.0, 2.5][i % 5]) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int not null, x double").repartition(5)
+    counts = value_counts(df, ["g"], "x")
+    assert sorted(map(repr, counts.collect())) == sorted(
+        f"Row(g={g}, _v={v}, _c={n})" for g in range(3) for v, n in ((None, 20), (math.nan, 20), (0.0, 40), (2.5, 20)))
+    out = counts.groupBy("g").agg(F.sum("_c").alias("n")).join(median_of_counts(counts, ["g"], "m"), "g")
+    assert {tuple(r) for r in out.collect()} == {(g, 100, 0.0) for g in range(3)}
+
+
 # -- leads -------------------------------------------------------------------------------------------
 
 def log_rows(rng, n):
@@ -186,6 +196,14 @@ def test_bitmap_sets_equal_joins_and_counts(spark, seed):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_unread_bitmap_flag_is_left_out(spark):
+    a = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "id long, g string")
+    b = spark.createDataFrame([(1,), (1,), (None,)], "id long")
+    out = flag_in_bitmap(a, b, "id", "f", null_safe=True)
+    assert {tuple(r) for r in out.collect()} == {(1, "a", True), (None, "b", True), (2, "c", False)}
+    assert "Join" not in out.select("g")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bitmaps_merge_before_the_shuffle(spark):
     a = spark.range(100_000).select((F.col("id") % 40_000).alias("id"), (F.col("id") % 2).alias("g")).repartition(8)
     out = distinct_ids(a, ["g"], "id", "n")

@@ -122,6 +122,20 @@ def test_enrichment_reads_each_table_once(spark):
         assert _plan(E.queries()[name](spark, SMALL)).count("FileScan") == 3, name
 
 
+def test_median_reads_the_marked_passes_once(spark):
+    df = E.queries()["assist_vs_other_length"](spark, SMALL)
+    assert df.count() == 2
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 4  # matches, passes, common, tags
+
+
+def test_unread_success_flags_are_left_out(spark):
+    for name in ("assist_vs_other_length_club", "assist_length_gap", "assist_rate_by_line", "assist_distribution"):
+        plan = _plan(E.queries()[name](spark, SMALL))
+        assert "_passer" not in plan and plan.count("FileScan") <= 6, name  # the matches twice, the players
+
+
 def test_building_a_query_reads_no_stored_table(spark):
     for name in ("team_pass_success", "assist_length_gap", "match_goals"):
         assert "Scan ExistingRDD" not in _plan(E.queries()[name](spark, SMALL)), name
